@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)"
+_URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
+_PARAMS = ";[^/]*$"
 _LOCALE = "^[a-z]{2}-[A-Z]{2}$"
 
 
@@ -14,7 +15,7 @@ def url_parts(url: Column) -> Column:
     return F.struct(
         F.lower(F.regexp_extract(url, _URL, 1)).alias("scheme"),
         F.regexp_extract(url, _URL, 2).alias("netloc"),
-        F.regexp_extract(url, _URL, 3).alias("path"),
+        F.regexp_replace(F.regexp_extract(url, _URL, 3), _PARAMS, "").alias("path"),
     )
 
 

@@ -1,61 +1,111 @@
 """Schemas of the tables and of the landed JSON. Nothing is inferred at run time."""
 
-from pyspark.sql.types import StructType
+from __future__ import annotations
 
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
+
+_INT, _LONG, _TEXT = IntegerType(), LongType(), StringType()
+_FLOAT, _DOUBLE, _TIME = FloatType(), DoubleType(), TimestampType()
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
 
+def _struct(**fields: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
 
-COMPANY_INFO = _schema(
-    "id INT, company_name STRING, base_country STRING, target_location STRING, "
-    "ats STRING, ats_link STRING"
+
+COMPANY_INFO = _struct(
+    id=_INT, company_name=_TEXT, base_country=_TEXT, target_location=_TEXT, ats=_TEXT, ats_link=_TEXT
 )
-JOB_INFO = _schema(
-    "id BIGINT, company_id INT, ats_job_id STRING, title STRING, location STRING, "
-    "application_link STRING, created_ts TIMESTAMP, user_decision STRING"
+JOB_INFO = _struct(
+    id=_LONG,
+    company_id=_INT,
+    ats_job_id=_TEXT,
+    title=_TEXT,
+    location=_TEXT,
+    application_link=_TEXT,
+    created_ts=_TIME,
+    user_decision=_TEXT,
 )
-JOB_ANALYSIS = _schema(
-    "id BIGINT, job_id BIGINT, relevance_score INT, positive_matches STRING, "
-    "negative_matches STRING, experience_matches STRING, analyzed_at TIMESTAMP"
+JOB_ANALYSIS = _struct(
+    id=_LONG,
+    job_id=_LONG,
+    relevance_score=_INT,
+    positive_matches=_TEXT,
+    negative_matches=_TEXT,
+    experience_matches=_TEXT,
+    analyzed_at=_TIME,
 )
-APPLICATION_STATUS = _schema(
-    "id BIGINT, company_id INT, job_id BIGINT, applied_on STRING, poc STRING, "
-    "resume_link STRING, status STRING, next_important_date STRING, next_important_task STRING"
+APPLICATION_STATUS = _struct(
+    id=_LONG,
+    company_id=_INT,
+    job_id=_LONG,
+    applied_on=_TEXT,
+    poc=_TEXT,
+    resume_link=_TEXT,
+    status=_TEXT,
+    next_important_date=_TEXT,
+    next_important_task=_TEXT,
 )
-OVERRIDES = _schema(
-    "keyword STRING, multiplier FLOAT, accept_count INT, reject_count INT, "
-    "sample_count INT, lift FLOAT, updated_at TIMESTAMP"
+OVERRIDES = _struct(
+    keyword=_TEXT,
+    multiplier=_FLOAT,
+    accept_count=_INT,
+    reject_count=_INT,
+    sample_count=_INT,
+    lift=_FLOAT,
+    updated_at=_TIME,
 )
-KEYWORDS = _schema("ordinal INT, polarity STRING, keyword STRING, weight DOUBLE")
-OUTBOX = _schema(
-    "seq BIGINT, kind STRING, job_id BIGINT, text STRING, keyboard STRING, reply_to BIGINT"
+KEYWORDS = _struct(ordinal=_INT, polarity=_TEXT, keyword=_TEXT, weight=_DOUBLE)
+OUTBOX = _struct(
+    seq=_LONG, kind=_TEXT, job_id=_LONG, text=_TEXT, keyboard=_TEXT, reply_to=_LONG
 )
-DECISIONS = _schema("job_id BIGINT, decision STRING")
-VERDICTS = _schema("callback_id STRING, message_id BIGINT, job_id BIGINT, verdict STRING")
-REJECTS = _schema("source STRING, company_id INT, stage STRING, reason STRING, raw STRING")
+DECISIONS = _struct(job_id=_LONG, decision=_TEXT)
+VERDICTS = _struct(callback_id=_TEXT, message_id=_LONG, job_id=_LONG, verdict=_TEXT)
+REJECTS = _struct(source=_TEXT, company_id=_INT, stage=_TEXT, reason=_TEXT, raw=_TEXT)
 
 # Landed files. `body` is kept as text, so that a broken body is one rejected row
 # and a missing key can be told from a null one; it may be an object or a string.
-PAGES = _schema(
-    "company_id INT, page_no INT, offset INT, `limit` INT, status_code INT, body STRING"
+PAGES = _struct(
+    company_id=_INT, page_no=_INT, offset=_INT, limit=_INT, status_code=_INT, body=_TEXT
 )
-PAGE_BODY = _schema(
-    "jobPostings ARRAY<STRUCT<externalPath: STRING, postedOn: STRING, locationsText: STRING>>, "
-    "_corrupt_record STRING"
+PAGE_BODY = _struct(
+    jobPostings=ArrayType(_struct(externalPath=_TEXT, postedOn=_TEXT, locationsText=_TEXT)),
+    _corrupt_record=_TEXT,
 )
-BOARDS = _schema("company_id INT, status_code INT, body STRING")
-BOARD_BODY = _schema(
-    "jobs ARRAY<STRUCT<id: BIGINT, title: STRING, updated_at: STRING, "
-    "location: STRUCT<name: STRING>, offices: ARRAY<STRUCT<location: STRUCT<name: STRING>>>>>, "
-    "_corrupt_record STRING"
+_PLACE = _struct(name=_TEXT)
+BOARDS = _struct(company_id=_INT, status_code=_INT, body=_TEXT)
+BOARD_BODY = _struct(
+    jobs=ArrayType(
+        _struct(
+            id=_LONG,
+            title=_TEXT,
+            updated_at=_TEXT,
+            location=_PLACE,
+            offices=ArrayType(_struct(location=_PLACE)),
+        )
+    ),
+    _corrupt_record=_TEXT,
 )
-DETAILS_A = _schema("company_id INT, external_path STRING, status_code INT, body STRING")
-DETAILS_B = _schema("company_id INT, job_id BIGINT, status_code INT, body STRING")
-DECISION_EVENTS = _schema(
-    "received_at TIMESTAMP, "
-    "callback_query STRUCT<id: STRING, data: STRING, message: STRUCT<message_id: BIGINT>>"
+DETAILS_A = _struct(company_id=_INT, external_path=_TEXT, status_code=_INT, body=_TEXT)
+DETAILS_B = _struct(company_id=_INT, job_id=_LONG, status_code=_INT, body=_TEXT)
+DECISION_EVENTS = _struct(
+    received_at=_TIME,
+    callback_query=_struct(id=_TEXT, data=_TEXT, message=_struct(message_id=_LONG)),
 )
 
+# Partition columns that the table folders add
+BATCH = _struct(writer=_TEXT, batch_id=_LONG)
+VERSION = _struct(version=_LONG)
+
 # Column widths of job_info; wider values do not fit and the row is rejected
 JOB_WIDTHS = {"ats_job_id": 255, "title": 500, "location": 500, "application_link": 1024}

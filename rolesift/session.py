@@ -64,4 +64,4 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of `df`, the one its broadcast check uses."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

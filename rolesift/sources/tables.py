@@ -23,8 +23,8 @@ def append_batch(df: DataFrame, root: str, table: str, writer: str, batch_id: in
     df.write.mode("overwrite").parquet(f"{root}/{table}/writer={writer}/batch_id={batch_id}")
 
 
-def _read(spark: SparkSession, path: str, schema: StructType, parts: str) -> DataFrame:
-    full = StructType([*schema.fields, *StructType.fromDDL(parts).fields])
+def _read(spark: SparkSession, path: str, schema: StructType, parts: StructType) -> DataFrame:
+    full = StructType([*schema.fields, *parts.fields])
     try:
         return spark.read.schema(full).parquet(path)
     except AnalysisException as e:
@@ -41,7 +41,7 @@ def read_table(
     before: tuple[str, int] | None = None,
 ) -> DataFrame:
     """The table, or its state before one (writer, batch); empty if never written."""
-    rows = _read(spark, f"{root}/{table}", schema, "writer STRING, batch_id BIGINT")
+    rows = _read(spark, f"{root}/{table}", schema, schemas.BATCH)
     if before is not None:
         writer, batch_id = before
         rows = rows.filter((F.col("writer") != writer) | (F.col("batch_id") < batch_id))
@@ -50,7 +50,7 @@ def read_table(
 
 def read_overrides(spark: SparkSession, root: str) -> DataFrame:
     """The newest overrides; empty if there are none yet."""
-    rows = _read(spark, f"{root}/overrides", schemas.OVERRIDES, "version BIGINT")
+    rows = _read(spark, f"{root}/overrides", schemas.OVERRIDES, schemas.VERSION)
     newest = rows.agg(F.max("version")).scalar()
     return rows.filter(F.col("version") == newest).drop("version")
 
