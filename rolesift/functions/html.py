@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +29,10 @@ _BARE = "|".join(
 )
 
 _SILENT = (
-    r"(?is)<(?:script|style|template)\b[^>]*>.*?</(?:script|style|template)\s*>|<!--.*?-->"
+    r"(?s)<(?:(?i:script|style|template)\b[^>]*>.*?</(?i:script|style|template)\s*>|!--.*?-->)"
 )
-_TAGS = r"(?:</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>)+"
+# Possessive, so that a long run of tags is matched without recursion
+_TAGS = r"(?:<(?:/?[a-zA-Z]|[!?])[^>]*>)++"
 
 # Every character that counts as white space, not only the ASCII ones
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
@@ -84,16 +86,25 @@ def _decode_all(text: Column) -> Column:
     return F.concat(F.get(chunks, F.lit(0)), F.array_join(tail, ""))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
     """Decode entities once. Texts with none, or only common ones, take a short path."""
-    common = text
-    for entity, char in _COMMON:
-        common = F.replace(common, F.lit(entity), F.lit(char))
-    return (
-        F.when(~text.contains("&"), text)
-        .when(text.rlike(_UNCOMMON), _decode_all(text))
-        .otherwise(common)
-    )
+
+    def decoded(t: Column) -> Column:
+        common = t
+        for entity, char in _COMMON:
+            common = F.replace(common, F.lit(entity), F.lit(char))
+        return (
+            F.when(~t.contains("&"), t)
+            .when(t.rlike(_UNCOMMON), _decode_all(t))
+            .otherwise(common)
+        )
+
+    return _once(text, decoded)
 
 
 def _drop_markup(markup: Column, sep: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.operators.ordered import first_per_key
@@ -44,11 +44,15 @@ def join_details(
     postings: DataFrame,
     details: DataFrame,
     keys: Sequence[str],
-    detail_order: Sequence[str],
-    how: str = "inner",
+    detail_order: Sequence[str | Column],
 ) -> DataFrame:
-    """Each posting with its one detail; extra landed copies of a detail are ignored."""
-    return postings.join(first_per_key(details, keys, detail_order), list(keys), how)
+    """Each posting with its one detail; extra landed copies of a detail are ignored.
+
+    `postings` has unique keys. Details are cut to the postings' keys before any of
+    their bodies is shuffled.
+    """
+    wanted = many_to_one(details, postings.select(*keys), keys, "left_semi")
+    return postings.join(first_per_key(wanted, keys, detail_order), list(keys))
 
 
 def jobs_with_company(jobs: DataFrame, companies: DataFrame) -> DataFrame:

@@ -83,20 +83,19 @@ def explode_postings(pages: DataFrame) -> DataFrame:
 
 
 def parse_boards(boards: DataFrame) -> DataFrame:
-    """Landed boards with `jobs` and `unreadable`."""
+    """Landed boards with `unreadable` and, where the board answered, `jobs`."""
     body = F.from_json("body", schemas.BOARD_BODY)
     return (
         boards.withColumn("_body", body)
-        .withColumn("jobs", F.col("_body.jobs"))
         .withColumn("unreadable", F.col("_body").isNull() | F.col("_body._corrupt_record").isNotNull())
+        .withColumn("jobs", F.when((F.col("status_code") == 200) & ~F.col("unreadable"), F.col("_body.jobs")))
         .drop("_body")
     )
 
 
 def explode_board(boards: DataFrame) -> DataFrame:
     """One row per posting of the boards that answered."""
-    good = boards.filter((F.col("status_code") == 200) & ~F.col("unreadable"))
-    return good.select("company_id", F.posexplode("jobs").alias("pos", "j")).select(
+    return boards.select("company_id", F.posexplode("jobs").alias("pos", "j")).select(
         "company_id",
         "pos",
         F.col("j.id").alias("job_id"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.functions.html import html_text
@@ -11,45 +11,51 @@ from rolesift.functions.lists import json_field
 _FIELDS = "map<string,string>"
 
 
-def has_detail(df: DataFrame) -> DataFrame:
-    """Add `detail_ok`: the detail was landed, answered 200 and is not empty."""
-    keys = F.size(F.map_keys(F.from_json("body", _FIELDS)))
-    good = (F.col("status_code") == 200) & (F.coalesce(keys, F.lit(0)) > 0)
-    return df.withColumn("detail_ok", F.coalesce(good, F.lit(False)))
+def _usable(fields: Column) -> Column:
+    """The detail answered 200 and is a non-empty object."""
+    good = (F.col("status_code") == 200) & (F.size(F.map_keys(fields)) > 0)
+    return F.coalesce(good, F.lit(False))
+
+
+def _or_empty(fields: Column) -> Column:
+    return F.coalesce(fields, F.create_map().cast(_FIELDS))
 
 
 def normalize_a(details: DataFrame) -> DataFrame:
-    """Fields of a paged source's detail: `''` for a missing key, null for a null one."""
-    info = F.from_json(F.get_json_object("body", "$.jobPostingInfo"), _FIELDS)
-    fields = F.coalesce(info, F.create_map().cast(_FIELDS))
-    empty = F.lit("")
+    """Fields of a paged source's detail, and `detail_ok`.
+
+    `''` stands in for a missing key; a null one stays null.
+    """
+    f, empty = F.col("_f"), F.lit("")
     return (
-        details.withColumn("_f", fields)
-        .withColumn("title", json_field(F.col("_f"), "title", empty))
-        .withColumn("ats_job_id", json_field(F.col("_f"), "jobReqId", empty))
-        .withColumn("location", json_field(F.col("_f"), "location", empty))
-        .withColumn("posted", json_field(F.col("_f"), "postedOn", empty))
-        .withColumn("description", html_text(json_field(F.col("_f"), "jobDescription", empty)))
-        .drop("_f")
+        details.withColumn("_outer", F.from_json("body", _FIELDS))
+        .withColumn("detail_ok", _usable(F.col("_outer")))
+        .withColumn("_f", _or_empty(F.from_json(F.col("_outer")["jobPostingInfo"], _FIELDS)))
+        .withColumn("title", json_field(f, "title", empty))
+        .withColumn("ats_job_id", json_field(f, "jobReqId", empty))
+        .withColumn("location", json_field(f, "location", empty))
+        .withColumn("posted", json_field(f, "postedOn", empty))
+        .withColumn("description", html_text(json_field(f, "jobDescription", empty)))
+        .drop("_outer", "_f")
     )
 
 
 def normalize_b(details: DataFrame) -> DataFrame:
-    """Fields of a board's detail. The requisition id falls back to the posting id
-    only where its key is missing; an explicit null stays null."""
-    fields = F.coalesce(F.from_json("body", _FIELDS), F.create_map().cast(_FIELDS))
-    place = F.get_json_object("body", "$.location.name")
-    empty, unknown = F.lit(""), F.lit("Unknown")
+    """Fields of a board's detail, and `detail_ok`.
+
+    The requisition id falls back to the posting id only where its key is missing;
+    an explicit null stays null.
+    """
+    f, empty, unknown = F.col("_f"), F.lit(""), F.lit("Unknown")
     return (
-        details.withColumn("_f", fields)
-        .withColumn("title", json_field(F.col("_f"), "title", empty))
-        .withColumn(
-            "ats_job_id",
-            json_field(F.col("_f"), "requisition_id", F.col("job_id").cast("string")),
-        )
-        .withColumn("location", F.coalesce(place, unknown))
-        .withColumn("posted", json_field(F.col("_f"), "updated_at", unknown))
-        .withColumn("description", json_field(F.col("_f"), "content", empty))
-        .withColumn("application_link", json_field(F.col("_f"), "absolute_url", empty))
-        .drop("_f")
+        details.withColumn("_outer", F.from_json("body", _FIELDS))
+        .withColumn("detail_ok", _usable(F.col("_outer")))
+        .withColumn("_f", _or_empty(F.col("_outer")))
+        .withColumn("title", json_field(f, "title", empty))
+        .withColumn("ats_job_id", json_field(f, "requisition_id", F.col("job_id").cast("string")))
+        .withColumn("location", F.coalesce(F.get_json_object(f["location"], "$.name"), unknown))
+        .withColumn("posted", json_field(f, "updated_at", unknown))
+        .withColumn("description", json_field(f, "content", empty))
+        .withColumn("application_link", json_field(f, "absolute_url", empty))
+        .drop("_outer", "_f")
     )

@@ -12,44 +12,47 @@ from rolesift.operators.joins import many_to_one
 from rolesift.rules import RuleSet, keyword_table
 
 _WORD = r"[\p{L}\p{N}_]"
-_MARK = "\u0001"
+_NOT_WORD = r"[^\p{L}\p{N}_]"
 Weighted = Sequence[tuple[str, float]]
 
 
-def mark_words(text: Column) -> Column:
-    """`text` with a mark on both sides of every word.
+def word_pattern(keyword: str) -> str:
+    """`keyword` between two word boundaries, whatever the Java version's own `\\b`.
 
-    With every word boundary marked, a whole-word search becomes a plain substring
-    search: one regex pass per text, however many keywords there are.
+    The literal comes first, so that the engine skips to its occurrences, and the
+    boundary before it is looked up from its end.
     """
-    return F.regexp_replace(F.translate(text, _MARK, " "), f"{_WORD}+", f"{_MARK}$0{_MARK}")
+    before = "(?<!" if re.match(r"\w", keyword) else "(?<="
+    after = "(?!" if re.search(r"\w$", keyword) else "(?="
+    literal = rf"\Q{keyword}\E"
+    return f"{literal}{after}{_WORD}){before}{_WORD}{literal})"
 
 
-def _marked_keyword(keyword: str) -> str:
-    marked = re.sub(r"\w+", lambda m: _MARK + m.group() + _MARK, keyword)
-    head = "" if marked.startswith(_MARK) else _MARK
-    tail = "" if marked.endswith(_MARK) else _MARK
-    return head + marked + tail
-
-
-def match_keywords(text: Column, marked: Column, keywords: Sequence[str]) -> Column:
+def match_keywords(text: Column, keywords: Sequence[str]) -> Column:
     """The keywords found as whole words, in list order, each once; matches may overlap.
 
-    The first test is a cheap search of the bare text that most keywords fail.
+    A plain substring search comes first; most keywords fail it.
     """
     found = [
-        F.when(text.contains(k) & marked.contains(_marked_keyword(k)), F.lit(k))
-        for k in keywords
+        F.when(text.contains(k) & text.rlike(word_pattern(k)), F.lit(k)) for k in keywords
     ]
-    empty = F.array().cast("array<string>")
-    return F.coalesce(F.array_compact(F.array(*found)), empty) if found else empty
+    return _list(found)
+
+
+def _list(items: list[Column]) -> Column:
+    """The non-null items; an array function without a lambda, so it is compiled."""
+    if not items:
+        return F.array().cast("array<string>")
+    kept = F.array_except(F.array(*items), F.array(F.lit(None).cast("string")))
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def match_patterns(text: Column, patterns: Sequence[str]) -> Column:
     """The first match of every pattern that matches, in list order."""
     found = [F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in patterns]
-    empty = F.array().cast("array<string>")
-    return F.coalesce(F.array_compact(F.array(*found)), empty) if found else empty
+    if not found:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*found))
 
 
 def pattern_bonus(text: Column, patterns: Weighted) -> Column:
@@ -101,15 +104,15 @@ def relevance(
     order, so they do not depend on the plan. Empty text scores 0.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn("_marked", mark_words(text))
-    marked = F.col("_marked")
-    out = out.select(
-        *df.columns,
-        match_keywords(text, marked, [k for k, _ in rules.positive]).alias("positive_matches"),
-        match_keywords(text, marked, [k for k, _ in rules.negative]).alias("negative_matches"),
+    found = F.struct(
+        match_keywords(text, [k for k, _ in rules.positive]).alias("positive_matches"),
+        match_keywords(text, [k for k, _ in rules.negative]).alias("negative_matches"),
         match_patterns(text, [p for p, _ in rules.patterns]).alias("experience_matches"),
         pattern_bonus(text, rules.patterns).alias("_bonus"),
     )
+    # As a one-row generator, so that a later filter on the score is not pushed below
+    # it, where every match would be computed again
+    out = df.select(*df.columns, F.inline(F.array(found)))
     if overrides is not None:
         out = out.withColumn("_learned", _multiplier_map(df, rules, overrides))
 
@@ -157,7 +160,7 @@ def match_keyword_table(
     cut = df.select(
         id_col,
         F.regexp_extract_all(text, F.lit(f"({_WORD}+)"), 1).alias("words"),
-        F.regexp_extract_all(text, F.lit(f"({_WORD}+[^\\p{{L}}\\p{{N}}_]*)"), 1).alias("pieces"),
+        F.regexp_extract_all(text, F.lit(f"({_WORD}+{_NOT_WORD}*)"), 1).alias("pieces"),
     )
 
     def runs(n: int) -> Column:

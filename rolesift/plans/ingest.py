@@ -76,7 +76,9 @@ def _judge(
 
 
 def _admit(
+    candidates: DataFrame,
     judged: DataFrame,
+    keys: list[str],
     order: list[str],
     source: str,
     jobs: DataFrame,
@@ -84,7 +86,6 @@ def _admit(
     now: Column,
     pages: DataFrame,
     early_rejects: list[DataFrame],
-    rules: RuleSet,
 ) -> IngestResult:
     """Insert what is new, and derive the other outputs from the inserted rows."""
     good = judged.filter(F.col("passed") & job_rejects().isNull())
@@ -112,10 +113,10 @@ def _admit(
     )
     count = fresh.agg(F.max("i")).scalar()
     outbox = announce(fresh, source, F.col("i"), count)
+    undetailed = candidates.join(judged.filter("detail_ok").select(*keys), keys, "left_anti")
     late = [
         metrics.rejects(
-            judged.filter(~F.col("detail_ok")), source, "detail",
-            F.lit("missing or empty detail"), F.lit(None),
+            undetailed, source, "detail", F.lit("missing or empty detail"), F.col(keys[-1])
         ),
         metrics.rejects(
             judged.filter("passed"), source, "insert", job_rejects(), F.col("ats_job_id")
@@ -125,7 +126,6 @@ def _admit(
         judged,
         ["company_id"],
         {
-            "candidates": F.lit(True),
             "detailed": F.col("detail_ok"),
             "after_title": F.col("after_title"),
             "discarded": F.col("after_title") & ~F.col("passed"),
@@ -133,6 +133,7 @@ def _admit(
     )
     parts = [
         pages.groupBy("company_id").agg(F.count(F.lit(1)).alias("pages")),
+        candidates.groupBy("company_id").agg(F.count(F.lit(1)).alias("candidates")),
         flags,
         fresh.groupBy("company_id").agg(F.count(F.lit(1)).alias("saved")),
     ]
@@ -196,10 +197,8 @@ def ingest_pages(
         & (F.coalesce(F.col("external_path"), F.lit("")) != "")
     )
     keys = ["company_id", "external_path"]
-    once = first_per_key(candidates, keys, ["page_no", "pos"])
-    detailed = records.normalize_a(
-        records.has_detail(join_details(once, details, keys, _detail_order(), how="left"))
-    )
+    once = stage(first_per_key(candidates, keys, ["page_no", "pos"]), "candidates")
+    detailed = records.normalize_a(join_details(once, details, keys, _detail_order()))
     detailed = many_to_one(detailed, links.drop("_usable"), ["company_id"])
     detailed = detailed.withColumn(
         "application_link", urls.application_link(F.col("company_url"), F.col("external_path"))
@@ -207,7 +206,7 @@ def ingest_pages(
         "after_title",
         F.col("detail_ok") & title_ok(F.col("title"), rules.title_include, rules.title_exclude),
     )
-    judged = _judge(detailed, ["page_no", "pos"], rules, overrides)
+    judged = _judge(detailed, ["external_path", "page_no", "pos"], rules, overrides)
     early = [
         metrics.rejects(
             links.filter(~F.col("_usable")), source, "company",
@@ -220,9 +219,8 @@ def ingest_pages(
             F.col("body"),
         ),
     ]
-    return _admit(
-        judged, ["company_id", "page_no", "pos"], source, jobs, analysis, now, read, early, rules
-    )
+    order = ["company_id", "page_no", "pos"]
+    return _admit(once, judged, keys, order, source, jobs, analysis, now, read, early)
 
 
 def ingest_boards(
@@ -246,12 +244,12 @@ def ingest_boards(
         & location_ok(F.col("location_name"), F.col("offices"), rules.locations)
     )
     keys = ["company_id", "job_id"]
-    joined = join_details(
-        candidates.select(*keys, "pos"), details, keys, _detail_order(), how="left"
-    )
-    detailed = many_to_one(records.normalize_b(records.has_detail(joined)), names, ["company_id"])
+    once = first_per_key(candidates.select(*keys, "pos"), keys, ["pos"])
+    once = stage(once, "candidates")
+    detailed = records.normalize_b(join_details(once, details, keys, _detail_order()))
+    detailed = many_to_one(detailed, names, ["company_id"])
     detailed = detailed.withColumn("after_title", F.col("detail_ok"))
-    judged = _judge(detailed, ["pos", "job_id"], rules, overrides)
+    judged = _judge(detailed, ["job_id", "pos"], rules, overrides)
     early = [
         metrics.rejects(
             parsed, source, "board",
@@ -267,9 +265,8 @@ def ingest_boards(
         ),
     ]
     read = parsed.filter((F.col("status_code") == 200) & ~F.col("unreadable"))
-    return _admit(
-        judged, ["company_id", "pos", "job_id"], source, jobs, analysis, now, read, early, rules
-    )
+    order = ["company_id", "pos", "job_id"]
+    return _admit(once, judged, keys, order, source, jobs, analysis, now, read, early)
 
 
 def _detail_order() -> list:

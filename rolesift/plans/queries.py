@@ -381,7 +381,7 @@ def jobs_with_company_orders(spark, d):
 def normalize_a(spark, d):
     path = fresh_path(spark, "details")
     fx.page_details(table(spark, d, "conversations")).write.json(path)
-    rows = records.normalize_a(records.has_detail(landed.read_details(spark, path, fixed.SOURCE_A)))
+    rows = records.normalize_a(landed.read_details(spark, path, fixed.SOURCE_A))
     return rows.filter("detail_ok").groupBy("ats_job_id", "location", "posted").agg(
         F.min(F.md5("description")).alias("text_md5"), F.count(F.lit(1)).alias("copies")
     )
@@ -391,7 +391,7 @@ def normalize_a(spark, d):
 def normalize_b(spark, d):
     path = fresh_path(spark, "details")
     fx.board_details(table(spark, d, "documents")).write.json(path)
-    rows = records.normalize_b(records.has_detail(landed.read_details(spark, path, fixed.SOURCE_B)))
+    rows = records.normalize_b(landed.read_details(spark, path, fixed.SOURCE_B))
     return rows.filter("detail_ok").select(
         "job_id", "ats_job_id", "location", "posted", "application_link", F.md5("description").alias("text_md5")
     )
