@@ -165,13 +165,12 @@ def match_keyword_table(
 
     def runs(n: int) -> Column:
         def run(word: Column, i: Column) -> Column:
-            head = F.array_join(F.slice("pieces", i + 1, F.lit(n - 1)), "") if n > 1 else F.lit("")
-            last = F.get(F.col("words"), i + (n - 1))
-            return F.concat(head, last)
+            head = F.array_join(F.slice("pieces", i + 1, F.lit(n - 1)), "")
+            return F.concat(head, F.get(F.col("words"), i + (n - 1)))
 
-        return F.transform("words", run)
+        return F.array_compact(F.transform("words", run))
 
-    spans = F.array_compact(F.flatten(F.array(*[runs(n) for n in range(1, max_words + 1)])))
+    spans = F.concat(F.col("words"), *[runs(n) for n in range(2, max_words + 1)])
     exploded = cut.select(id_col, F.explode(F.array_distinct(spans)).alias("keyword"))
     return many_to_one(exploded, keywords.select("keyword").distinct(), ["keyword"]).select(
         id_col, "keyword"

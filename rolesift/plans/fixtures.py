@@ -31,7 +31,7 @@ PAGE_RULES = RuleSet(
 )
 
 BOARD_RULES = RuleSet(
-    title_include=("an", "or"),
+    title_include=("an", "er", "or"),
     title_exclude=("###", "que "),
     locations=("de", "en", "src1"),
     positive=(*DOC_RULES.positive, ("der", 4)),

@@ -13,9 +13,8 @@ from rolesift.operators.merge import insert_new
 from rolesift.session import stage
 from rolesift.sources import tables
 from rolesift.sources.landed import read_decisions
-from rolesift.streaming.ingest import _start
+from rolesift.streaming.ingest import start
 
-WRITER = "decisions"
 ARRIVAL = ["received_at", "callback_id", "_arrival"]
 
 
@@ -26,7 +25,12 @@ def number_arrivals(events: DataFrame) -> DataFrame:
 
 
 def apply_batch(
-    spark: SparkSession, events: DataFrame, companies: DataFrame, root: str, batch_id: int,
+    spark: SparkSession,
+    events: DataFrame,
+    companies: DataFrame,
+    root: str,
+    writer: str,
+    batch_id: int,
     as_of: str | None = None,
 ) -> None:
     """Judge one batch of events and write verdicts, decisions, applications, messages.
@@ -34,7 +38,7 @@ def apply_batch(
     The state is the stored decisions. The batch reads them as they were before it,
     so a replay repeats its own result.
     """
-    mine = (WRITER, batch_id)
+    mine = (writer, batch_id)
     jobs = tables.current_jobs(spark, root, mine)
     known = jobs.select(F.col("id").alias("job_id"), F.col("user_decision").alias("decision"))
     verdicts = stage(decide(number_arrivals(events), known, ARRIVAL), "verdicts")
@@ -45,10 +49,10 @@ def apply_batch(
     outbox, applied = decision_effects(decided, jobs_with_company(touched, companies), now)
     status = tables.read_table(spark, root, "application_status", schemas.APPLICATION_STATUS, mine)
     inserted, _ = insert_new(status, applied, ["job_id"], ["job_id"])
-    tables.write_outbox(outbox, root, WRITER, batch_id)
-    tables.append_batch(inserted, root, "application_status", WRITER, batch_id)
-    tables.append_batch(verdicts.select(*schemas.VERDICTS.names), root, "verdicts", WRITER, batch_id)
-    tables.append_batch(decided.select("job_id", "decision"), root, "decisions", WRITER, batch_id)
+    tables.write_outbox(outbox, root, writer, batch_id)
+    tables.append_batch(inserted, root, "application_status", writer, batch_id)
+    tables.append_batch(verdicts.select(*schemas.VERDICTS.names), root, "verdicts", writer, batch_id)
+    tables.append_batch(decided.select("job_id", "decision"), root, "decisions", writer, batch_id)
 
 
 def decision_stream(
@@ -62,7 +66,8 @@ def decision_stream(
 ) -> StreamingQuery:
     """Apply landed decision events batch by batch; see `apply_batch`."""
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch.sparkSession, batch, companies, root, batch_id, as_of)
+    def handle(batch: DataFrame, writer: str, batch_id: int) -> None:
+        apply_batch(batch.sparkSession, batch, companies, root, writer, batch_id, as_of)
 
-    return _start(read_decisions(spark, path, streaming=True), handle, checkpoint, every)
+    stream = read_decisions(spark, path, streaming=True)
+    return start(stream, handle, "decisions", checkpoint, every)

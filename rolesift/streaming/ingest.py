@@ -23,10 +23,24 @@ def write_result(result: IngestResult, root: str, writer: str, batch_id: int) ->
         tables.append_batch(getattr(result, name), root, table, writer, batch_id)
 
 
-def _start(
-    stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None
+def start(
+    stream: DataFrame,
+    handle: Callable[[DataFrame, str, int], None],
+    name: str,
+    checkpoint: str,
+    every: str | None,
 ) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    """Run `handle(batch, writer, batch_id)` per micro-batch.
+
+    The writer is named after the query's own id, kept in its checkpoint: a restart
+    goes on under the same name, and a new checkpoint never overwrites old batches.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        handle(batch, f"{name}-{query_id}", batch_id)
+
+    writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
@@ -52,9 +66,9 @@ def ingest_stream(
     paged = source == fixed.SOURCE_A
     reader = landed.read_pages if paged else landed.read_boards
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def handle(batch: DataFrame, writer: str, batch_id: int) -> None:
         session = batch.sparkSession
-        mine = (source, batch_id)
+        mine = (writer, batch_id)
         known = {
             "jobs": tables.read_table(session, root, "job_info", schemas.JOB_INFO, mine),
             "analysis": tables.read_table(session, root, "job_analysis", schemas.JOB_ANALYSIS, mine),
@@ -65,6 +79,6 @@ def ingest_stream(
         extra = {} if paged else {"as_of": now}
         plan = ingest_pages if paged else ingest_boards
         result = plan(batch, details, companies, now=now, rules=rules, source=source, **known, **extra)
-        write_result(result, root, source, batch_id)
+        write_result(result, root, writer, batch_id)
 
-    return _start(reader(spark, list_path, streaming=True), handle, checkpoint, every)
+    return start(reader(spark, list_path, streaming=True), handle, source, checkpoint, every)
