@@ -33,8 +33,9 @@ def decision_totals(decided: DataFrame) -> DataFrame:
 
 def keyword_counts(decided: DataFrame) -> DataFrame:
     """Accepted and rejected counts per keyword of the `keywords` array."""
-    each = decided.select(_accepted().alias("_ok"), F.explode("keywords").alias("keyword"))
-    return each.groupBy("keyword").agg(
+    # Outer, as a plain explode adds a size filter that would decode the lists twice
+    each = decided.select(_accepted().alias("_ok"), F.explode_outer("keywords").alias("keyword"))
+    return each.filter(F.col("keyword").isNotNull()).groupBy("keyword").agg(
         F.count_if(F.col("_ok")).alias("accept_count"),
         F.count_if(~F.col("_ok")).alias("reject_count"),
         F.count(F.lit(1)).alias("sample_count"),

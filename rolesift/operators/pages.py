@@ -25,6 +25,8 @@ def pages_until_stop(
     `limit`, and at `max_pages`. Each company's last page is found from page
     numbers and sizes alone, so page bodies are not shuffled.
     """
+    if max_pages > 62:
+        raise ValueError("max_pages has to be at most 62: seen pages are bits of a BIGINT")
     size, limit, bad = (F.col(c) if isinstance(c, str) else c for c in (size, limit, bad))
     number = F.col(page_no)
     capped = pages.filter((number >= 0) & (number < max_pages))
@@ -34,17 +36,15 @@ def pages_until_stop(
         .agg(
             F.min(F.when(unusable, number)).alias("_unusable"),
             F.min(F.when(~unusable & (size < limit), number)).alias("_short"),
-            F.collect_set(number).alias("_seen"),  # at most max_pages numbers
+            F.bit_or(F.expr(f"shiftleft(1L, cast({page_no} as int))")).alias("_seen"),
         )
         .select(
             company,
             F.least(
                 F.col("_unusable") - 1,
                 F.col("_short"),
-                F.array_min(
-                    F.array_except(F.sequence(F.lit(0), F.lit(max_pages)), F.col("_seen"))
-                )
-                - 1,
+                # The lowest clear bit is the first missing page
+                F.bit_count(F.expr("(~_seen & (_seen + 1)) - 1")) - 1,
             ).alias("_last"),
         )
     )
@@ -72,7 +72,9 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 def explode_postings(pages: DataFrame) -> DataFrame:
     """One row per posting, with its place on the page."""
-    return pages.select("company_id", "page_no", F.posexplode("postings").alias("pos", "p")).select(
+    # Outer, as a plain explode adds a size filter that would parse every body twice
+    each = pages.select("company_id", "page_no", F.posexplode_outer("postings").alias("pos", "p"))
+    return each.filter(F.col("p").isNotNull()).select(
         "company_id",
         "page_no",
         "pos",
@@ -95,7 +97,8 @@ def parse_boards(boards: DataFrame) -> DataFrame:
 
 def explode_board(boards: DataFrame) -> DataFrame:
     """One row per posting of the boards that answered."""
-    return boards.select("company_id", F.posexplode("jobs").alias("pos", "j")).select(
+    each = boards.select("company_id", F.posexplode_outer("jobs").alias("pos", "j"))
+    return each.filter(F.col("j").isNotNull()).select(
         "company_id",
         "pos",
         F.col("j.id").alias("job_id"),

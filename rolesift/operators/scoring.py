@@ -171,7 +171,8 @@ def match_keyword_table(
         return F.array_compact(F.transform("words", run))
 
     spans = F.concat(F.col("words"), *[runs(n) for n in range(2, max_words + 1)])
-    exploded = cut.select(id_col, F.explode(F.array_distinct(spans)).alias("keyword"))
+    # Outer, as a plain explode adds a size filter that would cut every text twice
+    exploded = cut.select(id_col, F.explode_outer(F.array_distinct(spans)).alias("keyword"))
     return many_to_one(exploded, keywords.select("keyword").distinct(), ["keyword"]).select(
         id_col, "keyword"
     )

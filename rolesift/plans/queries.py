@@ -15,7 +15,7 @@ from rolesift.operators.joins import decided_with_analysis, join_details, jobs_w
 from rolesift.plans import fixtures as fx
 from rolesift.plans.fixtures import table
 from rolesift.plans.ingest import ingest_boards, ingest_pages, job_rejects, union_sources
-from rolesift.session import fresh_path
+from rolesift.session import fresh_path, stage
 from rolesift.sources import landed, registry, tables
 from rolesift.streaming.decisions import decision_stream
 from rolesift.streaming.ingest import ingest_stream
@@ -87,17 +87,18 @@ def stored_score(spark, d):
 
 
 def _decided_documents(spark, d) -> DataFrame:
-    """Labelled documents as decided jobs, with the match lists as stored JSON."""
+    """Labelled documents as decided jobs, their match lists stored as JSON first."""
     labels = table(spark, d, "labels").select(
         "doc_id", F.when(c("toxic") == 1, "applied").otherwise("rejected").alias("user_decision")
     )
     text = _plain_documents(spark, d).join(labels, "doc_id")
     scored = scoring.relevance(text, "plain", fx.LEARN_RULES)
-    return scored.select(
+    stored = scored.select(
         "doc_id",
         "user_decision",
         *[lists.encode_list(c(m)).alias(m) for m in _MATCHES[:2]],
     )
+    return stage(stored, "decided")
 
 
 def _learned(spark, d) -> DataFrame:

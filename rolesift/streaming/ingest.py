@@ -12,6 +12,7 @@ from rolesift import rules as fixed
 from rolesift import schemas
 from rolesift.plans.ingest import IngestResult, ingest_boards, ingest_pages
 from rolesift.rules import RuleSet
+from rolesift.session import scratch
 from rolesift.sources import landed, tables
 
 
@@ -38,7 +39,8 @@ def start(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        handle(batch, f"{name}-{query_id}", batch_id)
+        with scratch(batch.sparkSession):
+            handle(batch, f"{name}-{query_id}", batch_id)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
