@@ -14,9 +14,12 @@ _OFFSET = r"[Tt ].*([Zz]|[+-]\d{2}(:?\d{2})?)$"
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
     """Case-insensitive substring test; null and empty texts contain nothing."""
-    lowered = F.lower(text)
-    hits = [lowered.contains(word) for word in words]
-    return F.coalesce(reduce(or_, hits, F.lit(False)), F.lit(False))
+
+    def hit(lowered: Column) -> Column:
+        return reduce(or_, [lowered.contains(word) for word in words], F.lit(False))
+
+    # As a one-element array, so that a filter lowers the text once and not per word
+    return F.coalesce(F.exists(F.array(F.lower(text)), hit), F.lit(False))
 
 
 def title_ok(title: Column, include: Sequence[str], exclude: Sequence[str]) -> Column:

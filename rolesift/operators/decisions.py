@@ -24,11 +24,10 @@ def parse_decision(events: DataFrame) -> DataFrame:
     flat = events.withColumn("callback_id", F.coalesce(call["id"], F.lit("")))
     flat = flat.withColumn("message_id", call["message"]["message_id"])
     data = F.coalesce(call["data"], F.lit(""))
-    parts = F.split(data, ":", 2)
-    verb = F.get(parts, F.lit(0))
-    known = (F.size(parts) == 2) & verb.isin("apply", "reject")
-    job_id = F.trim(F.get(parts, F.lit(1)))
-    number = F.when(job_id.rlike(r"^[+-]?\d+$"), job_id.try_cast("bigint"))
+    colon = F.instr(data, ":")
+    verb = F.substring(data, 1, colon - 1)
+    known = (colon > 0) & verb.isin("apply", "reject")
+    number = F.substring(data, colon + 1, F.length(data)).try_cast("bigint")
     verdict = (
         F.when(call.isNull(), "ignored")
         .when((data == "") | (F.coalesce(F.col("message_id"), F.lit(0)) == 0), "invalid_request")
@@ -58,7 +57,8 @@ def decide(
 
     The first valid event of an undecided job sets its decision; later ones, and
     all events of a decided job, answer `already_<decision>`. `order` must tell
-    the events of one job apart.
+    the events of one job apart. `events` is read three times, so parsed events are
+    best staged first.
     """
     valid = events.filter(F.col("verdict") == "ok")
     first = first_decisions(valid, order)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.operators.ordered import first_per_key
-from rolesift.session import plan_bytes
+from rolesift.session import plan_bytes, stage
 
 BROADCAST_BYTES = 32 << 20
 _HOT_SHARE = 1000
@@ -25,19 +27,24 @@ def many_to_one(
 
     A `dim` whose size is known to be small is broadcast. Beyond that the hot keys,
     those with over a thousandth of all rows, are joined against a broadcast of
-    their own `dim` rows; there are fewer than a thousand of them by division. Only
-    the remaining, evenly spread rows are shuffled. The result is whole either way.
+    their own `dim` rows; there are fewer than a thousand of them by division. Rows
+    with a null key match nothing and are not joined at all. Only the remaining,
+    evenly spread rows are shuffled. The result is whole either way.
     """
     on = list(on)
     if plan_bytes(dim) <= broadcast_bytes:
         return rows.join(F.broadcast(dim), on, how)
-    per_key = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = reduce(and_, [F.col(k).isNotNull() for k in on])
+    full = rows.filter(keyed)
+    per_key = full.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     floor = per_key.agg(F.sum("_n") / _HOT_SHARE).scalar()
-    hot = F.broadcast(per_key.filter(F.col("_n") > floor).select(*on))
-    hot_rows = rows.join(hot, on, "left_semi")
+    hot = F.broadcast(stage(per_key.filter(F.col("_n") > floor).select(*on), "hot-keys"))
     hot_dim = F.broadcast(dim.join(hot, on, "left_semi"))
-    rest = rows.join(hot, on, "left_anti")
-    return hot_rows.join(hot_dim, on, how).unionByName(rest.join(dim, on, how))
+    hot_part = full.join(hot, on, "left_semi").join(hot_dim, on, how)
+    whole = hot_part.unionByName(full.join(hot, on, "left_anti").join(dim, on, how))
+    if how in ("left", "left_anti"):
+        whole = whole.unionByName(rows.filter(~keyed), allowMissingColumns=True)
+    return whole
 
 
 def join_details(
