@@ -47,19 +47,23 @@ def _list(items: list[Column]) -> Column:
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
+def pattern_hits(text: Column, patterns: Sequence[str]) -> Column:
+    """The first match of each pattern, or null, in list order."""
+    found = [F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in patterns]
+    return F.array(*found).cast("array<string>")
+
+
 def match_patterns(text: Column, patterns: Sequence[str]) -> Column:
     """The first match of every pattern that matches, in list order."""
-    found = [F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in patterns]
-    if not found:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*found))
+    return F.array_compact(pattern_hits(text, patterns))
 
 
-def pattern_bonus(text: Column, patterns: Weighted) -> Column:
+def pattern_bonus(hits: Column, patterns: Weighted) -> Column:
+    """The sum of the bonuses of the patterns that have a hit."""
     total = F.lit(0.0)
-    for pattern, bonus in patterns:
-        total = total + F.when(text.rlike(pattern), F.lit(float(bonus))).otherwise(0.0)
-    return F.coalesce(total, F.lit(0.0))
+    for i, (_, bonus) in enumerate(patterns):
+        total = total + F.when(F.get(hits, F.lit(i)).isNotNull(), float(bonus)).otherwise(0.0)
+    return total
 
 
 def effective_weights(keywords: DataFrame, overrides: DataFrame | None) -> DataFrame:
@@ -107,12 +111,12 @@ def relevance(
     found = F.struct(
         match_keywords(text, [k for k, _ in rules.positive]).alias("positive_matches"),
         match_keywords(text, [k for k, _ in rules.negative]).alias("negative_matches"),
-        match_patterns(text, [p for p, _ in rules.patterns]).alias("experience_matches"),
-        pattern_bonus(text, rules.patterns).alias("_bonus"),
+        pattern_hits(text, [p for p, _ in rules.patterns]).alias("_hits"),
     )
     # As a one-row generator, so that a later filter on the score is not pushed below
     # it, where every match would be computed again
     out = df.select(*df.columns, F.inline(F.array(found)))
+    out = out.withColumn("experience_matches", F.array_compact("_hits"))
     if overrides is not None:
         out = out.withColumn("_learned", _multiplier_map(df, rules, overrides))
 
@@ -130,10 +134,10 @@ def relevance(
     raw = (
         weighted("positive_matches", rules.positive)
         - weighted("negative_matches", rules.negative)
-        + F.col("_bonus")
+        + pattern_bonus(F.col("_hits"), rules.patterns)
     )
     scored = out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
-    return scored.drop("_bonus", "_learned")
+    return scored.drop("_hits", "_learned")
 
 
 def score_filter(df: DataFrame, threshold: float) -> DataFrame:

@@ -51,6 +51,13 @@ class IngestResult:
     funnel: DataFrame
 
 
+def _parsed_once(parsed: DataFrame, bad: str) -> DataFrame:
+    """Parsed files as a table: JSON is parsed once, and each later pass reads only
+    the columns it needs. The raw body is kept where it has to be reported."""
+    report = F.col(bad) | F.coalesce(F.col("status_code") != 200, F.lit(True))
+    return stage(parsed.withColumn("body", F.when(report, F.col("body"))), "parsed")
+
+
 def job_rejects() -> Column:
     """Why a scored row cannot be inserted, or null."""
     return (
@@ -189,7 +196,9 @@ def ingest_pages(
         F.col("url").alias("company_url"),
         urls.page_endpoints(F.col("url"))["org"].isNotNull().alias("_usable"),
     )
-    parsed = many_to_one(parse_pages(pages), links.filter("_usable").drop("_usable"), ["company_id"])
+    landed = _parsed_once(parse_pages(pages), "bad")
+    usable = links.filter("_usable").select("company_id")
+    parsed = many_to_one(landed, usable, ["company_id"], "left_semi")
     read = pages_until_stop(parsed, max_pages=rules.max_pages)
     candidates = explode_postings(read).filter(
         recent_text(F.col("posted_on"))
@@ -213,7 +222,7 @@ def ingest_pages(
             F.lit("no path segment in url"), F.col("company_url"),
         ),
         metrics.rejects(
-            parse_pages(pages).filter(F.col("page_no") < rules.max_pages), source, "page",
+            landed.filter(F.col("page_no") < rules.max_pages), source, "page",
             F.when(F.col("status_code").isNull() | (F.col("status_code") != 200), "not 200")
             .when(F.col("unreadable"), "unreadable body"),
             F.col("body"),
@@ -237,7 +246,8 @@ def ingest_boards(
 ) -> IngestResult:
     """A run over boards: recency, title and place are judged before the detail join."""
     names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
-    parsed = many_to_one(parse_boards(boards), names, ["company_id"])
+    landed = _parsed_once(parse_boards(boards), "unreadable")
+    parsed = many_to_one(landed, names.select("company_id"), ["company_id"], "left_semi")
     candidates = explode_board(parsed).filter(
         recent_ts(F.col("updated_at"), as_of, rules.fresh_hours)
         & title_ok(F.col("title"), rules.title_include, rules.title_exclude)

@@ -70,11 +70,13 @@ def keyword_matches_table(spark, d):
 @query
 def pattern_first_match(spark, d):
     patterns = [p for p, _ in fx.DOC_RULES.patterns]
-    found = scoring.match_patterns(c("plain"), patterns)
-    return _plain_documents(spark, d).select(
+    found = _plain_documents(spark, d).select(
+        "doc_id", scoring.pattern_hits(c("plain"), patterns).alias("hits")
+    )
+    return found.select(
         "doc_id",
-        F.array_join(found, "|").alias("matches"),
-        scoring.pattern_bonus(c("plain"), fx.DOC_RULES.patterns).alias("bonus"),
+        F.array_join("hits", "|").alias("matches"),
+        scoring.pattern_bonus(c("hits"), fx.DOC_RULES.patterns).alias("bonus"),
     )
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from rolesift import rules, schemas
 
 
-def _read(spark: SparkSession, path: str, schema: StructType, streaming: bool) -> DataFrame:
+def _read(
+    spark: SparkSession, path: str, schema: StructType, streaming: bool, **options: str
+) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(schema).json(path)
+    return reader.schema(schema).options(**options).json(path)
 
 
 def read_pages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -22,10 +26,19 @@ def read_boards(spark: SparkSession, path: str, streaming: bool = False) -> Data
 
 
 def read_details(
-    spark: SparkSession, path: str, source: str, streaming: bool = False
+    spark: SparkSession,
+    path: str,
+    source: str,
+    streaming: bool = False,
+    landed_hours: int | None = None,
 ) -> DataFrame:
+    """All landed details, or only the files of the last `landed_hours`."""
     schema = schemas.DETAILS_A if source == rules.SOURCE_A else schemas.DETAILS_B
-    return _read(spark, path, schema, streaming)
+    options = {}
+    if landed_hours is not None:
+        since = datetime.now(timezone.utc) - timedelta(hours=landed_hours)
+        options = {"modifiedAfter": since.strftime("%Y-%m-%dT%H:%M:%S"), "timeZone": "UTC"}
+    return _read(spark, path, schema, streaming, **options)
 
 
 def read_decisions(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

@@ -58,12 +58,14 @@ def ingest_stream(
     rules: RuleSet = RuleSet(),
     every: str | None = None,
     as_of: str | None = None,
+    detail_hours: int | None = None,
 ) -> StreamingQuery:
     """Run the ingest plan on every batch of new list files.
 
     `every` such as `1 hour` keeps the query running; without it, it stops when all
     landed files are read. Recency is judged by processing time, or by `as_of`. A page
-    series of one company has to land within one batch.
+    series of one company has to land within one batch. `detail_hours` keeps a long
+    running query from reading details that landed long before its postings.
     """
     paged = source == fixed.SOURCE_A
     reader = landed.read_pages if paged else landed.read_boards
@@ -76,7 +78,7 @@ def ingest_stream(
             "analysis": tables.read_table(session, root, "job_analysis", schemas.JOB_ANALYSIS, mine),
             "overrides": tables.read_overrides(session, root),
         }
-        details = landed.read_details(session, detail_path, source)
+        details = landed.read_details(session, detail_path, source, landed_hours=detail_hours)
         now = F.to_timestamp(F.lit(as_of)) if as_of else F.current_timestamp()
         extra = {} if paged else {"as_of": now}
         plan = ingest_pages if paged else ingest_boards

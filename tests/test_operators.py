@@ -293,3 +293,9 @@ def test_first_decision_wins(spark):
 def test_fixed_values():
     assert len(rules.TITLE_EXCLUDE) == len(set(rules.TITLE_EXCLUDE)) == 103
     assert (len(rules.POSITIVE), len(rules.NEGATIVE), len(rules.LOCATIONS)) == (49, 19, 13)
+
+
+def test_first_match_per_pattern(spark):
+    found = scoring.match_patterns(F.col("t"), [p for p, _ in rules.PATTERNS])
+    row = texts(spark, "7+ YEARS or 12 years, senior").select(found.alias("m")).collect()[0]
+    assert row.m == ["7+ YEARS", "12 years", "senior"]

@@ -1,6 +1,7 @@
 """Whole runs on small landed files: both sources, the streams, replay, recalibration."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +259,16 @@ def test_registry_from_csv(spark, tmp_path):
     links = registry.read_registry(spark, str(path), "Greenhouse Carrer Page").collect()
     assert sorted(map(tuple, links)) == [("Ace", "https://b.example.com/boards/ace"), ("Zed", "https://other")]
     assert registry.company_id(table, "Ace").collect()[0].id == 2 and registry.company_id(table, "No").count() == 0
+
+
+def test_details_by_landing_time(spark, paged, tmp_path):
+    _, details, _ = paged
+    old = tmp_path / "details" / "old.json"
+    old.write_text(json.dumps(detail(9, "/old")))
+    os.utime(old, (1_600_000_000, 1_600_000_000))
+    everything = landed.read_details(spark, details, fixed.SOURCE_A)
+    recent = landed.read_details(spark, details, fixed.SOURCE_A, landed_hours=2)
+    assert everything.count() == recent.count() + 1
+    assert recent.filter("company_id = 9").count() == 0
+    os.utime(tmp_path / "details" / "d.json", (1_600_000_000, 1_600_000_000))
+    assert landed.read_details(spark, details, fixed.SOURCE_A, landed_hours=2).count() == 0
