@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.operators.joins import many_to_one
-from rolesift.operators.ordered import assign_ids, first_per_key
+from rolesift.operators.numbering import assign_ids
+from rolesift.operators.ordered import first_per_key
 from rolesift.session import stage
 
 
@@ -31,14 +32,15 @@ def unseen(
     with a small batch Spark broadcasts them and never shuffles the target; with a
     large one the second join reuses the first one's partitioning.
     """
-    keys = list(keys)
-    first = first_per_key(batch.filter(~null_key(keys)), keys, order, collation)
-    if collation is None:
-        present = target.select(*keys).join(first.select(*keys), keys, "left_semi")
-        return first.join(present, keys, "left_anti")
-    held = target.select(*[F.col(k).alias(f"_held_{k}") for k in keys])
-    same = [F.collate(k, collation) == F.collate(f"_held_{k}", collation) for k in keys]
-    return first.join(held, reduce(and_, same), "left_anti")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        key = (lambda k: F.collate(k, collation)) if collation else F.col
+        return df.select("*", *[key(k).alias(f"_key_{k}") for k in keys])
+
+    on = [f"_key_{k}" for k in keys]
+    first = first_per_key(keyed(batch.filter(~null_key(keys))), on, order)
+    present = keyed(target.select(*keys)).select(*on).join(first.select(*on), on, "left_semi")
+    return first.join(present, on, "left_anti").drop(*on)
 
 
 def insert_new(

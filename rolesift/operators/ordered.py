@@ -1,4 +1,4 @@
-"""First row per key, and row numbers without a one-task window."""
+"""The first row of every key."""
 
 from __future__ import annotations
 
@@ -8,85 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rolesift.session import stage
-
-_SLOT_BITS = 33  # monotonically_increasing_id keeps the row's place in its low 33 bits
-
 
 def first_per_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    collation: str | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 ) -> DataFrame:
     """The first row of every key in `order`.
 
     The `= 1` filter lets Spark cut each task's rows to one per key before the
     shuffle, so a key that holds a third of all rows sends one row per task.
     """
-    by = [F.collate(k, collation) if collation else F.col(k) for k in keys]
-    place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
-
-
-def number_rows(
-    df: DataFrame,
-    order: Sequence[str],
-    id_col: str,
-    start: Column | None = None,
-    group: Sequence[str] = (),
-    total_col: str | None = None,
-) -> DataFrame:
-    """Consecutive numbers 1, 2, … in `order`, optionally restarting per `group`.
-
-    Rows are range-partitioned and sorted once, and written with their place; a
-    row's number is its place plus the rows in earlier partitions. So one group
-    may span any number of tasks. `order` must tell all rows of a group apart.
-    `start` is added to every number.
-    """
-    sort = [*group, *order]
-    placed = stage(
-        df.repartitionByRange(*sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("_slot", F.monotonically_increasing_id()),
-        "numbered",
-    )
-    slot = F.col("_slot")
-    placed = placed.withColumn("_part", F.shiftright(slot, _SLOT_BITS)).withColumn(
-        "_local", slot.bitwiseAND((1 << _SLOT_BITS) - 1)
-    )
-    # One row per (partition, group) that meet: at most partitions + groups rows
-    spans = placed.groupBy("_part", *group).agg(
-        F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    earlier = (
-        W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    )
-    spans = spans.select(
-        F.col("_part").alias("_p"),
-        *[F.col(g).alias(f"_g_{g}") for g in group],
-        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
-        F.sum("_n").over(W.partitionBy(*group)).alias("_total"),
-    )
-    on = F.col("_part") == F.col("_p")
-    for g in group:
-        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    number = F.col("_local") + F.col("_shift") + 1
-    if start is not None:
-        number = number + start
-    total = [F.col("_total").alias(total_col)] if total_col else []
-    # Without groups the spans are one row per partition, a proven bound
-    side = spans if group else F.broadcast(spans)
-    return placed.join(side, on).select(number.alias(id_col), *df.columns, *total)
-
-
-def assign_ids(
-    df: DataFrame, order: Sequence[str], start: Column | None = None, id_col: str = "id"
-) -> DataFrame:
-    """Surrogate ids that go on from `start`, for example a target's greatest id."""
-    return number_rows(df, order, id_col, start=start)
-
-
-def number_messages(df: DataFrame, order: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """`i` of `n` for every message of a run."""
-    return number_rows(df, order, "i", group=group, total_col="n")

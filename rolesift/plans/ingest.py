@@ -24,7 +24,8 @@ from rolesift.functions.predicates import (
 from rolesift.operators import metrics, records
 from rolesift.operators.joins import join_details, many_to_one
 from rolesift.operators.merge import unseen
-from rolesift.operators.ordered import assign_ids, first_per_key
+from rolesift.operators.numbering import assign_ids
+from rolesift.operators.ordered import first_per_key
 from rolesift.operators.pages import (
     explode_board,
     explode_postings,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rolesift import rules as fixed
 from rolesift import schemas
 from rolesift.functions import html, lists, messages, predicates, urls
-from rolesift.operators import decisions, learner, merge, metrics, ordered, pages, records, scoring
+from rolesift.operators import decisions, learner, merge, metrics, numbering, ordered, pages, records, scoring
 from rolesift.operators.joins import decided_with_analysis, join_details, jobs_with_company
 from rolesift.plans import fixtures as fx
 from rolesift.plans.fixtures import table
@@ -335,7 +335,7 @@ def explode_board(spark, d):
 @query
 def assign_ids(spark, d):
     start = table(spark, d, "nation").agg(F.max("n_nationkey")).scalar()
-    ids = ordered.assign_ids(
+    ids = numbering.assign_ids(
         table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), ["s_nationkey", "s_suppkey"], start
     )
     return ids.select("id", "s_suppkey")
@@ -344,7 +344,7 @@ def assign_ids(spark, d):
 @query
 def number_messages(spark, d):
     rows = table(spark, d, "orders").select("o_orderstatus", "o_orderkey")
-    return ordered.number_messages(rows, ["o_orderkey"], ["o_orderstatus"]).select("o_orderkey", "i", "n")
+    return numbering.number_messages(rows, ["o_orderkey"], ["o_orderstatus"]).select("o_orderkey", "i", "n")
 
 
 # ---- Joins and records ----
@@ -414,7 +414,7 @@ def _orders_as_jobs(spark, d) -> DataFrame:
 
 def _existing_jobs(spark, d) -> DataFrame:
     finished = ordered.first_per_key(_orders_as_jobs(spark, d).filter("status = 'F'"), ["ats_job_id"], ["line"])
-    return ordered.assign_ids(finished, ["line"]).select("id", "company_id", "ats_job_id", "line")
+    return numbering.assign_ids(finished, ["line"]).select("id", "company_id", "ats_job_id", "line")
 
 
 @query
@@ -569,7 +569,7 @@ def decision_stream_verdicts(spark, d):
 def job_message(spark, d):
     jobs = jobs_with_company(fx.supplier_jobs(table(spark, d, "supplier")), fx.nation_companies(table(spark, d, "nation")))
     words = F.when(c("id") % 2 == 0, F.split("title", " ")).otherwise(F.array().cast("array<string>"))
-    rows = ordered.number_messages(jobs.withColumn("words", words), ["id"], ["company_id"])
+    rows = numbering.number_messages(jobs.withColumn("words", words), ["id"], ["company_id"])
     text = messages.job_message(
         c("company"), c("title"), F.nullif(c("location"), F.lit("Site 3")), c("words"), c("application_link"), F.lit("feed"), c("i"), c("n")
     )
@@ -728,7 +728,7 @@ def ingest_boards_rejects(spark, d):
 def _run_pages(spark, d):
     talks = table(spark, d, "conversations")
     held = fx.page_details(talks).select(F.substring_index("external_path", "/", -1).alias("ats_job_id"))
-    held = ordered.assign_ids(held.filter("ats_job_id like 'a%'").distinct(), ["ats_job_id"])
+    held = numbering.assign_ids(held.filter("ats_job_id like 'a%'").distinct(), ["ats_job_id"])
     jobs = held.select(
         *[(c(f.name) if f.name in held.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.JOB_INFO.fields]
     )

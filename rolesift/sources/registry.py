@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rolesift import rules
 from rolesift.functions.html import trim_space
-from rolesift.operators.ordered import assign_ids, first_per_key
+from rolesift.operators.numbering import assign_ids
+from rolesift.operators.ordered import first_per_key
 
 
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:

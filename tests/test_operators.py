@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolesift import rules, schemas
-from rolesift.operators import decisions, learner, merge, ordered, pages, scoring
+from rolesift.operators import decisions, learner, merge, numbering, ordered, pages, scoring
 from rolesift.operators.joins import many_to_one
 from rolesift.rules import RuleSet
 
@@ -94,7 +94,7 @@ def test_threshold_comes_before_rounding(spark):
 def test_numbers_are_dense_over_a_hot_group(spark):
     rows = [("hot" if i % 3 else f"g{i % 7}", i) for i in range(3000)] + [(None, i) for i in range(5)]
     df = spark.createDataFrame(rows, "g string, x int").repartition(7)
-    got = ordered.number_rows(df, ["x"], "i", group=["g"], total_col="n").collect()
+    got = numbering.number_messages(df, ["x"], ["g"]).collect()
     by_group = {}
     for r in got:
         by_group.setdefault(r.g, []).append((r.i, r.x, r.n))
@@ -108,9 +108,9 @@ def test_numbers_are_dense_over_a_hot_group(spark):
 
 def test_ids_go_on_from_start_and_survive_an_empty_batch(spark):
     df = spark.range(1000).withColumn("k", 999 - F.col("id")).drop("id").repartition(5)
-    got = {r.k: r.id for r in ordered.assign_ids(df, ["k"], F.lit(10)).collect()}
+    got = {r.k: r.id for r in numbering.assign_ids(df, ["k"], F.lit(10)).collect()}
     assert got == {k: k + 11 for k in range(1000)}
-    assert ordered.assign_ids(df.filter("k < 0"), ["k"]).count() == 0
+    assert numbering.assign_ids(df.filter("k < 0"), ["k"]).count() == 0
 
 
 def test_first_per_key_cuts_rows_before_the_shuffle(spark):
