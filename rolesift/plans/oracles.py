@@ -108,10 +108,10 @@ WITH decided AS (
   SELECT doc_id, CASE WHEN toxic = 1 THEN 'applied' ELSE 'rejected' END AS user_decision,
          positive_matches || negative_matches AS keywords
   FROM ({_scored(_PLAIN, "plain", fx.LEARN_RULES, "doc_id")}) JOIN labels USING (doc_id)),
-totals AS (SELECT count(*) AS total, count_if(user_decision = 'applied') AS accepted FROM decided),
+totals AS (SELECT count(*) AS total, count(*) FILTER (WHERE user_decision = 'applied') AS accepted FROM decided),
 counts AS (
-  SELECT keyword, count_if(user_decision = 'applied') AS accept_count,
-         count_if(user_decision <> 'applied') AS reject_count, count(*) AS sample_count
+  SELECT keyword, count(*) FILTER (WHERE user_decision = 'applied') AS accept_count,
+         count(*) FILTER (WHERE user_decision <> 'applied') AS reject_count, count(*) AS sample_count
   FROM (SELECT user_decision, unnest(keywords) AS keyword FROM decided) GROUP BY keyword),
 lifted AS (
   SELECT *, (accept_count::DOUBLE / sample_count) / ((SELECT accepted FROM totals)::DOUBLE / (SELECT total FROM totals)) AS lift
@@ -323,7 +323,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN l.keyword IS NOT NULL THEN '2024-02-01' END AS updated_on
         FROM learned l FULL JOIN old ON l.keyword = old.keyword""",
     "overrides_scan": _DECIDED + "SELECT keyword, round(multiplier::FLOAT::DOUBLE, 4) AS multiplier FROM learned",
-    "html_text": f"SELECT page_id, md5(t) AS text_md5, length(t) AS chars FROM (SELECT page_id, {_strip('html')} AS t FROM pages)",
+    "html_text": f"SELECT page_id, md5(t) AS text_md5, length(t)::INT AS chars FROM (SELECT page_id, {_strip('html')} AS t FROM pages)",
     "html_lines": f"SELECT page_id, md5({_lines('html')}) AS text_md5 FROM pages",
     "double_strip": f"SELECT page_id, md5({_strip(_lines('html'))}) AS text_md5 FROM pages",
     "url_parts": f"SELECT page_id, regexp_extract(url, '{_URL}', 1) AS scheme, {_HOST} AS netloc, {_PATH} AS path FROM pages",
@@ -430,8 +430,8 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, 'Re: ' || p_name || CASE WHEN p_size < 10 THEN ' ' || p_brand ELSE '' END || chr(10) || chr(10) || 'at ' || p_brand
                || chr(10) || chr(10) || p_partkey AS note FROM part""",
     "funnel": """
-        SELECT source, count(*) AS pages, count_if(lang = 'en') AS candidates, count_if(lang = 'en' AND n_chars > 500) AS detailed,
-               count_if(lang = 'en' AND n_chars > 500 AND contains(text, 'with')) AS saved FROM documents GROUP BY 1""",
+        SELECT source, count(*) AS pages, count(*) FILTER (WHERE lang = 'en') AS candidates, count(*) FILTER (WHERE lang = 'en' AND n_chars > 500) AS detailed,
+               count(*) FILTER (WHERE lang = 'en' AND n_chars > 500 AND contains(text, 'with')) AS saved FROM documents GROUP BY 1""",
     "union_of_sources": """
         SELECT c_custkey AS id, c_name AS name, 'workday' AS source FROM customer UNION ALL SELECT s_suppkey, s_name, 'greenhouse' FROM supplier""",
     "run_summary": """
