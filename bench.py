@@ -24,8 +24,8 @@ HEADLINES = (
     "location_filter",
     "first_per_key",
     "pages_until_stop",
-    "join_details_orders",
-    "jobs_with_company_orders",
+    "join_details",
+    "jobs_with_company",
     "insert_new",
     "assign_ids",
     "upsert",

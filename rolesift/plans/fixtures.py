@@ -62,11 +62,15 @@ def _sentences(text: Column) -> Column:
 
 def pages(conversations: DataFrame) -> DataFrame:
     """One landed list page per turn; its sentences are the postings on it."""
-    posting = lambda s: F.struct(
-        F.concat(F.lit("/job/"), F.md5(s)).alias("externalPath"),
-        F.when(s.contains("a"), "Posted Today").otherwise("Posted 30+ Days Ago").alias("postedOn"),
-        s.alias("locationsText"),
-    )
+
+    def posting(s: Column) -> Column:
+        recent = F.when(s.contains("a"), "Posted Today").otherwise("Posted 30+ Days Ago")
+        return F.struct(
+            F.concat(F.lit("/job/"), F.md5(s)).alias("externalPath"),
+            recent.alias("postedOn"),
+            s.alias("locationsText"),
+        )
+
     body = F.struct(F.transform(_sentences(F.col("text")), posting).alias("jobPostings"))
     return conversations.select(
         F.col("conv_id").cast("int").alias("company_id"),

@@ -374,12 +374,12 @@ ORACLES: dict[str, str] = {
     "assign_ids": "SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS id, s_suppkey FROM supplier",
     "number_messages": """
         SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders""",
-    "join_details_orders": f"""
+    "join_details": f"""
         SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey, l_suppkey FROM orders JOIN ({_FIRST_LINE}) ON l_orderkey = o_orderkey""",
     "decided_scan": f"""
         SELECT o_orderkey AS job_id, o_orderstatus AS user_decision, l_returnflag AS positive_matches, l_linestatus AS negative_matches
         FROM orders JOIN ({_FIRST_LINE}) ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'O'""",
-    "jobs_with_company_orders": "SELECT o_orderkey, o_custkey AS company_id, c_name AS company FROM orders JOIN customer ON o_custkey = c_custkey",
+    "jobs_with_company": "SELECT o_orderkey, o_custkey AS company_id, c_name AS company FROM orders JOIN customer ON o_custkey = c_custkey",
     "normalize_a": f"""
         SELECT md5(s) AS ats_job_id, 'L' || length(s) AS location, 'Posted Today' AS posted,
                md5({_lines("'<p>' || any_value(s) || '</p><b>Java</b>'")}) AS text_md5, count(*) AS copies
@@ -432,7 +432,7 @@ ORACLES: dict[str, str] = {
     "funnel": """
         SELECT source, count(*) AS pages, count(*) FILTER (WHERE lang = 'en') AS candidates, count(*) FILTER (WHERE lang = 'en' AND n_chars > 500) AS detailed,
                count(*) FILTER (WHERE lang = 'en' AND n_chars > 500 AND contains(text, 'with')) AS saved FROM documents GROUP BY 1""",
-    "union_of_sources": """
+    "union_sources": """
         SELECT c_custkey AS id, c_name AS name, 'workday' AS source FROM customer UNION ALL SELECT s_suppkey, s_name, 'greenhouse' FROM supplier""",
     "run_summary": """
         SELECT 'workday' AS source, count(*) AS new_jobs FROM customer UNION ALL SELECT 'greenhouse', count(*) FROM supplier""",

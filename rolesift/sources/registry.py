@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift import rules
@@ -28,10 +28,11 @@ def read_registry(spark: SparkSession, path: str, link_col: str) -> DataFrame:
     return rows.filter((F.col("name") != "") & (F.col("url") != ""))
 
 
-def build_registry(csv: DataFrame) -> DataFrame:
+def build_registry(csv: DataFrame, order: Column | None = None) -> DataFrame:
     """company_info rows: the source is the one whose link column is filled.
 
-    The first row of a name wins; ids follow the order of the file.
+    The first row of a name in `order` wins, and ids follow it. By default that is
+    the order of lines, which is sure for one file only.
     """
     ats, link = F.lit(""), F.lit("")
     for source, column in reversed(rules.LINK_COLUMNS):
@@ -39,7 +40,7 @@ def build_registry(csv: DataFrame) -> DataFrame:
         ats = F.when(filled, F.lit(source)).otherwise(ats)
         link = F.when(filled, _text(column)).otherwise(link)
     rows = csv.select(
-        F.monotonically_increasing_id().alias("_line"),
+        (F.monotonically_increasing_id() if order is None else order).alias("_line"),
         _text(rules.NAME_COLUMN).alias("company_name"),
         F.lit("").alias("base_country"),
         F.lit("").alias("target_location"),
