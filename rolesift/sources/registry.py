@@ -51,14 +51,18 @@ def build_registry(csv: DataFrame, order: Column | None = None) -> DataFrame:
     return assign_ids(once, ["_line"]).drop("_line").withColumn("id", F.col("id").cast("int"))
 
 
-def companies_for(registry: DataFrame, ats: str) -> DataFrame:
+def _same(name: str, value: str, collation: str | None) -> Column:
+    return (F.collate(name, collation) if collation else F.col(name)) == value
+
+
+def companies_for(registry: DataFrame, ats: str, collation: str | None = None) -> DataFrame:
     """Companies of one source that have a link."""
-    hit = (F.col("ats") == ats) & (F.col("ats_link") != "")
+    hit = _same("ats", ats, collation) & (F.col("ats_link") != "")
     return registry.filter(hit).select(
         "id", F.col("company_name").alias("name"), F.col("ats_link").alias("url")
     )
 
 
-def company_id(registry: DataFrame, name: str) -> DataFrame:
+def company_id(registry: DataFrame, name: str, collation: str | None = None) -> DataFrame:
     """The id of one company, or no row."""
-    return registry.filter(F.col("company_name") == name).select("id").limit(1)
+    return registry.filter(_same("company_name", name, collation)).select("id").limit(1)

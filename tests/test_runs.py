@@ -2,6 +2,7 @@
 
 import json
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from rolesift import rules as fixed
 from rolesift import schemas
 from rolesift.plans.ingest import ingest_boards, ingest_pages
 from rolesift.plans.recalibrate import run_recalibration
+from rolesift.session import shared_dir
 from rolesift.sources import landed, registry, tables
 from rolesift.streaming.decisions import apply_batch, decision_stream
 from rolesift.streaming.ingest import ingest_stream
@@ -191,7 +193,10 @@ def test_decision_stream(spark, tmp_path):
     folder = land(tmp_path / "events", "e1.json", [
         event(1, "apply:1"), event(2, "reject:1"), event(3, "reject:2"), event(4, "apply:9"), event(5, "oops"),
     ])
+    staged = Path(shared_dir(spark)) / spark.sparkContext.applicationId
+    before = set(staged.iterdir()) if staged.exists() else set()
     decision_stream(spark, folder, companies, root, offsets, as_of=NOW).awaitTermination()
+    assert (set(staged.iterdir()) if staged.exists() else set()) == before, "a batch leaves no staged table"
     land(tmp_path / "events", "e2.json", [event(6, "apply:2"), event(7, "apply:3"), event(7, "apply:3")])
     decision_stream(spark, folder, companies, root, offsets, as_of=NOW).awaitTermination()
     verdicts = sorted((r.callback_id, r.verdict) for r in read(spark, root, "verdicts", schemas.VERDICTS).collect())
@@ -258,7 +263,9 @@ def test_registry_from_csv(spark, tmp_path):
     assert [tuple(r) for r in registry.companies_for(table, "greenhouse").collect()] == [(2, "Ace", "https://b.example.com/boards/ace")]
     links = registry.read_registry(spark, str(path), "Greenhouse Carrer Page").collect()
     assert sorted(map(tuple, links)) == [("Ace", "https://b.example.com/boards/ace"), ("Zed", "https://other")]
-    assert registry.company_id(table, "Ace").collect()[0].id == 2 and registry.company_id(table, "No").count() == 0
+    assert registry.company_id(table, "Ace").collect()[0].id == 2 and registry.company_id(table, "ace").count() == 0
+    assert registry.company_id(table, "ace", "UTF8_LCASE").collect()[0].id == 2
+    assert registry.companies_for(table, "WORKDAY", "UTF8_LCASE").count() == 1
 
 
 def test_details_by_landing_time(spark, paged, tmp_path):
