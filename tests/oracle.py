@@ -40,10 +40,10 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(text(v) for v in row) for row in df.astype(object).itertuples(index=False))
 
 
-def compare(spark, con, sf_dir: str, name: str) -> str | None:
+def compare(spark, con, sf_dir: str, name: str, queries=QUERIES, oracles=ORACLES) -> str | None:
     """None if both agree, else what differs."""
-    got = QUERIES[name](spark, sf_dir).toPandas()
-    want = con.execute(ORACLES[name]).df()
+    got = queries[name](spark, sf_dir).toPandas()
+    want = con.execute(oracles[name]).df()
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     mine, theirs = rows(got), rows(want)
