@@ -31,3 +31,31 @@ WITH a AS (
 SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
 FROM p LEFT JOIN h ON h.page_id IS NOT DISTINCT FROM p.page_id AND h.host = p.host AND h.path = p.path AND h.k = 1
 """
+
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op5_decontamination"] = rf"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents
+), bw AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, coalesce({_WORDS.format("text")}, []) AS w FROM benchmark
+), bs AS (
+  SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM bs
+), sizes AS (
+  SELECT DISTINCT n FROM win
+), grams AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)
+), hits AS (
+  SELECT r, i, g.n, item FROM grams g JOIN win USING (n, phrase)
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+), named AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""

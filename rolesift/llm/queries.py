@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import exact_dedup, url_filter
+from rolesift.llm import decontamination, exact_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op5_decontamination(spark, d):
+    return decontamination.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query
 def op7_exact_dedup(spark, d):
     return exact_dedup.exact_groups(table(spark, d, "documents"))
