@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rolesift.llm import licenses
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op7_exact_dedup"] = r"""
@@ -59,3 +61,53 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
+
+
+def _normal(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    plain = f"regexp_replace({lower}, '{licenses.NOT_PLAIN}', ' ', 'g')"
+    return f"replace(regexp_replace({plain}, '{licenses.EDGES}', '', 'g'), 'licence', 'license')"
+
+
+def _license_sql() -> str:
+    """One table expression per rule, each on what the rules before it have left."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(i)}, {quoted(s)})" for i, s in licenses.SENTENCES)
+    steps = []
+    for k, (name, ids) in enumerate(licenses.RULES):
+        run = quoted("".join(f",{i}," for i in ids))
+        steps.append(
+            f"r{k + 1} AS (SELECT * REPLACE (replace(rest, {run}, ',-,') AS rest, "
+            f"CASE WHEN contains(rest, {run}) AND NOT list_contains(names, {quoted(name)}) "
+            f"THEN list_append(names, {quoted(name)}) ELSE names END AS names) FROM r{k})"
+        )
+    return rf"""
+WITH known AS (
+  SELECT DISTINCT id, {_normal("s")} AS s FROM (VALUES {known}) v(id, s)
+), parts AS (
+  SELECT r, doc_id, [x FOR x IN string_split(regexp_replace(regexp_replace(coalesce(text, ''),
+    '{licenses.STOP}', '\1' || chr(30), 'g'), '{licenses.BLANK}', chr(30), 'g'), chr(30)) IF length(trim(x)) > 0] AS ss
+  FROM (SELECT *, row_number() OVER () AS r FROM documents)
+), one AS (
+  SELECT r, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM parts
+), whole AS (
+  SELECT r, i, one.s, id FROM one LEFT JOIN known ON {_normal("one.s")} = known.s
+), lines AS (
+  SELECT r, i, j, coalesce(known.id, '-') AS id
+  FROM (SELECT r, i, unnest(string_split(s, chr(10))) AS l, generate_subscripts(string_split(s, chr(10)), 1) AS j
+        FROM whole WHERE id IS NULL) LEFT JOIN known ON {_normal("l")} = known.s
+), seq AS (
+  SELECT r, list(id ORDER BY i, j) AS ids FROM (
+    SELECT r, i, 1 AS j, id FROM whole WHERE id IS NOT NULL UNION ALL SELECT r, i, j, id FROM lines
+  ) GROUP BY r
+), r0 AS (
+  SELECT doc_id, len(ss) AS n_sentences, coalesce([x FOR x IN ids IF x <> '-'], []) AS known_ids,
+    regexp_replace(',' || array_to_string(ids, ',,') || ',', '(,-,)+', ',-,', 'g') AS rest, CAST([] AS VARCHAR[]) AS names
+  FROM parts LEFT JOIN seq USING (r)
+), {", ".join(steps)}
+SELECT doc_id, n_sentences, array_to_string(known_ids, ',') AS sentence_ids,
+  array_to_string(names, ',') AS licenses, names[1] AS license FROM r{len(licenses.RULES)}
+"""
+
+
+ORACLES["op9_license_scan"] = _license_sql()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import decontamination, exact_dedup, url_filter
+from rolesift.llm import decontamination, exact_dedup, licenses, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,11 @@ def op7_exact_dedup(spark, d):
     return exact_dedup.exact_groups(table(spark, d, "documents"))
 
 
+@query
+def op9_license_scan(spark, d):
+    return licenses.scan_licenses(table(spark, d, "documents"))
+
+
 @query
 def op10_url_filter(spark, d):
     return url_filter.judge_urls(table(spark, d, "pages"), url_filter.rule_table(spark, URL_RULES))
