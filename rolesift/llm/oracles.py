@@ -111,3 +111,18 @@ SELECT doc_id, n_sentences, array_to_string(known_ids, ',') AS sentence_ids,
 
 
 ORACLES["op9_license_scan"] = _license_sql()
+
+ORACLES["op3_warc_bundles"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)
+    FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
