@@ -27,44 +27,59 @@ def squeeze_spaces(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class ExactIndex:
-    """`directory`: slot (the key's first `max_depth` bits), depth, bucket; written to files.
+    """`directory`, and tables on shared files.
 
     `entries`: one row per different text, by bucket: bucket, key, chain (its place among
     texts of an equal key), text_sha256, keep_id, group_size. `rows`: every document's id,
     key and digest.
     """
 
-    directory: DataFrame
+    directory: Directory
     entries: DataFrame
     rows: DataFrame
 
 
-def _slot(key: Column, max_depth: int) -> Column:
-    return F.shiftrightunsigned(key, 64 - max_depth)
+@dataclass(frozen=True)
+class Directory:
+    """`depth`: leading bits of a key that pick a slot; `slots`: slot, depth of its bucket, bucket."""
+
+    depth: int
+    slots: DataFrame
+
+    def slot(self, key: Column) -> Column:
+        return F.shiftrightunsigned(key, 64 - self.depth)
 
 
-def directory_of(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The directory after all splits: slot, depth, bucket for each slot that holds a key.
+def directory_of(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> Directory:
+    """The directory after all splits of buckets with over `bucket_keys` different keys.
 
-    A bucket over `bucket_keys` different keys splits on one more leading bit, which
-    doubles the directory when the bucket's depth was the directory's; so a slot ends at
-    the least depth where its bucket fits, or at `max_depth`. All depths are counted
-    together, from at most 2**max_depth slots, in place of one job per doubling.
-    `bucket` is the bucket's first slot.
+    A split sends a bucket's keys by one more leading bit, and doubles the directory when
+    the bucket's depth was the directory's. So the final buckets are the widest key ranges
+    that fit (or have `max_depth`) inside ranges that do not. The sizes of all possible
+    buckets are counted together, from at most 2**max_depth cells, in place of one job per
+    doubling. `bucket` is the first cell of its range.
     """
-    slots = keys.select("key").distinct().groupBy(_slot(F.col("key"), max_depth).alias("slot")).agg(
-        F.count(F.lit(1)).alias("n")
+    cell = F.shiftrightunsigned(F.col("key"), 64 - max_depth).alias("cell")
+    cells = keys.select("key").distinct().groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(max_depth) - F.col("depth"))
+    tried = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
+    sizes = stage(
+        tried.groupBy("depth", (F.col("cell") - F.pmod("cell", width)).alias("bucket")).agg(F.sum("n").alias("held")),
+        "dedup-sizes",
     )
-    depth = F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(max_depth) - F.col("depth"))
-    first = (F.col("slot") - F.pmod(F.col("slot"), step)).alias("bucket")
-    tried = slots.select("slot", "n", depth).select("slot", "n", "depth", first)
-    sizes = tried.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
-    fits = sizes.filter((F.col("held") <= bucket_keys) | (F.col("depth") == max_depth))
-    final = tried.join(fits, ["depth", "bucket"]).groupBy("slot").agg(
-        F.min(F.struct("depth", "bucket")).alias("at")
+    over = sizes.filter((F.col("held") > bucket_keys) & (F.col("depth") < max_depth))
+    halves = over.select(
+        (F.col("depth") + 1).alias("depth"),
+        F.explode(F.array("bucket", F.col("bucket") + F.shiftright(width, 1))).alias("bucket"),
     )
-    return final.select("slot", "at.depth", "at.bucket")
+    fit = sizes.join(over.select("depth", "bucket"), ["depth", "bucket"], "left_anti")
+    whole = fit.filter(F.col("depth") == 0).select("depth", "bucket")
+    leaves = stage(whole.unionByName(fit.select("depth", "bucket").join(halves, ["depth", "bucket"])), "dedup-buckets")
+    depth = max(1, leaves.agg(F.max("depth")).first()[0] or 0)
+    spread = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(depth) - F.col("depth"), F.lit(0)))
+    first = F.shiftright("bucket", max_depth - depth)
+    slots = leaves.select(F.explode(F.sequence(first, first + spread - 1)).alias("slot"), "depth", "bucket")
+    return Directory(depth, stage(slots, "dedup-directory"))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -80,7 +95,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = squeeze_spaces(F.col(text_col))
     full = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("key", F.xxhash64("_text"))
     rows = stage(full.select("_id", "key", F.sha2("_text", 256).alias("text_sha256")), "dedup-keys")
-    directory = stage(directory_of(rows, bucket_keys, max_depth), "dedup-directory")
+    directory = directory_of(rows, bucket_keys, max_depth)
 
     per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
     floor = F.lit(rows.count() / _HOT_SHARE)
@@ -88,8 +103,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kept = [F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     # At most 2**max_depth slots of two numbers: a proven bound for the broadcast
-    slots = F.broadcast(directory.select(F.col("slot").alias("_slot"), "bucket"))
-    placed = full.withColumn("_slot", _slot(F.col("key"), max_depth)).join(slots, "_slot").drop("_slot")
+    slots = F.broadcast(directory.slots.select(F.col("slot").alias("_slot"), "bucket"))
+    placed = full.withColumn("_slot", directory.slot(F.col("key"))).join(slots, "_slot").drop("_slot")
     owned = placed.join(hot, "key", "left_anti").repartition("bucket")
     common = owned.groupBy("bucket", "key", "_text").agg(*kept)
     copied = placed.join(hot, "key", "left_semi").groupBy("bucket", "key", "_text").agg(*kept)
