@@ -10,18 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.llm.fm_index import FMIndex
+from rolesift.llm.words import ALNUM, word_slices
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
 BLOCK_BYTES = 16 << 20
-SLICE_BYTES = 8 << 20
 HELD_BYTES = 24 << 20
 
-# A-Z to lower case; every byte that is no part of a word to a space
-_WORD_BYTES = bytes(
-    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
-    for b in range(256)
-)
 _FOUND = pa.struct([
     ("n_words", pa.int64()),
     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
@@ -30,26 +25,6 @@ _FOUND = pa.struct([
 FOUND_TYPE = "struct<n_words:bigint, spans:array<struct<start:bigint,end:bigint>>, item_ids:array<string>>"
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(_WORD_BYTES).split() if text else []
-
-
-def _word_slices(text: bytes | None) -> Iterator[list[bytes]]:
-    """The words of a text of any length, a bounded number at a time."""
-    at, end = 0, len(text or b"")
-    while at < end:
-        cut = at + SLICE_BYTES
-        part = text[at:cut].translate(_WORD_BYTES)
-        if cut < end and (space := part.rfind(b" ")) >= 0:
-            part = part[: space + 1]
-        elif cut < end:  # one word longer than a slice: take all of it
-            while cut < end and _WORD_BYTES[text[cut]] != 32:
-                cut += 1
-            part = text[at:cut].translate(_WORD_BYTES)
-        at += len(part)
-        yield part.split()
-
-
 class PhraseBlock:
     """The phrases of some benchmark items as symbol arrays, by length, and their items."""
 
@@ -57,7 +32,7 @@ class PhraseBlock:
         self.window, self.symbols = window, {}
         phrases: dict[int, dict[tuple[int, ...], set[str | None]]] = {}
         for item_id, text in items:
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text)]
+            ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for words in word_slices(text, ALNUM) for w in words]
             size = min(window, len(ids))
             for at in range(len(ids) - size + 1 if ids else 0):
                 phrases.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), set()).add(item_id)
@@ -155,7 +130,7 @@ def _search(batches: Iterator[pa.RecordBatch], block: PhraseBlock, shard_words:
     for batch in batches:
         for text in batch.column(batch.schema.get_field_index("_text")):
             first, tail = 0, np.empty(0, dtype=np.int64)
-            for words in _word_slices(text.as_py()):
+            for words in word_slices(text.as_py(), ALNUM):
                 ids = np.fromiter((symbol.get(w, 0) for w in words), dtype=np.int64, count=len(words))
                 piece = np.concatenate([tail, ids])  # begins with what a phrase may need of the last slice
                 shard.add(len(counts), first - len(tail), piece)

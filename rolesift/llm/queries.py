@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import decontamination, exact_dedup, licenses, url_filter, warc
+from rolesift.llm import decontamination, exact_dedup, licenses, simhash, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +44,11 @@ def op7_exact_dedup(spark, d):
     return exact_dedup.exact_groups(table(spark, d, "documents"))
 
 
+@query
+def op8_simhash(spark, d):
+    return simhash.near_groups(table(spark, d, "documents"))
+
+
 @query
 def op9_license_scan(spark, d):
     return licenses.scan_licenses(table(spark, d, "documents"))
