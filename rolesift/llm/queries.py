@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import decontamination, exact_dedup, licenses, simhash, url_filter, warc
+from rolesift.llm import decontamination, exact_dedup, licenses, simhash, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_toxicity(spark, d):
+    return toxicity.toxicity_digest(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op3_warc_bundles(spark, d):
     return warc.archive_digest(table(spark, d, "pages"))
