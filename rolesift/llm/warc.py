@@ -22,6 +22,7 @@ from rolesift.session import fresh_path, stage
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
 LEVEL = 3
+READ_BYTES = 16 << 20
 
 # Fixed values of the seekable Zstandard format and of WARC 1.1
 _SKIPPABLE_MAGIC = 0x184D2A5E
@@ -254,9 +255,11 @@ def write_bundles(pages: DataFrame, folder: str | None = None, min_bytes: int =
 def read_bundles(folder: str, index: DataFrame) -> DataFrame:
     """The records (RECORD_SCHEMA) that `index` names: all of it, or any choice of its rows.
 
-    Records of one frame are read together, each frame once.
+    Records of one frame are read together, each frame once, by tasks of about READ_BYTES of
+    records; the index rows that are shuffled say little about that.
     """
-    placed = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
+    content = index.agg(F.sum("bytes")).first()[0] or 0
+    placed = index.repartition(content // READ_BYTES + 1, "bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
     return placed.mapInArrow(partial(_read, folder=folder), RECORD_SCHEMA)
 
 
