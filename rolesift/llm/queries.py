@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import decontamination, exact_dedup, licenses, simhash, toxicity, url_filter, warc
+from rolesift.llm import decontamination, exact_dedup, licenses, lm_scoring, simhash, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +44,11 @@ def op5_decontamination(spark, d):
     return decontamination.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query
+def op6_lm_scoring(spark, d):
+    return lm_scoring.lm_digest(table(spark, d, "documents"))
+
+
 @query
 def op7_exact_dedup(spark, d):
     return exact_dedup.exact_groups(table(spark, d, "documents"))
