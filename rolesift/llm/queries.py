@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import decontamination, exact_dedup, licenses, lm_scoring, simhash, toxicity, url_filter, warc
+from rolesift.llm import decontamination, exact_dedup, licenses, lm_scoring, packing, simhash, toxicity, training_order, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +19,8 @@ URL_RULES = (
     ("org", "/fr/", "allow"),
 )
 
+TOKENIZERS = "/opt/tokenizers"
+
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -29,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_best_fit_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
 @query
 def op2_toxicity(spark, d):
     return toxicity.toxicity_digest(table(spark, d, "documents"), table(spark, d, "labels"))
@@ -39,6 +46,12 @@ def op3_warc_bundles(spark, d):
     return warc.archive_digest(table(spark, d, "pages"))
 
 
+@query
+def op4_training_order(spark, d):
+    vocabulary = training_order.Vocabulary.from_file(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+    return training_order.materialise(table(spark, d, "documents"), vocabulary).rows
+
+
 @query
 def op5_decontamination(spark, d):
     return decontamination.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark"))
