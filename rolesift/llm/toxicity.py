@@ -155,6 +155,28 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, trainin
     return w, float(b)
 
 
+def prior_threshold(margins: np.ndarray, prior: float, low: float = 0.75, high: float = 1.1) -> float:
+    """The margin above which about the prior's share of unlabelled texts lies.
+
+    It is the middle of the widest gap between neighbouring margins where the share above is
+    from `low` to `high` times the prior, since the prior itself is an estimate.
+    """
+    z = np.sort(margins)
+    first, last = int(len(z) * (1 - high * prior)), min(len(z) - 1, int(len(z) * (1 - low * prior)))
+    if last <= max(0, first):
+        return 0.0
+    near = z[max(0, first) : last + 1]
+    at = int(np.diff(near).argmax())
+    return float((near[at] + near[at + 1]) / 2)
+
+
+def _margins(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("at").to_pylist(), batch.column("count").to_pylist())
+        z = [float(sum(weights[k] * min(n, MAX_COUNT) for k, n in zip(at, count))) for at, count in pairs]
+        yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64())], names=["z"])
+
+
 def _fit(rows: pd.DataFrame, width: int, prior: float, training: Training) -> pd.DataFrame:
     x = np.zeros((len(rows), width), dtype=np.float32)
     for k, (at, count) in enumerate(zip(rows["at"], rows["count"])):
@@ -170,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Tr
     """Fit on confirmed positives and unlabelled texts among rows where `learnable` holds.
 
     Bounded samples (`Training`) of both are taken; the classifiers differ by the order of
-    steps and are averaged. The class prior is the share of positives among learnable labels.
+    steps and are averaged, and the bias of the average is set so that scores of at least 0.5
+    are about as frequent among unlabelled texts as the class prior. That is the share of positives among learnable labels.
     Labels of 0 are used for the prior alone. Repeated labels of one id count as positive if
     any is. Without positives or texts the model is the prior alone.
     """
@@ -215,8 +238,11 @@ def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Tr
     hashes = np.array(sorted(r.feature for r in top))
     index = {int(h): k for k, h in enumerate(hashes)}
 
-    vectors = sample.mapInArrow(
-        partial(_vectors, index=index), "positive boolean, unlabelled boolean, at array<int>, count array<int>"
+    vectors = stage(
+        sample.mapInArrow(
+            partial(_vectors, index=index), "positive boolean, unlabelled boolean, at array<int>, count array<int>"
+        ),
+        "toxic-vectors",
     )
     copies = vectors.withColumn("classifier", F.explode(F.sequence(F.lit(0), F.lit(training.classifiers - 1))))
 
@@ -227,7 +253,9 @@ def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Tr
         fit, "classifier int, weights array<double>, bias double"
     ).collect()
     weights = np.mean([r.weights for r in fitted], axis=0)
-    return Model(hashes, weights, float(np.mean([r.bias for r in fitted])), index)
+    # As many numbers as the unlabelled sample has texts
+    margins = vectors.filter("unlabelled").mapInArrow(partial(_margins, weights=weights), "z double").toArrow()
+    return Model(hashes, weights, -prior_threshold(margins.column("z").to_numpy(), prior), index)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
