@@ -20,8 +20,9 @@ from rolesift.llm.words import SPACED, word_slices
 from rolesift.operators.joins import many_to_one
 from rolesift.session import stage
 
-_CHUNK = 1 << 20
-_CACHE_WORDS = 1 << 20
+_COUNT_TOKENS = 1 << 20
+_SCORE_TOKENS = 1 << 18
+_CACHE_WORDS = 1 << 18
 _END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 _MAX_LEVEL = 120
 
@@ -73,7 +74,7 @@ class _Chunk:
         return keys
 
 
-def _chunks(texts, hashes: _Hashes, order: int) -> Iterator[_Chunk]:
+def _chunks(texts, hashes: _Hashes, order: int, limit: int) -> Iterator[_Chunk]:
     """A text begins after one end and ends with one; texts over a slice are several pieces."""
     pieces: list[tuple[int, int, np.ndarray]] = []
     size = 0
@@ -93,7 +94,7 @@ def _chunks(texts, hashes: _Hashes, order: int) -> Iterator[_Chunk]:
             pieces.append((doc, len(history), np.concatenate([history, tokens])))
             history = pieces[-1][2][-max(1, order - 1):]
             size += len(tokens)
-            if size >= _CHUNK:
+            if size >= limit:
                 yield chunk()
                 pieces, size = [], 0
     if pieces:
@@ -104,7 +105,7 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
     """N-gram counts of each chunk."""
     hashes = _Hashes()
     for batch in batches:
-        for chunk in _chunks(batch.column("text"), hashes, order):
+        for chunk in _chunks(batch.column("text"), hashes, order, _COUNT_TOKENS):
             for k in range(1, order + 1):
                 found, n = np.unique(chunk.keys(k)[chunk.own & (chunk.off >= k - 1)], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -233,7 +234,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) ->
         given: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
         n_tokens, score, n_known, base = (np.zeros(batch.num_rows) for _ in range(4))
         rare: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-        for chunk in _chunks(batch.column("text"), hashes, s.order):
+        for chunk in _chunks(batch.column("text"), hashes, s.order, _SCORE_TOKENS):
             level = []
             for k in range(1, s.order + 1):
                 keys, back = np.unique(chunk.keys(k), return_inverse=True)
