@@ -69,7 +69,7 @@ def suffix_order(text: np.ndarray, bits: int) -> np.ndarray:
     key, open_ = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
     for k in range(width):
         ahead = np.zeros(n, dtype=np.int64)
-        ahead[: n - k] = text[k:]
+        ahead[: max(0, n - k)] = text[k:]
         open_ &= ahead > 0
         key = (key << bits) | np.where(open_, ahead, 0)
     order = np.argsort(key, kind="stable")
