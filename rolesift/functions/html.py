@@ -28,11 +28,17 @@ _BARE = "|".join(
     sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True)
 )
 
+# A tag ends at its `>` outside quoted attribute values, or with the text
+_INSIDE = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+(?:>|\z)"""
+
+# Elements whose text is never shown end at their closing tag, or with the text
 _SILENT = (
-    r"(?s)<(?:(?i:script|style|template)\b[^>]*>.*?</(?i:script|style|template)\s*>|!--.*?-->)"
+    rf"(?s)<(?:((?i:script|style|template))\b{_INSIDE}.*?(?:</(?i:\1)\s*>|\z)"
+    rf"|(?i:rt|rp)\b{_INSIDE}.*?(?:</(?i:rt|rp|ruby)\s*>|\z)"
+    r"|!--.*?(?:-->|\z))"
 )
 # Possessive, so that a long run of tags is matched without recursion
-_TAGS = r"(?:<(?:/?[a-zA-Z]|[!?])[^>]*>)++"
+_TAGS = rf"(?:<(?:/?[a-zA-Z]|[!?]){_INSIDE})++"
 
 # Every character that counts as white space, not only the ASCII ones
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"

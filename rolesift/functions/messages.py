@@ -89,6 +89,25 @@ def decided_message(
     )
 
 
+# The answer to a callback, by verdict
+ANSWERS = {
+    "applied": "Applied ✅",
+    "rejected": "Rejected ❌",
+    "already_applied": "Already marked as applied",
+    "already_rejected": "Already marked as rejected",
+    "job_not_found": "Job not found",
+    "invalid_request": "Invalid request",
+    "unknown_action": "Unknown action",
+    "invalid_id": "Invalid job ID",
+}
+
+
+def callback_answer(verdict: Column) -> Column:
+    """What the sender of a callback is told; null for an event that is ignored."""
+    texts = F.create_map(*(F.lit(x) for pair in ANSWERS.items() for x in pair))
+    return F.try_element_at(texts, verdict)
+
+
 def keyboard(job_id: Column) -> Column:
     """The two decision buttons, as JSON."""
 

@@ -22,14 +22,17 @@ def parse_decision(events: DataFrame) -> DataFrame:
     """Flatten callbacks and give each its validation verdict; `ok` if it may count."""
     call = F.col("callback_query")
     flat = events.withColumn("callback_id", F.coalesce(call["id"], F.lit("")))
-    flat = flat.withColumn("message_id", call["message"]["message_id"])
+    message_id = call["message"]["message_id"]
+    flat = flat.withColumn("message_id", message_id)
     data = F.coalesce(call["data"], F.lit(""))
     colon = F.instr(data, ":")
     verb = F.substring(data, 1, colon - 1)
     known = (colon > 0) & verb.isin("apply", "reject")
     number = F.substring(data, colon + 1, F.length(data)).try_cast("bigint")
+    # A callback object without any field counts as none
+    absent = F.coalesce(call["id"], call["data"], message_id.cast("string")).isNull()
     verdict = (
-        F.when(call.isNull(), "ignored")
+        F.when(absent, "ignored")
         .when((data == "") | (F.coalesce(F.col("message_id"), F.lit(0)) == 0), "invalid_request")
         .when(~known, "unknown_action")
         .when(number.isNull(), "invalid_id")
@@ -133,3 +136,15 @@ def decision_effects(
         F.lit("applied").alias("status"),
     )
     return edited.unionByName(note.filter("text <> ''")), applications
+
+
+def callback_answers(verdicts: DataFrame) -> DataFrame:
+    """One outbox row for every callback: `keyboard` holds the callback's id."""
+    return verdicts.filter(F.col("verdict") != "ignored").select(
+        F.lit(2).cast("bigint").alias("seq"),
+        F.lit("answer").alias("kind"),
+        "job_id",
+        messages.callback_answer(F.col("verdict")).alias("text"),
+        F.col("callback_id").alias("keyboard"),
+        F.col("message_id").alias("reply_to"),
+    )

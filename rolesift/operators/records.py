@@ -43,8 +43,8 @@ def normalize_a(details: DataFrame) -> DataFrame:
 def normalize_b(details: DataFrame) -> DataFrame:
     """Fields of a board's detail, and `detail_ok`.
 
-    The requisition id falls back to the posting id only where its key is missing;
-    an explicit null stays null.
+    The requisition id falls back to the posting id, and the place to `Unknown`, only
+    where the key is missing; an explicit null stays null.
     """
     f, empty, unknown = F.col("_f"), F.lit(""), F.lit("Unknown")
     return (
@@ -53,7 +53,7 @@ def normalize_b(details: DataFrame) -> DataFrame:
         .withColumn("_f", _or_empty(F.col("_outer")))
         .withColumn("title", json_field(f, "title", empty))
         .withColumn("ats_job_id", json_field(f, "requisition_id", F.col("job_id").cast("string")))
-        .withColumn("location", F.coalesce(F.get_json_object(f["location"], "$.name"), unknown))
+        .withColumn("location", json_field(_or_empty(F.from_json(f["location"], _FIELDS)), "name", unknown))
         .withColumn("posted", json_field(f, "updated_at", unknown))
         .withColumn("description", json_field(f, "content", empty))
         .withColumn("application_link", json_field(f, "absolute_url", empty))

@@ -56,6 +56,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Markup that is easily taken apart wrongly; its text is `Quoted` and `R`
+HARD_MARKUP = (
+    '<body><p title="a > b">Quoted</p><ruby>R<rp>(</rp><rt>no</rt></ruby>'
+    '<script>var t = "<p>"; a > b</script>'
+)
+EASY_MARKUP = "<body><p>Quoted</p><i>R</i>"
+LOST_END = "<!-- never closed <p>lost</p>"
+
+
+def hard_markup(html: Column) -> Column:
+    """Pages with hard markup put in at the start of their bodies and an open comment at the end."""
+    return F.concat(F.replace(html, F.lit("<body>"), F.lit(HARD_MARKUP)), F.lit(LOST_END))
+
+
+SHIPPED = RuleSet()
+YEARS = ("7+ years", "12 years", "Senior", "backend", "4 years")
+
+
+def shipped_text(doc_id: Column, text: Column) -> Column:
+    """The text with two words of the shipped lists and a phrase of a shipped pattern."""
+    words = F.array(*(F.lit(k) for k, _ in (*SHIPPED.positive, *SHIPPED.negative)))
+    phrases = F.array(*map(F.lit, YEARS))
+    pick = lambda items, n: F.get(items, F.pmod(n, F.size(items)).cast("int"))
+    return F.concat_ws(" ", F.lower(text), pick(words, doc_id), pick(words, doc_id * 7), F.lower(pick(phrases, doc_id)))
+
+
+def shipped_title(part: Column, name: Column) -> Column:
+    """The name with a word that titles need, and for some one that they must not have."""
+    need = F.array(*map(F.lit, SHIPPED.title_include))
+    never = F.array(*map(F.lit, SHIPPED.title_exclude))
+    return F.concat_ws(
+        " ", name, F.get(need, F.pmod(part, F.size(need)).cast("int")),
+        F.get(never, F.pmod(part, 2 * F.size(never)).cast("int")),
+    )
+
+
+def gapped(conv: str, turn: str) -> Column:
+    """Page numbers with a page missing before turn 4 of every third conversation."""
+    return F.col(turn) + F.when((F.col(conv) % 3 == 0) & (F.col(turn) >= 4), 1).otherwise(0)
+
+
 def _sentences(text: Column) -> Column:
     return F.split(text, r"\. ")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rolesift import rules as fixed
 from rolesift import schemas
@@ -29,9 +30,9 @@ from rolesift.operators.ordered import first_per_key
 from rolesift.operators.pages import (
     explode_board,
     explode_postings,
-    pages_until_stop,
     parse_boards,
     parse_pages,
+    series_ends,
 )
 from rolesift.operators.scoring import relevance, stored_score
 from rolesift.rules import RuleSet
@@ -50,6 +51,7 @@ class IngestResult:
     outbox: DataFrame
     rejects: DataFrame
     funnel: DataFrame
+    held: DataFrame | None = None
 
 
 def _parsed_once(parsed: DataFrame, bad: str) -> DataFrame:
@@ -59,11 +61,11 @@ def _parsed_once(parsed: DataFrame, bad: str) -> DataFrame:
     return stage(parsed.withColumn("body", F.when(report, F.col("body"))), "parsed")
 
 
-def job_rejects() -> Column:
+def job_rejects(title_needed: bool = True) -> Column:
     """Why a scored row cannot be inserted, or null."""
     return (
         F.when(F.col("ats_job_id").isNull(), "null posting id")
-        .when(F.col("title").isNull(), "null title")
+        .when(F.lit(title_needed) & F.col("title").isNull(), "null title")
         .when(~fits(schemas.JOB_WIDTHS), "value too long")
     )
 
@@ -94,14 +96,17 @@ def _admit(
     now: Column,
     pages: DataFrame,
     early_rejects: list[DataFrame],
+    collation: str | None = None,
+    title_needed: bool = True,
 ) -> IngestResult:
     """Insert what is new, and derive the other outputs from the inserted rows."""
-    good = judged.filter(F.col("passed") & job_rejects().isNull())
+    reason = job_rejects(title_needed)
+    good = judged.filter(F.col("passed") & reason.isNull())
     last_job = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     last_analysis = analysis.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     # One analysis and one message per inserted job: `i` numbers all three
     fresh = stage(
-        assign_ids(unseen(jobs, good, ["ats_job_id"], order), [*order, "ats_job_id"], id_col="i")
+        assign_ids(unseen(jobs, good, ["ats_job_id"], order, collation), [*order, "ats_job_id"], id_col="i")
         .withColumn("job_id", F.col("i") + last_job)
         .withColumn("analysis_id", F.col("i") + last_analysis),
         "fresh",
@@ -127,7 +132,7 @@ def _admit(
             undetailed, source, "detail", F.lit("missing or empty detail"), F.col(keys[-1])
         ),
         metrics.rejects(
-            judged.filter("passed"), source, "insert", job_rejects(), F.col("ats_job_id")
+            judged.filter("passed"), source, "insert", reason, F.col("ats_job_id")
         ),
     ]
     flags = metrics.funnel(
@@ -175,6 +180,9 @@ def announce(fresh: DataFrame, source: str, index: Column, total: Column) -> Dat
     )
 
 
+_SERIES = ["company_id", "run_id"]
+
+
 def ingest_pages(
     pages: DataFrame,
     details: DataFrame,
@@ -185,11 +193,20 @@ def ingest_pages(
     rules: RuleSet = RuleSet(),
     overrides: DataFrame | None = None,
     source: str = fixed.SOURCE_A,
+    held: DataFrame | None = None,
+    hold_batches: int = 0,
+    collation: str | None = None,
 ) -> IngestResult:
     """A run over a paged source. `companies` has id, name and url.
 
-    Pages are read up to each company's stop, filtered by recency and place, cut to
-    the first row per path, joined to details, then judged by title and score.
+    Pages of one company and run are a series. It is read up to its stop, filtered by
+    recency and place, cut to the first row per path, joined to details, then judged by
+    title and score. Every landed page is read, lies after a stop of its series, is
+    rejected with a reason, or is held.
+
+    A series whose next page is missing may still be landing. With `hold_batches` it is
+    handed back in `held` for that many batches, to be given again as `held`; after
+    that, or without it, it is read up to the gap and the pages beyond are rejected.
     """
     links = companies.select(
         F.col("id").alias("company_id"),
@@ -197,18 +214,40 @@ def ingest_pages(
         F.col("url").alias("company_url"),
         urls.page_endpoints(F.col("url"))["org"].isNotNull().alias("_usable"),
     )
-    landed = _parsed_once(parse_pages(pages), "bad")
+    landed = pages.select(*_as_columns(pages, schemas.PAGES), F.lit(0).alias("held"))
+    if held is not None:
+        landed = landed.unionByName(held)
+    landed = landed.withColumn("run_id", F.coalesce("run_id", F.lit("")))
+    if hold_batches:
+        landed = stage(landed, "landed")
     usable = links.filter("_usable").select("company_id")
-    parsed = many_to_one(landed, usable, ["company_id"], "left_semi")
-    read = pages_until_stop(parsed, max_pages=rules.max_pages)
+    parsed = _parsed_once(parse_pages(landed), "bad")
+    ends = series_ends(parsed, _SERIES, "page_no", F.col("size"), F.col("limit"), F.col("bad"), rules.max_pages)
+    ends = ends.withColumnRenamed("last", "_last").withColumn("_open", F.lit(False))
+    still = None
+    if hold_batches:
+        waited = parsed.groupBy(*_SERIES).agg(F.max("held").alias("_waited"))
+        open_ = (F.col("stop") == "missing") & (F.col("_waited") < hold_batches)
+        ends = ends.join(waited, _SERIES).withColumn("_open", open_)
+    ends = stage(ends, "series")
+    if hold_batches:
+        waiting = ends.filter("_open").select(*_SERIES)
+        still = many_to_one(landed, waiting, _SERIES, "left_semi").withColumn("held", F.col("held") + 1)
+        still = stage(still, "held")
+    closed = ends.filter("not _open").select(*_SERIES, "_last", "stop")
+    judged_pages = many_to_one(parsed, closed, _SERIES)
+    mine = many_to_one(judged_pages, usable, ["company_id"], "left_semi")
+    number = F.col("page_no")
+    read = mine.filter((number >= 0) & (number <= F.col("_last")))
     candidates = explode_postings(read).filter(
         recent_text(F.col("posted_on"))
         & contains_any(F.col("locations_text"), rules.locations)
         & (F.coalesce(F.col("external_path"), F.lit("")) != "")
     )
     keys = ["company_id", "external_path"]
-    once = stage(first_per_key(candidates, keys, ["page_no", "pos"]), "candidates")
-    detailed = records.normalize_a(join_details(once, details, keys, _detail_order()))
+    place = ["landed_at", "run_id", "page_no", "pos"]
+    once = stage(first_per_key(candidates, keys, place).drop("landed_at"), "candidates")
+    detailed = records.normalize_a(join_details(once, details, keys, _detail_order(details)))
     detailed = many_to_one(detailed, links.drop("_usable"), ["company_id"])
     detailed = detailed.withColumn(
         "application_link", urls.application_link(F.col("company_url"), F.col("external_path"))
@@ -216,21 +255,35 @@ def ingest_pages(
         "after_title",
         F.col("detail_ok") & title_ok(F.col("title"), rules.title_include, rules.title_exclude),
     )
-    judged = _judge(detailed, ["external_path", "page_no", "pos"], rules, overrides)
+    judged = _judge(detailed, ["external_path", "run_id", "page_no", "pos"], rules, overrides)
+    body = F.col("body")
+    first_capped = (F.col("stop") == "cap") & (number == F.col("_last"))
+    known = many_to_one(judged_pages, links.select("company_id", F.lit(True).alias("_known")), ["company_id"], "left")
     early = [
         metrics.rejects(
             links.filter(~F.col("_usable")), source, "company",
             F.lit("no path segment in url"), F.col("company_url"),
         ),
         metrics.rejects(
-            landed.filter(F.col("page_no") < rules.max_pages), source, "page",
-            F.when(F.col("status_code").isNull() | (F.col("status_code") != 200), "not 200")
+            known, source, "page",
+            F.when(F.col("_known").isNull(), "unknown company")
+            .when(number.isNull() | (number < 0), "no page number")
+            .when((F.col("stop") == "missing") & (number > F.col("_last")), "page before it missing")
+            .when(first_capped, "page cap reached")
+            .when(number >= rules.max_pages, None)
+            .when(F.col("status_code").isNull() | (F.col("status_code") != 200), "not 200")
             .when(F.col("unreadable"), "unreadable body"),
-            F.col("body"),
+            body,
+        ),
+        metrics.rejects(parsed, source, "page", F.when(F.col("company_id").isNull(), "no company"), body),
+        metrics.rejects(
+            judged.filter("detail_ok"), source, "title",
+            F.when(F.col("title").isNull(), "null title"), F.col("external_path"),
         ),
     ]
-    order = ["company_id", "page_no", "pos"]
-    return _admit(once, judged, keys, order, source, jobs, analysis, now, read, early)
+    order = ["company_id", "run_id", "page_no", "pos"]
+    result = _admit(once, judged, keys, order, source, jobs, analysis, now, read, early, collation)
+    return replace(result, held=still)
 
 
 def ingest_boards(
@@ -244,10 +297,11 @@ def ingest_boards(
     rules: RuleSet = RuleSet(),
     overrides: DataFrame | None = None,
     source: str = fixed.SOURCE_B,
+    collation: str | None = None,
 ) -> IngestResult:
     """A run over boards: recency, title and place are judged before the detail join."""
     names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
-    landed = _parsed_once(parse_boards(boards), "unreadable")
+    landed = _parsed_once(parse_boards(boards.select(*_as_columns(boards, schemas.BOARDS))), "unreadable")
     parsed = many_to_one(landed, names.select("company_id"), ["company_id"], "left_semi")
     candidates = explode_board(parsed).filter(
         recent_ts(F.col("updated_at"), as_of, rules.fresh_hours)
@@ -257,14 +311,16 @@ def ingest_boards(
     keys = ["company_id", "job_id"]
     once = first_per_key(candidates.select(*keys, "pos"), keys, ["pos"])
     once = stage(once, "candidates")
-    detailed = records.normalize_b(join_details(once, details, keys, _detail_order()))
+    detailed = records.normalize_b(join_details(once, details, keys, _detail_order(details)))
     detailed = many_to_one(detailed, names, ["company_id"])
     detailed = detailed.withColumn("after_title", F.col("detail_ok"))
     judged = _judge(detailed, ["job_id", "pos"], rules, overrides)
+    known = many_to_one(landed, names.select("company_id", F.lit(True).alias("_known")), ["company_id"], "left")
     early = [
         metrics.rejects(
-            parsed, source, "board",
-            F.when(F.col("status_code").isNull(), "no answer")
+            known, source, "board",
+            F.when(F.col("_known").isNull(), "unknown company")
+            .when(F.col("status_code").isNull(), "no answer")
             .when(~F.col("status_code").isin(200, 404), "not 200")
             .when((F.col("status_code") == 200) & F.col("unreadable"), "unreadable body"),
             F.col("body"),
@@ -277,12 +333,25 @@ def ingest_boards(
     ]
     read = parsed.filter((F.col("status_code") == 200) & ~F.col("unreadable"))
     order = ["company_id", "pos", "job_id"]
-    return _admit(once, judged, keys, order, source, jobs, analysis, now, read, early)
+    return _admit(
+        once, judged, keys, order, source, jobs, analysis, now, read, early, collation, title_needed=False
+    )
+
+
+def _as_columns(df: DataFrame, schema: StructType) -> list[Column]:
+    """The columns of `schema`, null where `df` lacks one."""
+    have = set(df.columns)
+    return [(F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]
 
 
-def _detail_order() -> list:
-    """Among landed copies of one detail a usable one comes first."""
-    return [(F.coalesce(F.col("status_code"), F.lit(0)) == 200).desc(), F.col("body").asc()]
+def _detail_order(details: DataFrame) -> list[Column]:
+    """Among landed copies of one detail a usable one comes first, then the newest.
+
+    Copies that landed together are told apart by a digest, so no body is a sort key.
+    """
+    newest = [F.col("landed_at").desc_nulls_last()] if "landed_at" in details.columns else []
+    usable = F.coalesce(F.col("status_code"), F.lit(0)) == 200
+    return [usable.desc(), *newest, F.md5("body").asc()]
 
 
 def union_sources(**by_source: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from rolesift.functions.messages import ANSWERS
 from rolesift.plans import fixtures as fx
 from rolesift.rules import RuleSet
 
@@ -101,6 +104,18 @@ def _strip(expr: str) -> str:
     return f"lower(trim(regexp_replace({_no_markup(_decode(expr), _q(' '))}, {_q(_WS)}, ' ', 'g')))"
 
 
+# Pages as they read once the hard markup put into them is replaced by plain markup
+_EASY = f"replace(html, '<body>', {_q(fx.EASY_MARKUP)})"
+
+# ---- Shipped rules ----
+
+_SHIPPED = replace(fx.SHIPPED, patterns=tuple((p.replace("(?iU)", "(?i)"), b) for p, b in fx.SHIPPED.patterns))
+_ALL_WORDS = f"[{_list([k for k, _ in (*fx.SHIPPED.positive, *fx.SHIPPED.negative)])}]"
+_YEARS = f"[{_list(w.lower() for w in fx.YEARS)}]"
+_SHIPPED_TEXT = f"""(SELECT doc_id, lower(text) || ' ' || w[doc_id % len(w) + 1] || ' ' || w[doc_id * 7 % len(w) + 1] || ' ' || y[doc_id % len(y) + 1] AS plain
+    FROM (SELECT *, {_ALL_WORDS} AS w, {_YEARS} AS y FROM documents))"""
+_SHIPPED_ROWS = _scored(_SHIPPED_TEXT, "plain", _SHIPPED, "doc_id")
+
 # ---- Learner ----
 
 _DECIDED = f"""
@@ -291,8 +306,26 @@ fresh AS (
   FROM kept WHERE nth = 1)
 """
 
+_TURNS = """
+        WITH landed AS (SELECT conv_id, turn, role, length(text) AS size, length(text) > 1400 AS bad,
+            turn + CASE WHEN conv_id % 3 = 0 AND turn >= 4 THEN 1 ELSE 0 END AS page FROM conversations),
+        flagged AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page) - 1 AS nth,
+            max(CASE WHEN bad OR size = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY page) AS bad_before,
+            max(CASE WHEN size < 100 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS short_before
+            FROM landed)
+        SELECT conv_id, turn, role FROM flagged WHERE nth = page AND page < {cap} AND bad_before = 0 AND coalesce(short_before, 0) = 0"""
+
 ORACLES: dict[str, str] = {
     "keyword_score": f"SELECT doc_id, round(score, 4) AS score, {_JOINED} FROM ({_DOCS}) WHERE score >= {fx.DOC_RULES.threshold}",
+    "keyword_score_shipped": f"SELECT doc_id, round(score, 4) AS score, {_JOINED} FROM ({_SHIPPED_ROWS})",
+    "patterns_shipped": f"""
+        SELECT doc_id, array_to_string({_patterns("plain", _SHIPPED.patterns)}, '|') AS matches,
+               {" + ".join(f"CASE WHEN regexp_matches(plain, {_q(p)}) THEN {b}.0::DOUBLE ELSE 0 END" for p, b in _SHIPPED.patterns)} AS bonus
+        FROM {_SHIPPED_TEXT}""",
+    "title_filter_shipped": f"""
+        SELECT p_partkey, title FROM (SELECT p_partkey, concat_ws(' ', p_name, need[p_partkey % len(need) + 1], never[p_partkey % (2 * len(never)) + 1]) AS title
+            FROM (SELECT *, [{_list(fx.SHIPPED.title_include)}] AS need, [{_list(fx.SHIPPED.title_exclude)}] AS never FROM part))
+        WHERE NOT {_any("title", fx.SHIPPED.title_exclude)} AND {_any("title", fx.SHIPPED.title_include)}""",
     "keyword_matches_long": f"SELECT doc_id, unnest(positive_matches || negative_matches) AS keyword FROM ({_DOCS})",
     "keyword_matches_table": rf"""
         WITH kw AS (SELECT DISTINCT k FROM (SELECT unnest(regexp_extract_all(lower(text), '{_W}+')) AS k FROM benchmark) WHERE length(k) >= 6),
@@ -323,9 +356,9 @@ ORACLES: dict[str, str] = {
                CASE WHEN l.keyword IS NOT NULL THEN '2024-02-01' END AS updated_on
         FROM learned l FULL JOIN old ON l.keyword = old.keyword""",
     "overrides_scan": _DECIDED + "SELECT keyword, round(multiplier::FLOAT::DOUBLE, 4) AS multiplier FROM learned",
-    "html_text": f"SELECT page_id, md5(t) AS text_md5, length(t)::INT AS chars FROM (SELECT page_id, {_strip('html')} AS t FROM pages)",
-    "html_lines": f"SELECT page_id, md5({_lines('html')}) AS text_md5 FROM pages",
-    "double_strip": f"SELECT page_id, md5({_strip(_lines('html'))}) AS text_md5 FROM pages",
+    "html_text": f"SELECT page_id, md5(t) AS text_md5, length(t)::INT AS chars FROM (SELECT page_id, {_strip(_EASY)} AS t FROM pages)",
+    "html_lines": f"SELECT page_id, md5({_lines(_EASY)}) AS text_md5 FROM pages",
+    "double_strip": f"SELECT page_id, md5({_strip(_lines(_EASY))}) AS text_md5 FROM pages",
     "url_parts": f"SELECT page_id, regexp_extract(url, '{_URL}', 1) AS scheme, {_HOST} AS netloc, {_PATH} AS path FROM pages",
     "url_endpoints": f"""
         SELECT page_id, array_to_string(segments, '|') AS segments, split_part(host, '.', 1) AS tenant, segments[1] AS org,
@@ -353,18 +386,12 @@ ORACLES: dict[str, str] = {
     "location_filter": f"""
         SELECT doc_id, lang FROM documents WHERE {_any("lang", ("de", "that the", "eaux."))}
         OR len(list_filter(string_split(text, '{_BREAK}'), lambda s: {_any("s", ("de", "that the", "eaux."))})) > 0""",
-    "width_check": "SELECT doc_id, length(split_part(text, '.', 1)) <= 60 AS fits FROM documents",
+    "width_check": "SELECT doc_id, length(text) <= 500 AS fits FROM documents",
     "first_per_key": """
         SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS place
         FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND contains(event_type, 'e')) WHERE place = 1""",
-    "pages_until_stop": """
-        WITH landed AS (SELECT conv_id, turn, role, length(text) AS size, length(text) > 1400 AS bad FROM conversations
-                        WHERE NOT length(text) BETWEEN 600 AND 640),
-        flagged AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth,
-            max(CASE WHEN bad OR size = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS bad_before,
-            max(CASE WHEN size < 100 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS short_before
-            FROM landed)
-        SELECT conv_id, turn, role FROM flagged WHERE nth = turn AND turn < 20 AND bad_before = 0 AND coalesce(short_before, 0) = 0""",
+    "pages_until_stop": _TURNS.format(cap=100),
+    "pages_until_cap": _TURNS.format(cap=3),
     "explode_postings": f"""
         SELECT company_id, page_no, pos, '/job/' || md5(s) AS external_path,
                CASE WHEN contains(s, 'a') THEN 'Posted Today' ELSE 'Posted 30+ Days Ago' END AS posted_on, md5(s) AS place_md5
@@ -399,7 +426,7 @@ ORACLES: dict[str, str] = {
         SELECT coalesce(r.l_partkey, a.l_partkey) AS l_partkey, coalesce(r.lines, a.lines) AS lines, coalesce(r.quantity, a.quantity) AS quantity
         FROM a FULL JOIN r ON a.l_partkey = r.l_partkey""",
     "update_by_id": """
-        WITH e AS (SELECT user_id, arg_min(event_type, ts) AS decision FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
+        WITH e AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS decision FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
         SELECT o_orderkey AS id, coalesce(decision, nullif(o_orderstatus, 'P')) AS user_decision FROM orders LEFT JOIN e ON user_id = o_orderkey""",
     "delete_cascade": """
         SELECT 'parent' AS "table", count(*) AS deleted FROM orders WHERE o_orderpriority LIKE '1-%'
@@ -417,7 +444,10 @@ ORACLES: dict[str, str] = {
     "decision_applications": _verdict_sql(_HELD)
     + f"""SELECT row_number() OVER (ORDER BY job_id) AS id, j.company_id, job_id, '2024-02-01' AS applied_on, 'applied' AS status
         FROM verdicts v JOIN ({_JOBS}) j ON j.id = v.job_id WHERE verdict = 'applied'""",
-    "decision_stream_verdicts": _verdict_sql("SELECT s_suppkey AS job_id, NULL::VARCHAR AS decision FROM supplier") + "SELECT * FROM verdicts",
+    "decision_stream_verdicts": _verdict_sql(_HELD) + "SELECT * FROM verdicts",
+    "decision_answers": _verdict_sql(_HELD)
+    + f"""SELECT event_id, 'answer' AS kind, CASE verdict {" ".join(f"WHEN '{v}' THEN {_q(t)}" for v, t in ANSWERS.items())} END AS text
+        FROM verdicts WHERE verdict <> 'ignored'""",
     "job_message": f"""
         SELECT id, '🔎 <b>Feed</b> | ' || row_number() OVER (PARTITION BY company_id ORDER BY id) || ' of ' || count(*) OVER (PARTITION BY company_id) || chr(10) || chr(10)
                || concat_ws(chr(10), '🏢 <b>' || company || '</b>', '📌 ' || title, '📍 ' || CASE WHEN location = 'Site 3' THEN 'Unknown' ELSE location END,
@@ -454,7 +484,7 @@ ORACLES: dict[str, str] = {
         SELECT 'feed' AS source, company_id, 'insert' AS stage, reason, ats_job_id AS raw FROM (
             SELECT split_part(source, 'src', 2)::INT AS company_id, CASE WHEN lang <> 'de' THEN doc_id::VARCHAR END AS ats_job_id,
                    CASE WHEN lang = 'de' THEN 'null posting id' WHEN lang = 'fr' THEN 'null title'
-                        WHEN length(split_part(text, '.', 1)) > 500 OR 2 * (n_chars // 4) > 500 THEN 'value too long' END AS reason FROM documents)
+                        WHEN length(text) > 500 OR 2 * (n_chars // 4) > 500 THEN 'value too long' END AS reason FROM documents)
         WHERE reason IS NOT NULL""",
     "ingest_boards_jobs": _BOARD_JOBS,
     "ingest_boards_outbox": _BOARD_RUN
@@ -473,4 +503,13 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT company_id, 0, 1, detail_ok::INT, (detail_ok AND good_title)::INT, 0, (detail_ok AND good_title AND score < {_P.threshold})::INT FROM scored
         UNION ALL SELECT company_id, 0, 0, 0, 0, 1, 0 FROM fresh) GROUP BY company_id""",
     "ingest_stream_jobs": _BOARD_JOBS,
+    "ingest_pages_stream_jobs": _PAGE_RUN
+    + "SELECT ats_job_id, md5(title) AS title_md5, location, round(score)::INT AS relevance_score FROM fresh",
+    "ingest_pages_rejects": _PAGE_RUN.replace("FROM conversations),", "FROM conversations WHERE conv_id % 7 <> 3),", 1).replace("page_no < 20", "page_no < 3")
+    + f"""SELECT company_id, stage, reason, count(*) AS rows FROM (
+        SELECT conv_id::INT AS company_id, 'page' AS stage, 'unknown company' AS reason FROM conversations WHERE conv_id % 7 = 3
+        UNION ALL SELECT company_id, 'page', 'not 200' FROM landed WHERE bad AND page_no < 3
+        UNION ALL SELECT company_id, 'page', 'page cap reached' FROM read WHERE page_no = 2 AND len(parts) >= {fx.PAGE_LIMIT}
+        UNION ALL SELECT company_id, 'detail', 'missing or empty detail' FROM scored WHERE NOT detail_ok
+        UNION ALL SELECT company_id, 'insert', 'value too long' FROM passed WHERE length(s) > 500) GROUP BY ALL""",
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift import rules as fixed
@@ -52,6 +53,35 @@ def keyword_score(spark, d):
     return kept.select("doc_id", F.round("score", 4).alias("score"), *map(_joined, _MATCHES))
 
 
+def _shipped_documents(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", fx.shipped_text(c("doc_id"), c("text")).alias("plain"))
+
+
+@query
+def keyword_score_shipped(spark, d):
+    """The shipped lists, weights and patterns on every document."""
+    scored = scoring.relevance(_shipped_documents(spark, d), "plain", fx.SHIPPED)
+    return scored.select("doc_id", F.round("score", 4).alias("score"), *map(_joined, _MATCHES))
+
+
+@query
+def patterns_shipped(spark, d):
+    hits = scoring.pattern_hits(c("plain"), [p for p, _ in fx.SHIPPED.patterns])
+    found = _shipped_documents(spark, d).select("doc_id", hits.alias("hits"))
+    return found.select(
+        "doc_id", F.array_join("hits", "|").alias("matches"),
+        scoring.pattern_bonus(c("hits"), fx.SHIPPED.patterns).alias("bonus"),
+    )
+
+
+@query
+def title_filter_shipped(spark, d):
+    title = fx.shipped_title(c("p_partkey"), c("p_name"))
+    good = predicates.title_ok(title, fx.SHIPPED.title_include, fx.SHIPPED.title_exclude)
+    return table(spark, d, "part").filter(good).select("p_partkey", title.alias("title"))
+
+
 @query
 def keyword_matches_long(spark, d):
     scored = scoring.relevance(_plain_documents(spark, d), "plain", fx.DOC_RULES)
@@ -181,19 +211,19 @@ def overrides_scan(spark, d):
 
 @query
 def html_text(spark, d):
-    text = html.strip_html(c("html"))
+    text = html.strip_html(fx.hard_markup(c("html")))
     return table(spark, d, "pages").select("page_id", F.md5(text).alias("text_md5"), F.length(text).alias("chars"))
 
 
 @query
 def html_lines(spark, d):
-    text = html.html_text(c("html"))
+    text = html.html_text(fx.hard_markup(c("html")))
     return table(spark, d, "pages").select("page_id", F.md5(text).alias("text_md5"))
 
 
 @query
 def double_strip(spark, d):
-    text = html.strip_html(html.html_text(c("html")))
+    text = html.strip_html(html.html_text(fx.hard_markup(c("html"))))
     return table(spark, d, "pages").select("page_id", F.md5(text).alias("text_md5"))
 
 
@@ -287,8 +317,8 @@ def location_filter(spark, d):
 
 @query
 def width_check(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("title"))
-    return rows.select("doc_id", predicates.fits({"title": 60}).alias("fits"))
+    rows = table(spark, d, "documents").select("doc_id", c("text").alias("title"))
+    return rows.select("doc_id", predicates.fits({"title": 500}).alias("fits"))
 
 
 # ---- Ordered operators ----
@@ -302,18 +332,27 @@ def first_per_key(spark, d):
     return first.select("user_id", "event_type", "event_id")
 
 
-@query
-def pages_until_stop(spark, d):
-    """Turns are pages; those of 600 to 640 characters were never landed."""
+def _turns_as_pages(spark, d, max_pages: int):
     chars = F.length("text")
-    landed_pages = table(spark, d, "conversations").filter(~chars.between(600, 640))
-    read = pages.pages_until_stop(
-        landed_pages.select("conv_id", "turn", "role", chars.alias("size"), (chars > 1400).alias("bad"), F.lit(100).alias("limit")),
-        "conv_id", "turn",
+    landed_pages = table(spark, d, "conversations").select(
+        "conv_id", fx.gapped("conv_id", "turn").alias("page"), "turn", "role", chars.alias("size"),
+        (chars > 1400).alias("bad"), F.lit(100).alias("limit"),
     )
+    read = pages.pages_until_stop(landed_pages, "conv_id", "page", max_pages=max_pages)
     return read.select("conv_id", "turn", "role")
 
 
+@query
+def pages_until_stop(spark, d):
+    """Turns are pages; some series have a gap."""
+    return _turns_as_pages(spark, d, 100)
+
+
+@query
+def pages_until_cap(spark, d):
+    return _turns_as_pages(spark, d, 3)
+
+
 @query
 def explode_postings(spark, d):
     """Pages written as JSON files, read back with their schema, and exploded."""
@@ -460,7 +499,7 @@ def update_by_id(spark, d):
         c("o_orderkey").alias("id"), F.nullif(c("o_orderstatus"), F.lit("P")).alias("user_decision")
     )
     events = table(spark, d, "events").filter(c("event_type").isin("purchase", "error"))
-    new = ordered.first_per_key(events, ["user_id"], ["ts"]).select(
+    new = ordered.first_per_key(events, ["user_id"], ["ts", "event_id"]).select(
         c("user_id").alias("job_id"), c("event_type").alias("decision")
     )
     return merge.apply_decisions(jobs, new)
@@ -551,14 +590,38 @@ def decision_applications(spark, d):
     return inserted.select("id", "company_id", "job_id", "applied_on", "status")
 
 
+@query
+def decision_answers(spark, d):
+    """What the sender of each callback is told."""
+    rows = decisions.callback_answers(_verdicts(spark, d))
+    return rows.select(c("keyboard").cast("bigint").alias("event_id"), "kind", "text")
+
+
+def _land_in_order(df: DataFrame, order: Column, path: str, parts: int) -> None:
+    """Land rows as `parts` files, one after the other in `order`."""
+    placed = stage(df.withColumn("_part", order), "landing")
+    for part in range(parts):
+        placed.filter(c("_part") == part).drop("_part", "_batch").coalesce(1).write.mode("append").json(path)
+
+
 @query
 def decision_stream_verdicts(spark, d):
-    """The stream over landed events, run until all are read."""
+    """The stream over events landed in three files, a batch each; some jobs are decided before."""
     root, events = fresh_path(spark, "state"), fresh_path(spark, "events")
-    fx.decision_events(table(spark, d, "events")).write.json(events)
-    tables.append_batch(fx.supplier_jobs(table(spark, d, "supplier")), root, "job_info", "seed", 0)
+    rows = table(spark, d, "events")
+    micros = lambda name: F.unix_micros(c(name).cast("timestamp"))
+    first, second = rows.select(F.percentile(micros("ts"), F.array(F.lit(0.3), F.lit(0.6)))).first()[0]
+    at = micros("received_at")
+    third = F.when(at <= first, 0).when(at <= second, 1).otherwise(2)
+    _land_in_order(fx.decision_events(rows), third, events, 3)
+    jobs = fx.supplier_jobs(table(spark, d, "supplier"))
+    tables.append_batch(jobs, root, "job_info", "seed", 0)
+    before = jobs.filter("company_id < 3").select(c("id").alias("job_id"), F.lit("applied").alias("decision"))
+    tables.append_batch(before, root, "decisions", "seed", 0)
     companies = fx.nation_companies(table(spark, d, "nation"))
-    run = decision_stream(spark, events, companies, root, fresh_path(spark, "offsets"), as_of=fx.DECIDED_ON)
+    run = decision_stream(
+        spark, events, companies, root, fresh_path(spark, "offsets"), as_of=fx.DECIDED_ON, max_files=1
+    )
     run.awaitTermination()
     rows = tables.read_table(spark, root, "verdicts", schemas.VERDICTS)
     return rows.select(c("callback_id").cast("bigint").alias("event_id"), "job_id", "verdict")
@@ -683,7 +746,7 @@ def rejects(spark, d):
     rows = table(spark, d, "documents").select(
         F.substring_index("source", "src", -1).cast("int").alias("company_id"),
         F.when(c("lang") != "de", c("doc_id").cast("string")).alias("ats_job_id"),
-        F.when(c("lang") != "fr", F.substring_index("text", ".", 1)).alias("title"),
+        F.when(c("lang") != "fr", c("text")).alias("title"),
         F.repeat(c("lang"), (c("n_chars") / 4).cast("int")).alias("location"),
         F.lit("").alias("application_link"),
     )
@@ -729,16 +792,20 @@ def ingest_boards_rejects(spark, d):
     return _run_boards(spark, d).rejects.groupBy("company_id", "stage", "reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _run_pages(spark, d):
+def _held_jobs(spark, d) -> DataFrame:
     talks = table(spark, d, "conversations")
     held = fx.page_details(talks).select(F.substring_index("external_path", "/", -1).alias("ats_job_id"))
     held = numbering.assign_ids(held.filter("ats_job_id like 'a%'").distinct(), ["ats_job_id"])
-    jobs = held.select(
+    return held.select(
         *[(c(f.name) if f.name in held.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.JOB_INFO.fields]
     )
+
+
+def _run_pages(spark, d, rules=fx.PAGE_RULES, known="true"):
+    talks = table(spark, d, "conversations")
     return ingest_pages(
-        fx.pages(talks), fx.page_details(talks), fx.page_companies(talks), jobs,
-        spark.createDataFrame([], schemas.JOB_ANALYSIS), _now(), fx.PAGE_RULES,
+        fx.pages(talks), fx.page_details(talks), fx.page_companies(talks).filter(known), _held_jobs(spark, d),
+        spark.createDataFrame([], schemas.JOB_ANALYSIS), _now(), rules,
     )
 
 
@@ -767,3 +834,37 @@ def ingest_stream_jobs(spark, d):
     run.awaitTermination()
     jobs = tables.read_table(spark, root, "job_info", schemas.JOB_INFO)
     return _job_rows(jobs, tables.read_table(spark, root, "job_analysis", schemas.JOB_ANALYSIS))
+
+
+@query
+def ingest_pages_rejects(spark, d):
+    """A run that reaches its page cap and does not know every company."""
+    run = _run_pages(spark, d, replace(fx.PAGE_RULES, max_pages=3), "id % 7 <> 3")
+    return run.rejects.groupBy("company_id", "stage", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def ingest_pages_stream_jobs(spark, d):
+    """The paged run as a stream: each series comes in three batches, some pages twice."""
+    talks, root = table(spark, d, "conversations"), fresh_path(spark, "state")
+    lists_path, details_path = fresh_path(spark, "pages"), fresh_path(spark, "details")
+    landed_pages = fx.pages(talks)
+    last = landed_pages.groupBy("company_id").agg(F.max("page_no").alias("page_no"))
+    end = last.select(
+        "company_id", (c("page_no") + 1).alias("page_no"), F.lit(0).alias("offset"), F.lit(fx.PAGE_LIMIT).alias("limit"),
+        F.lit(200).alias("status_code"), F.lit('{"jobPostings":[]}').alias("body"),
+    )
+    batch = F.least(F.floor(c("page_no") / 2), F.lit(2)).cast("int")
+    again = landed_pages.filter("page_no = 1").withColumn("_batch", F.lit(2))
+    whole = landed_pages.withColumn("_batch", batch).unionByName(end.withColumn("_batch", F.lit(2))).unionByName(again)
+    _land_in_order(whole, c("_batch"), lists_path, 3)
+    fx.page_details(talks).write.json(details_path)
+    tables.append_batch(_held_jobs(spark, d), root, "job_info", "seed", 0)
+    run = ingest_stream(
+        spark, lists_path, details_path, fx.page_companies(talks), root, fresh_path(spark, "offsets"),
+        fixed.SOURCE_A, fx.PAGE_RULES, as_of=fx.BOARD_AS_OF, hold_batches=3, max_files=1,
+    )
+    run.awaitTermination()
+    jobs = tables.read_table(spark, root, "job_info", schemas.JOB_INFO).filter("title is not null")
+    scores = tables.read_table(spark, root, "job_analysis", schemas.JOB_ANALYSIS).select(c("job_id").alias("id"), "relevance_score")
+    return jobs.join(scores, "id").select("ats_job_id", F.md5("title").alias("title_md5"), "location", "relevance_score")

@@ -75,15 +75,19 @@ REJECTS = _struct(source=_TEXT, company_id=_INT, stage=_TEXT, reason=_TEXT, raw=
 
 # Landed files. `body` is kept as text, so that a broken body is one rejected row
 # and a missing key can be told from a null one; it may be an object or a string.
+# `run_id` names the run that fetched a file, `landed_at` the time; both may be missing.
 PAGES = _struct(
-    company_id=_INT, page_no=_INT, offset=_INT, limit=_INT, status_code=_INT, body=_TEXT
+    company_id=_INT, page_no=_INT, offset=_INT, limit=_INT, status_code=_INT, body=_TEXT,
+    run_id=_TEXT, landed_at=_TIME,
 )
+# Pages of an unfinished series, and for how many batches they have waited
+HELD_PAGES = StructType([*PAGES.fields, StructField("held", _INT)])
 PAGE_BODY = _struct(
     jobPostings=ArrayType(_struct(externalPath=_TEXT, postedOn=_TEXT, locationsText=_TEXT)),
     _corrupt_record=_TEXT,
 )
 _PLACE = _struct(name=_TEXT)
-BOARDS = _struct(company_id=_INT, status_code=_INT, body=_TEXT)
+BOARDS = _struct(company_id=_INT, status_code=_INT, body=_TEXT, run_id=_TEXT, landed_at=_TIME)
 BOARD_BODY = _struct(
     jobs=ArrayType(
         _struct(
@@ -96,8 +100,12 @@ BOARD_BODY = _struct(
     ),
     _corrupt_record=_TEXT,
 )
-DETAILS_A = _struct(company_id=_INT, external_path=_TEXT, status_code=_INT, body=_TEXT)
-DETAILS_B = _struct(company_id=_INT, job_id=_LONG, status_code=_INT, body=_TEXT)
+DETAILS_A = _struct(
+    company_id=_INT, external_path=_TEXT, status_code=_INT, body=_TEXT, landed_at=_TIME
+)
+DETAILS_B = _struct(
+    company_id=_INT, job_id=_LONG, status_code=_INT, body=_TEXT, landed_at=_TIME
+)
 DECISION_EVENTS = _struct(
     received_at=_TIME,
     callback_query=_struct(id=_TEXT, data=_TEXT, message=_struct(message_id=_LONG)),
@@ -105,6 +113,7 @@ DECISION_EVENTS = _struct(
 
 # Partition columns that the table folders add
 BATCH = _struct(writer=_TEXT, batch_id=_LONG)
+BATCH_TIMES = _struct(started_at=_TIME)
 VERSION = _struct(version=_LONG)
 
 # Column widths of job_info; wider values do not fit and the row is rejected

@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from rolesift import rules, schemas
 
 
 def _read(
-    spark: SparkSession, path: str, schema: StructType, streaming: bool, **options: str
+    spark: SparkSession, path: str, schema: StructType, streaming: bool, max_files: int | None = None
 ) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
+    options = {"maxFilesPerTrigger": str(max_files)} if streaming and max_files else {}
     return reader.schema(schema).options(**options).json(path)
 
 
-def read_pages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    return _read(spark, path, schemas.PAGES, streaming)
+def read_pages(
+    spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None
+) -> DataFrame:
+    return _read(spark, path, schemas.PAGES, streaming, max_files)
 
 
-def read_boards(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    return _read(spark, path, schemas.BOARDS, streaming)
+def read_boards(
+    spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None
+) -> DataFrame:
+    return _read(spark, path, schemas.BOARDS, streaming, max_files)
 
 
 def read_details(
@@ -30,16 +36,21 @@ def read_details(
     path: str,
     source: str,
     streaming: bool = False,
-    landed_hours: int | None = None,
+    since: date | None = None,
 ) -> DataFrame:
-    """All landed details, or only the files of the last `landed_hours`."""
+    """All landed details, or those of the folders `dt=<day>` from `since` on.
+
+    Only the folders' names are looked at to leave out the others.
+    """
     schema = schemas.DETAILS_A if source == rules.SOURCE_A else schemas.DETAILS_B
-    options = {}
-    if landed_hours is not None:
-        since = datetime.now(timezone.utc) - timedelta(hours=landed_hours)
-        options = {"modifiedAfter": since.strftime("%Y-%m-%dT%H:%M:%S"), "timeZone": "UTC"}
-    return _read(spark, path, schema, streaming, **options)
+    if since is None:
+        return _read(spark, path, schema, streaming).select(*schema.names)
+    by_day = StructType([*schema.fields, StructField("dt", DateType())])
+    rows = _read(spark, path, by_day, streaming)
+    return rows.filter(F.col("dt") >= F.lit(since)).select(*schema.names)
 
 
-def read_decisions(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    return _read(spark, path, schemas.DECISION_EVENTS, streaming)
+def read_decisions(
+    spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None
+) -> DataFrame:
+    return _read(spark, path, schemas.DECISION_EVENTS, streaming, max_files)

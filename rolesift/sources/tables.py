@@ -6,11 +6,18 @@ before it, so a replay gives the same rows. The overrides table is small and is
 written whole, one `version=<n>` folder after another. No path is ever overwritten
 while it is read.
 
-Writers of one root take turns, as ids go on from the table's greatest one.
+Writers of one root take turns, as ids go on from the table's greatest one: each
+batch reads and writes inside `turn`.
 """
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timezone
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +26,64 @@ from pyspark.sql.types import StructType
 from rolesift import schemas
 
 
+_turns = threading.Lock()
+
+
+@contextmanager
+def turn(spark: SparkSession, root: str, writer: str, batch_id: int, wait_seconds: float = 600) -> Iterator[None]:
+    """Hold the one turn that a root has, from the first read to the last write of a batch.
+
+    The turn is a file that only one writer can create. A writer waits while another has
+    it, and fails with the other's name after `wait_seconds`. A batch that died with the
+    turn takes it again when it is repeated.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_turn")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    mine = f"{writer}/{batch_id}"
+
+    def holder() -> str:
+        try:
+            stream = files.open(path)
+        except Exception:  # it has just been given back
+            return ""
+        try:
+            return stream.readUTF()
+        except Exception:  # created, but not yet written
+            return "another writer"
+        finally:
+            stream.close()
+
+    def taken() -> bool:
+        with _turns:  # a local file system checks and creates in two steps
+            if files.exists(path):
+                return holder() == mine
+            out = files.create(path, False)
+            out.writeUTF(mine)
+            out.close()
+            return True
+
+    until = time.monotonic() + wait_seconds
+    while not taken():
+        if time.monotonic() > until:
+            raise TimeoutError(f"{root} is being written by {holder()}")
+        time.sleep(0.2)
+    try:
+        yield
+    finally:
+        files.delete(path, False)
+
+
+def batch_time(spark: SparkSession, root: str, writer: str, batch_id: int) -> datetime:
+    """When the batch was first tried; a repeated batch is judged by the same time."""
+    table = _read(spark, f"{root}/batches", schemas.BATCH_TIMES, schemas.BATCH)
+    known = table.filter((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).select("started_at").first()
+    if known is not None:
+        return known.started_at
+    now = spark.range(1).select(F.lit(datetime.now(timezone.utc)).alias("started_at"))
+    append_batch(now, root, "batches", writer, batch_id)
+    return now.first().started_at
+
+
 def append_batch(df: DataFrame, root: str, table: str, writer: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{table}/writer={writer}/batch_id={batch_id}")
 
@@ -48,6 +113,14 @@ def read_table(
     return rows.select(*schema.names)
 
 
+def read_batch(
+    spark: SparkSession, root: str, table: str, schema: StructType, writer: str, batch_id: int
+) -> DataFrame:
+    """What one batch has written; empty if it has written nothing."""
+    rows = _read(spark, f"{root}/{table}", schema, schemas.BATCH)
+    return rows.filter((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).select(*schema.names)
+
+
 def read_overrides(spark: SparkSession, root: str) -> DataFrame:
     """The newest overrides; empty if there are none yet."""
     rows = _read(spark, f"{root}/overrides", schemas.OVERRIDES, schemas.VERSION)

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rolesift import schemas
-from rolesift.operators.decisions import decide, decision_effects, new_decisions, parse_decision
+from rolesift.operators.decisions import (
+    callback_answers,
+    decide,
+    decision_effects,
+    new_decisions,
+    parse_decision,
+)
 from rolesift.operators.joins import jobs_with_company
 from rolesift.operators.merge import insert_new
 from rolesift.session import stage
@@ -43,13 +49,13 @@ def apply_batch(
     known = jobs.select(F.col("id").alias("job_id"), F.col("user_decision").alias("decision"))
     verdicts = stage(decide(number_arrivals(events), known, ARRIVAL), "verdicts")
     decided = new_decisions(verdicts)
-    now = F.to_timestamp(F.lit(as_of)) if as_of else F.current_timestamp()
+    now = F.to_timestamp(F.lit(as_of or tables.batch_time(spark, root, writer, batch_id)))
     # Only the jobs just decided are joined to their company
     touched = jobs.join(decided.select(F.col("job_id").alias("id")), "id", "left_semi")
     outbox, applied = decision_effects(decided, jobs_with_company(touched, companies), now)
     status = tables.read_table(spark, root, "application_status", schemas.APPLICATION_STATUS, mine)
     inserted, _ = insert_new(status, applied, ["job_id"], ["job_id"])
-    tables.write_outbox(outbox, root, writer, batch_id)
+    tables.write_outbox(outbox.unionByName(callback_answers(verdicts)), root, writer, batch_id)
     tables.append_batch(inserted, root, "application_status", writer, batch_id)
     tables.append_batch(verdicts.select(*schemas.VERDICTS.names), root, "verdicts", writer, batch_id)
     tables.append_batch(decided.select("job_id", "decision"), root, "decisions", writer, batch_id)
@@ -63,11 +69,17 @@ def decision_stream(
     checkpoint: str,
     every: str | None = None,
     as_of: str | None = None,
+    max_files: int | None = None,
 ) -> StreamingQuery:
-    """Apply landed decision events batch by batch; see `apply_batch`."""
+    """Apply landed decision events batch by batch; see `apply_batch`.
+
+    `max_files` bounds a batch. Streams of one root take turns.
+    """
 
     def handle(batch: DataFrame, writer: str, batch_id: int) -> None:
-        apply_batch(batch.sparkSession, batch, companies, root, writer, batch_id, as_of)
+        session = batch.sparkSession
+        with tables.turn(session, root, writer, batch_id):
+            apply_batch(session, batch, companies, root, writer, batch_id, as_of)
 
-    stream = read_decisions(spark, path, streaming=True)
+    stream = read_decisions(spark, path, streaming=True, max_files=max_files)
     return start(stream, handle, "decisions", checkpoint, every)

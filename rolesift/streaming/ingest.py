@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,15 @@ from rolesift import rules as fixed
 from rolesift import schemas
 from rolesift.plans.ingest import IngestResult, ingest_boards, ingest_pages
 from rolesift.rules import RuleSet
-from rolesift.session import scratch
+from rolesift.session import scratch, stage
 from rolesift.sources import landed, tables
 
 
 def write_result(result: IngestResult, root: str, writer: str, batch_id: int) -> None:
     """All outputs of a run, jobs last: a batch counts once its jobs are there."""
     tables.write_outbox(result.outbox, root, writer, batch_id)
+    if result.held is not None:
+        tables.append_batch(result.held, root, "held_pages", writer, batch_id)
     for name in ("rejects", "funnel", "analysis", "jobs"):
         table = {"analysis": "job_analysis", "jobs": "job_info"}.get(name, name)
         tables.append_batch(getattr(result, name), root, table, writer, batch_id)
@@ -58,31 +61,51 @@ def ingest_stream(
     rules: RuleSet = RuleSet(),
     every: str | None = None,
     as_of: str | None = None,
-    detail_hours: int | None = None,
+    detail_days: int | None = None,
+    hold_batches: int = 2,
+    max_files: int | None = None,
+    collation: str | None = None,
 ) -> StreamingQuery:
     """Run the ingest plan on every batch of new list files.
 
     `every` such as `1 hour` keeps the query running; without it, it stops when all
-    landed files are read. Recency is judged by processing time, or by `as_of`. A page
-    series of one company has to land within one batch. `detail_hours` keeps a long
-    running query from reading details that landed long before its postings.
+    landed files are read. Recency is judged by the time of the batch's first attempt,
+    or by `as_of`, so a repeated batch gives the same rows.
+
+    A page series that is still landing waits up to `hold_batches` batches for its next
+    page. With `detail_days`, details are landed in folders `dt=<day>`, and only folders
+    from so many days before the batch's first list file on are read. `max_files` bounds
+    a batch. Streams of one root may run at the same time; their batches take turns.
     """
     paged = source == fixed.SOURCE_A
     reader = landed.read_pages if paged else landed.read_boards
 
     def handle(batch: DataFrame, writer: str, batch_id: int) -> None:
         session = batch.sparkSession
+        with tables.turn(session, root, writer, batch_id):
+            take(session, stage(batch, "landed-batch") if detail_days is not None else batch, writer, batch_id)
+
+    def take(session: SparkSession, batch: DataFrame, writer: str, batch_id: int) -> None:
         mine = (writer, batch_id)
         known = {
             "jobs": tables.read_table(session, root, "job_info", schemas.JOB_INFO, mine),
             "analysis": tables.read_table(session, root, "job_analysis", schemas.JOB_ANALYSIS, mine),
             "overrides": tables.read_overrides(session, root),
         }
-        details = landed.read_details(session, detail_path, source, landed_hours=detail_hours)
-        now = F.to_timestamp(F.lit(as_of)) if as_of else F.current_timestamp()
-        extra = {} if paged else {"as_of": now}
+        first = batch.agg(F.min(F.to_date("landed_at"))).first()[0] if detail_days is not None else None
+        since = first - timedelta(days=detail_days) if first else None
+        details = landed.read_details(session, detail_path, source, since=since)
+        time = F.lit(as_of) if as_of else F.lit(tables.batch_time(session, root, writer, batch_id))
+        extra = {"as_of": F.to_timestamp(time)}
+        if paged:
+            before = tables.read_batch(session, root, "held_pages", schemas.HELD_PAGES, writer, batch_id - 1)
+            extra = {"held": before, "hold_batches": hold_batches}
         plan = ingest_pages if paged else ingest_boards
-        result = plan(batch, details, companies, now=now, rules=rules, source=source, **known, **extra)
+        result = plan(
+            batch, details, companies, now=F.to_timestamp(time), rules=rules, source=source,
+            collation=collation, **known, **extra,
+        )
         write_result(result, root, writer, batch_id)
 
-    return start(reader(spark, list_path, streaming=True), handle, source, checkpoint, every)
+    stream = reader(spark, list_path, streaming=True, max_files=max_files)
+    return start(stream, handle, source, checkpoint, every)

@@ -1,7 +1,8 @@
 """Whole runs on small landed files: both sources, the streams, replay, recalibration."""
 
 import json
-import os
+import re
+from datetime import date
 from pathlib import Path
 
 import pytest
@@ -11,6 +12,7 @@ from rolesift import rules as fixed
 from rolesift import schemas
 from rolesift.plans.ingest import ingest_boards, ingest_pages
 from rolesift.plans.recalibrate import run_recalibration
+from rolesift.rules import RuleSet
 from rolesift.session import shared_dir
 from rolesift.sources import landed, registry, tables
 from rolesift.streaming.decisions import apply_batch, decision_stream
@@ -206,7 +208,12 @@ def test_decision_stream(spark, tmp_path):
     ]
     applied = [(r.id, r.job_id, r.applied_on, r.status) for r in read(spark, root, "application_status", schemas.APPLICATION_STATUS).collect()]
     assert sorted(applied) == [(1, 1, "2024-01-02", "applied"), (2, 3, "2024-01-02", "applied")]
-    outbox = sorted((r.job_id, r.kind, r.reply_to) for r in read(spark, root, "outbox", schemas.OUTBOX).collect())
+    sent = read(spark, root, "outbox", schemas.OUTBOX).collect()
+    outbox = sorted((r.job_id, r.kind, r.reply_to) for r in sent if r.kind != "answer")
+    assert sorted((r.keyboard, r.text) for r in sent if r.kind == "answer") == [
+        ("c1", "Applied ✅"), ("c2", "Already marked as applied"), ("c3", "Rejected ❌"), ("c4", "Job not found"),
+        ("c5", "Unknown action"), ("c6", "Already marked as rejected"), ("c7", "Already marked as applied"), ("c7", "Applied ✅"),
+    ]
     assert outbox == [(1, "edit", 101), (1, "referral", 101), (2, "edit", 103), (3, "edit", 107), (3, "referral", 107)]
     assert {r.id: r.user_decision for r in tables.current_jobs(spark, root).collect()} == {1: "applied", 2: "rejected", 3: "applied"}
 
@@ -268,14 +275,132 @@ def test_registry_from_csv(spark, tmp_path):
     assert registry.companies_for(table, "WORKDAY", "UTF8_LCASE").count() == 1
 
 
-def test_details_by_landing_time(spark, paged, tmp_path):
-    _, details, _ = paged
-    old = tmp_path / "details" / "old.json"
-    old.write_text(json.dumps(detail(9, "/old")))
-    os.utime(old, (1_600_000_000, 1_600_000_000))
-    everything = landed.read_details(spark, details, fixed.SOURCE_A)
-    recent = landed.read_details(spark, details, fixed.SOURCE_A, landed_hours=2)
-    assert everything.count() == recent.count() + 1
-    assert recent.filter("company_id = 9").count() == 0
-    os.utime(tmp_path / "details" / "d.json", (1_600_000_000, 1_600_000_000))
-    assert landed.read_details(spark, details, fixed.SOURCE_A, landed_hours=2).count() == 0
+def test_details_are_pruned_by_folder_and_the_newest_counts(spark, tmp_path):
+    rows = {"2024-01-01": detail(1, "/a", title="Old"), "2024-01-03": detail(1, "/a", title="New")}
+    for day, row in rows.items():
+        land(tmp_path / "details" / f"dt={day}", "d.json", [{**row, "landed_at": f"{day}T00:00:00Z"}])
+    path = str(tmp_path / "details")
+    assert landed.read_details(spark, path, fixed.SOURCE_A).count() == 2
+    since = landed.read_details(spark, path, fixed.SOURCE_A, since=date(2024, 1, 2))
+    assert since.count() == 1
+    plan = since._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*dt", plan)
+    pages = land(tmp_path / "pages", "p.json", [page(1, 0, [posting("/a")])])
+    companies = spark.createDataFrame([(1, "C", "https://c.example.com/x")], "id int, name string, url string")
+    run = ingest_pages(
+        landed.read_pages(spark, pages), landed.read_details(spark, path, fixed.SOURCE_A), companies,
+        empty(spark, schemas.JOB_INFO), empty(spark, schemas.JOB_ANALYSIS), F.to_timestamp(F.lit(NOW)),
+        RuleSet(title_include=("new", "old"), title_exclude=()),
+    )
+    assert [r.title for r in run.jobs.collect()] == ["New"]
+
+
+def three_pages(company, run=None, at=None, **status):
+    sizes = (3, 3, 1)
+    return [
+        {**page(company, n, [posting(f"/{company}-{n}-{k}") for k in range(size)], **status), "run_id": run, "landed_at": at}
+        for n, size in enumerate(sizes)
+    ]
+
+
+def stream_setup(spark, tmp_path):
+    details = land(tmp_path / "details", "d.json", [
+        detail(c, f"/{c}-{n}-{k}") for c in (1, 2) for n in range(3) for k in range(3)
+    ])
+    companies = spark.createDataFrame([(n, f"C{n}", f"https://c{n}.example.com/x") for n in (1, 2)], "id int, name string, url string")
+    return details, companies, str(tmp_path / "state"), str(tmp_path / "offsets")
+
+
+def test_a_split_series_waits_for_its_pages(spark, tmp_path):
+    details, companies, root, offsets = stream_setup(spark, tmp_path)
+    one, two = three_pages(1), three_pages(2)
+
+    def batch(name, rows):
+        pages = land(tmp_path / "pages", name, rows)
+        ingest_stream(spark, pages, details, companies, root, offsets, as_of=NOW, hold_batches=2).awaitTermination()
+        jobs = tables.read_table(spark, root, "job_info", schemas.JOB_INFO)
+        return {c: jobs.filter(F.col("company_id") == c).count() for c in (1, 2)}
+
+    assert batch("b0.json", [one[1], two[0], {**page(7, 0, []), "run_id": None}]) == {1: 0, 2: 0}
+    assert batch("b1.json", [one[0], one[2]]) == {1: 7, 2: 0}
+    assert batch("b2.json", [two[2]]) == {1: 7, 2: 3}, "two batches without page 1: read to the gap"
+    rejects = tables.read_table(spark, root, "rejects", schemas.REJECTS)
+    reasons = sorted((r.company_id, r.reason) for r in rejects.collect())
+    assert reasons == [(2, "page before it missing"), (7, "unknown company")]
+
+
+def test_every_landed_posting_is_read_rejected_or_held(spark, tmp_path):
+    details, companies, _, _ = stream_setup(spark, tmp_path)
+    rows = [*three_pages(1, "r1", "2024-01-01T00:00:00Z"), three_pages(1, "r2")[0], three_pages(2, "r1")[1], *three_pages(9)]
+    pages = landed.read_pages(spark, land(tmp_path / "pages", "p.json", rows))
+    for hold in (0, 1):
+        run = ingest_pages(
+            pages, landed.read_details(spark, details, fixed.SOURCE_A), companies, empty(spark, schemas.JOB_INFO),
+            empty(spark, schemas.JOB_ANALYSIS), F.to_timestamp(F.lit(NOW)), hold_batches=hold,
+        )
+        postings = lambda bodies: sum(len(json.loads(b)["jobPostings"]) for b in bodies)
+        read_pages = {r.company_id: r.pages for r in run.funnel.collect()}
+        rejected = run.rejects.filter("stage = 'page'").collect()
+        waiting = run.held.collect() if hold else []
+        assert len(rows) == sum(read_pages.values()) + len(rejected) + len(waiting)
+        assert {r.reason for r in rejected} == {"unknown company"} | ({"page before it missing"} if not hold else set())
+        assert postings([r.body for r in waiting]) == (6 if hold else 0)
+        assert run.jobs.count() == 7
+
+
+def test_runs_of_one_company_do_not_mix(spark, tmp_path):
+    details, companies, _, _ = stream_setup(spark, tmp_path)
+    bad = [{**r, "status_code": 503} for r in three_pages(1, "r2", "2024-01-01T01:00:00Z")[:1]]
+    rows = [*three_pages(1, "r1", "2024-01-01T00:00:00Z"), *bad]
+    run = ingest_pages(
+        landed.read_pages(spark, land(tmp_path / "pages", "p.json", rows)), landed.read_details(spark, details, fixed.SOURCE_A),
+        companies, empty(spark, schemas.JOB_INFO), empty(spark, schemas.JOB_ANALYSIS), F.to_timestamp(F.lit(NOW)),
+    )
+    assert run.jobs.count() == 7
+    assert [(r.stage, r.reason) for r in run.rejects.collect()] == [("page", "not 200")]
+
+
+def test_keys_without_case_in_a_run(spark, tmp_path):
+    details = land(tmp_path / "details", "d.json", [detail(1, "/a", req="R5"), detail(1, "/b", req="r5")])
+    pages = land(tmp_path / "pages", "p.json", [page(1, 0, [posting("/a"), posting("/b")])])
+    companies = spark.createDataFrame([(1, "C", "https://c.example.com/x")], "id int, name string, url string")
+    for collation, jobs in ((None, 2), ("UTF8_LCASE", 1)):
+        run = ingest_pages(
+            landed.read_pages(spark, pages), landed.read_details(spark, details, fixed.SOURCE_A), companies,
+            empty(spark, schemas.JOB_INFO), empty(spark, schemas.JOB_ANALYSIS), F.to_timestamp(F.lit(NOW)), collation=collation,
+        )
+        assert run.jobs.count() == jobs
+
+
+def test_two_streams_of_one_root_take_turns(spark, board, tmp_path):
+    details, companies, root, _ = stream_setup(spark, tmp_path)
+    pages = land(tmp_path / "pages", "p.json", three_pages(1))
+    boards, board_details, board_companies = board
+    runs = [
+        ingest_stream(spark, pages, details, companies, root, str(tmp_path / "o1"), as_of=NOW),
+        ingest_stream(spark, boards, board_details, board_companies, root, str(tmp_path / "o2"), fixed.SOURCE_B, as_of=NOW),
+    ]
+    for run in runs:
+        run.awaitTermination()
+    jobs = tables.read_table(spark, root, "job_info", schemas.JOB_INFO).collect()
+    assert len(jobs) == 10
+    assert sorted(r.id for r in jobs) == list(range(1, 11)) and len({r.ats_job_id for r in jobs}) == 10
+
+
+def test_a_turn_that_is_held_says_by_whom(spark, tmp_path):
+    root = str(tmp_path / "state")
+    with tables.turn(spark, root, "a", 1):
+        with tables.turn(spark, root, "a", 1, wait_seconds=0):
+            pass
+    (tmp_path / "state").mkdir(exist_ok=True)
+    with tables.turn(spark, root, "a", 1):
+        with pytest.raises(TimeoutError, match="a/1"):
+            with tables.turn(spark, root, "b", 4, wait_seconds=0):
+                pass
+
+
+def test_a_batch_keeps_its_time(spark, tmp_path):
+    root = str(tmp_path / "state")
+    first = tables.batch_time(spark, root, "w", 0)
+    assert tables.batch_time(spark, root, "w", 0) == first
+    assert tables.batch_time(spark, root, "w", 1) > first
