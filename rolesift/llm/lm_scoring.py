@@ -254,7 +254,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) ->
             if not last_part:
                 continue
             count = middle[level]
-            p = (count[0] + 1) / (tokens + distinct + 1)
+            # A level may stand for more than its count, but never for more than all tokens
+            p = (np.minimum(count[0], tokens) + 1) / (tokens + distinct + 1)
             for k in range(2, s.order + 1):
                 before = np.roll(count[k - 2], 1)
                 longer = (np.minimum(count[k - 1], before) + s.weight * p) / (before + s.weight)

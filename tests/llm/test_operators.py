@@ -451,8 +451,8 @@ def test_shards_hold_all_tokens_in_order(spark):
     rows = MIXED + [(300 + k, f"text number {k} " * k) for k in range(40)]
     docs = docs_of(spark, rows, True).repartition(3)
     made = training_order.materialise(docs, vocabulary, width=64, shard_sequences=50)
-    index = sorted(made.rows.collect(), key=lambda r: r.index)
-    assert [r.index for r in index] == list(range(made.sequences))
+    index = sorted(made.rows.collect(), key=lambda r: r["index"])
+    assert [r["index"] for r in index] == list(range(made.sequences))
     assert sorted(r.slot for r in index) == list(range(made.sequences))
     assert all(r.shard == r.slot // 50 and r.byte_offset == r.slot % 50 * 128 for r in index)
     in_order = made.read(0, made.sequences + 5)
@@ -514,7 +514,7 @@ def test_licenses(spark):
         [(i, *w) for i, (_, w) in cases.items()] + [(None, "MIT", "MIT"), (1, "MIT", "MIT")]
     )
     by_id = {r.doc_id: r for r in got}
-    assert by_id[2].sentence_ids == "MITTitle,MITGrant,MITNotice,MITWarranty,MITLiability" or "MITGrant" in by_id[2].sentence_ids
+    assert by_id[2].sentence_ids == "MITTitle,MITGrant,MITNotice,MITWarranty,MITLiability"
     assert by_id[6].n_sentences == by_id[7].n_sentences == 0
     assert licenses.scan_licenses(docs_of(spark, [])).collect() == []
     assert licenses.scan_licenses(docs_of(spark, [(1, "MIT License")]), known=(), rules=()).first().licenses == ""
