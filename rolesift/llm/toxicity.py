@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.llm.columns import crc_remainder
@@ -36,6 +36,7 @@ class Training:
     epochs: int = 20
     batch: int = 512
     rate: float = 0.3
+    penalty: float = 1e-2
     default_prior: float = 0.1
     seed: int = 7
 
@@ -114,11 +115,11 @@ def _vectors(batches: Iterator[pa.RecordBatch], index: dict[int, int]) -> Iterat
         rows = list(_chosen_counts(batch.column("text"), forms))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("positive"), batch.column("unlabelled"),
+                *(batch.column(c) for c in ("positive", "unlabelled", "negative", "fold")),
                 pa.array([list(c) for c in rows], pa.list_(pa.int32())),
                 pa.array([list(c.values()) for c in rows], pa.list_(pa.int32())),
             ],
-            names=["positive", "unlabelled", "at", "count"],
+            names=["positive", "unlabelled", "negative", "fold", "at", "count"],
         )
 
 
@@ -132,13 +133,14 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, trainin
 
     risk = prior * loss(P, +) + max(0, loss(U, -) - prior * loss(P, -)). Where the second
     term falls below 0, a step is taken that raises it, so the estimate cannot overfit to a
-    negative risk.
+    negative risk. What is returned is the mean over the later half of the steps.
     """
     rng = np.random.default_rng(seed)
     width = positive.shape[1]
     w, b = np.zeros(width), float(np.log(prior / (1 - prior)))
     scale_w, scale_b = np.full(width, 1e-8), 1e-8
-    for _ in range(training.epochs):
+    sum_w, sum_b, steps = np.zeros(width), 0.0, 0
+    for epoch in range(training.epochs):
         order = rng.permutation(len(unlabelled))
         for at in range(0, len(order), training.batch):
             u = unlabelled[order[at : at + training.batch]]
@@ -149,42 +151,66 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, trainin
                 gp, gu = np.full(len(p), -prior / len(p)), su / len(u)
             else:
                 gp, gu = prior * sp / len(p), -su / len(u)
-            gw, gb = gp @ p + gu @ u + 1e-4 * w, gp.sum() + gu.sum()
+            gw, gb = gp @ p + gu @ u + training.penalty * w, gp.sum() + gu.sum()
             scale_w, scale_b = scale_w + gw * gw, scale_b + gb * gb
             w, b = w - training.rate * gw / np.sqrt(scale_w), b - training.rate * gb / np.sqrt(scale_b)
-    return w, float(b)
+            if epoch >= training.epochs // 2:
+                sum_w, sum_b, steps = sum_w + w, sum_b + b, steps + 1
+    return sum_w / steps, float(sum_b / steps)
 
 
-def prior_threshold(margins: np.ndarray, prior: float, low: float = 0.75, high: float = 1.1) -> float:
-    """The margin above which about the prior's share of unlabelled texts lies.
+def _within(prior: float) -> float:
+    return min(0.95, max(0.005, prior))
 
-    It is the middle of the widest gap between neighbouring margins where the share above is
-    from `low` to `high` times the prior, since the prior itself is an estimate.
-    """
-    z = np.sort(margins)
-    first, last = int(len(z) * (1 - high * prior)), min(len(z) - 1, int(len(z) * (1 - low * prior)))
-    if last <= max(0, first):
-        return 0.0
-    near = z[max(0, first) : last + 1]
-    at = int(np.diff(near).argmax())
-    return float((near[at] + near[at + 1]) / 2)
 
+def prior_bound(positives: int, unlabelled: int) -> Column:
+    """What a feature in `p` positive and `u` unlabelled texts allows the class prior to be.
 
-def _margins(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = zip(batch.column("at").to_pylist(), batch.column("count").to_pylist())
-        z = [float(sum(weights[k] * min(n, MAX_COUNT) for k, n in zip(at, count))) for at, count in pairs]
-        yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64())], names=["z"])
+    Unlabelled texts hold a feature at least as often as their positives do, so the prior is at
+    most the ratio of its frequencies; each is taken two deviations to the safe side.
+    """
+    most, least = F.col("u") + 2 * F.sqrt("u") + 1, F.col("p") - 2 * F.sqrt("p")
+    return F.when(least > 0, most / unlabelled / (least / positives))
 
 
 def _fit(rows: pd.DataFrame, width: int, prior: float, training: Training) -> pd.DataFrame:
+    """A classifier of all folds but its own, which sets its bias; none without rows to learn from."""
     x = np.zeros((len(rows), width), dtype=np.float32)
     for k, (at, count) in enumerate(zip(rows["at"], rows["count"])):
         x[k, at] = np.minimum(count, MAX_COUNT)
     number = int(rows["classifier"].iloc[0])
-    positive, unlabelled = x[rows["positive"].to_numpy()], x[rows["unlabelled"].to_numpy()]
+    own = rows["fold"].to_numpy() == number
+    kinds = {c: rows[c].to_numpy() for c in ("positive", "unlabelled", "negative")}
+    positive, unlabelled = x[kinds["positive"] & ~own], x[kinds["unlabelled"] & ~own]
+    if not len(positive) or not len(unlabelled):
+        return pd.DataFrame({"weights": [], "bias": []})
     w, b = fit_nnpu(positive, unlabelled, prior, training, training.seed + number)
-    return pd.DataFrame({"classifier": [number], "weights": [w.tolist()], "bias": [b]})
+    z = x @ w
+    least = _least_risk(**{c: z[k & own] for c, k in kinds.items()}, prior=prior)
+    return pd.DataFrame({"weights": [w.tolist()], "bias": [b if least is None else -least]})
+
+
+def _least_risk(positive: np.ndarray, negative: np.ndarray, unlabelled: np.ndarray, prior: float
+                ) -> float | None:
+    """The margin from which on to call texts positive so that the risk of 0-1 loss is least.
+
+    It is the middle of the widest gap between margins among the best places. Negatives stand
+    for themselves; without any, unlabelled texts less the prior's share of positives do. With
+    neither or without positives it is None, and the fitted bias stays.
+    """
+    others, gain = (negative, prior / (1 - prior)) if len(negative) else (unlabelled, 2 * prior)
+    if not len(positive) or not len(others):
+        return None
+    z = np.concatenate([positive, others])
+    cost = np.concatenate([np.full(len(positive), -gain / len(positive)), np.full(len(others), 1 / len(others))])
+    z, back = np.unique(z, return_inverse=True)
+    cost = np.bincount(back, cost)[::-1].cumsum()[::-1]  # of calling this margin and all above it positive
+    best = np.flatnonzero(cost <= min(0.0, cost.min()) + 1e-9)
+    if not len(best):  # nothing is worth calling positive
+        return float(z[-1] + 1)
+    below = np.where(best > 0, z[best - 1], z[best] - 1)
+    at = int((z[best] - below).argmax())
+    return float((z[best[at]] + below[at]) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Training(),
@@ -192,16 +218,18 @@ def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Tr
     """Fit on confirmed positives and unlabelled texts among rows where `learnable` holds.
 
     Bounded samples (`Training`) of both are taken; the classifiers differ by the order of
-    steps and are averaged, and the bias of the average is set so that scores of at least 0.5
-    are about as frequent among unlabelled texts as the class prior. That is the share of positives among learnable labels.
-    Labels of 0 are used for the prior alone. Repeated labels of one id count as positive if
-    any is. Without positives or texts the model is the prior alone.
+    steps and leave out one fold each, and their weights and biases are averaged. A bias puts 0.5
+    where the risk on the fold left out is least (`_least_risk`), whatever share of texts that is:
+    the class prior is a weight of the risk only. It is the share of positives among learnable
+    labels, at most `prior_bound`, or that bound if no label is 0. Labels of 0 serve the prior and the risk on left
+    out folds, not the weights. Repeated labels of one id count as positive if any is. Without
+    positives or texts the model is the prior alone.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna()
     known = known.filter(learnable(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     known = stage(known, "toxic-labels")
     stats = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("p")).first()
-    prior = min(0.95, max(0.005, stats.p / stats.n)) if stats.n and stats.p else training.default_prior
+    prior = _within(stats.p / stats.n) if stats.p and stats.p < stats.n else training.default_prior
     nothing = Model(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not stats.p:
         return nothing
@@ -210,15 +238,21 @@ def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Tr
     texts = texts.filter(learnable(F.col("id")))
     total = texts.count()
     share = min(1.0, training.max_unlabelled / max(1, total))
-    # At most about max_positive ids: a proven bound for the broadcast
-    confirmed = known.filter(F.col("label") == 1).select("id")
-    confirmed = confirmed.sample(min(1.0, training.max_positive / stats.p), training.seed).withColumn("positive", F.lit(True))
+    # At most about 2 * max_positive ids: a proven bound for the broadcast
+    confirmed = known.sampleBy(
+        F.col("label") == 1,
+        {True: min(1.0, training.max_positive / stats.p), False: min(1.0, training.max_positive / max(1, stats.n - stats.p))},
+        training.seed,
+    ).select("id", (F.col("label") == 1).alias("positive"), (F.col("label") != 1).alias("negative"))
     sample = stage(
         texts.withColumn("unlabelled", F.rand(training.seed) < share)
         .join(F.broadcast(confirmed), "id", "left")
         .withColumn("positive", F.coalesce("positive", F.lit(False)))
-        .filter(F.col("positive") | F.col("unlabelled"))
-        .select("text", "positive", "unlabelled"),
+        .withColumn("negative", F.coalesce("negative", F.lit(False)))
+        .filter(F.col("positive") | F.col("unlabelled") | F.col("negative"))
+        # Equal texts are in one fold
+        .select("text", "positive", "unlabelled", "negative",
+                F.pmod(F.xxhash64("text"), F.lit(training.classifiers)).cast("int").alias("fold")),
         "toxic-sample",
     ).repartition(16)
 
@@ -235,12 +269,17 @@ def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Tr
     top = ranked.orderBy(F.desc(F.abs((p - u) / spread)), "feature").limit(training.features).select("feature").collect()
     if not top:
         return nothing
+    # Labels may hold positives alone, or more of them than the texts do
+    bound = ranked.agg(F.min(prior_bound(sizes.positive, sizes.unlabelled))).first()[0]
+    if bound is not None:
+        prior = _within(bound) if stats.p == stats.n else min(prior, _within(bound))
     hashes = np.array(sorted(r.feature for r in top))
     index = {int(h): k for k, h in enumerate(hashes)}
 
     vectors = stage(
         sample.mapInArrow(
-            partial(_vectors, index=index), "positive boolean, unlabelled boolean, at array<int>, count array<int>"
+            partial(_vectors, index=index),
+            "positive boolean, unlabelled boolean, negative boolean, fold int, at array<int>, count array<int>",
         ),
         "toxic-vectors",
     )
@@ -250,12 +289,12 @@ def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Tr
         return _fit(rows, len(hashes), prior, training)
 
     fitted = copies.groupBy("classifier").applyInPandas(
-        fit, "classifier int, weights array<double>, bias double"
+        fit, "weights array<double>, bias double"
     ).collect()
+    if not fitted:
+        return nothing
     weights = np.mean([r.weights for r in fitted], axis=0)
-    # As many numbers as the unlabelled sample has texts
-    margins = vectors.filter("unlabelled").mapInArrow(partial(_margins, weights=weights), "z double").toArrow()
-    return Model(hashes, weights, -prior_threshold(margins.column("z").to_numpy(), prior), index)
+    return Model(hashes, weights, float(np.mean([r.bias for r in fitted])), index)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

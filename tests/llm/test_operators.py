@@ -316,6 +316,25 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.toxicity_digest(docs_of(spark, []), none).collect() == []
 
 
+@pytest.mark.parametrize("corpus, labelled", [
+    (0.2, lambda i, bad: i % 2 == 0 and (not bad or i % 4 == 0)),  # more toxic texts than the labels' share
+    (0.1, lambda i, bad: bad or i % 8 == 0),  # labels that oversample toxic texts
+    (0.15, lambda i, bad: bad and i % 2 == 0),  # confirmed positives only
+])
+def test_toxicity_is_no_quota_of_the_label_share(spark, corpus, labelled):
+    rng = np.random.default_rng(5)
+    bad = rng.random(1500) < corpus
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 60) % 500) + (" grobian lump grobian lump" if bad[i] else ""))
+            for i in range(1500)]
+    labels = spark.createDataFrame(
+        [(i, int(bad[i])) for i in range(1500) if labelled(i, bad[i])], "doc_id long, toxic int"
+    )
+    got = [r for r in toxicity.toxicity_digest(docs_of(spark, rows), labels).collect() if r.held_out]
+    missed = sum(bad[r.doc_id] and not r.predicted for r in got)
+    wrong = sum(not bad[r.doc_id] and r.predicted for r in got)
+    assert missed <= 0.02 * len(got) and wrong <= 0.02 * len(got)
+
+
 def test_non_negative_risk_does_not_fit_the_positives_alone():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 2))
