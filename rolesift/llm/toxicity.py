@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rolesift.llm.columns import crc_remainder
 from rolesift.llm.words import ALNUM, word_slices
+from rolesift.operators.joins import many_to_one
 from rolesift.session import stage
 
 HASH_BITS = 20
@@ -61,12 +62,12 @@ def feature_hashes(word: bytes) -> set[int]:
 class _Forms(dict):
     """What a word adds, kept for a bounded number of words."""
 
-    def __init__(self, of):
+    def __init__(self, of, most: int = _CACHE_WORDS):
         super().__init__()
-        self.of = of
+        self.of, self.most = of, most
 
     def __missing__(self, word: bytes):
-        if len(self) >= _CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         self[word] = value = self.of(word)
         return value
@@ -80,18 +81,18 @@ def _word_counts(text: bytes | None) -> Counter:
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many positive and unlabelled texts of the task each feature is."""
+    """In how many positive texts, and in how many of all texts, of the task each feature is."""
     seen = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
-    forms = _Forms(lambda w: np.array(sorted(feature_hashes(w))))
+    forms = _Forms(lambda w: np.array(sorted(feature_hashes(w)), dtype=np.int32), _CACHE_WORDS // 4)
     for batch in batches:
-        for text, positive, unlabelled in zip(*(batch.column(c) for c in ("text", "positive", "unlabelled"))):
+        for text, positive in zip(batch.column("text"), batch.column("positive")):
             parts = [forms[w] for w in _word_counts(text.as_py())]
             if parts:
                 found = np.unique(np.concatenate(parts))
                 seen[0, found] += positive.as_py()
-                seen[1, found] += unlabelled.as_py()
+                seen[1, found] += 1
     at = np.flatnonzero(seen.any(axis=0))
-    columns = [pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])]
+    columns = [pa.array(at.astype(np.int32)), pa.array(seen[0, at]), pa.array(seen[1, at])]
     yield pa.RecordBatch.from_arrays(columns, names=["feature", "p", "u"])
 
 
@@ -217,7 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Tr
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on confirmed positives and unlabelled texts among rows where `learnable` holds.
 
-    Bounded samples (`Training`) of both are taken; the classifiers differ by the order of
+    Features are chosen by counts over all those rows. The fit takes bounded samples
+    (`Training`) of them; the classifiers differ by the order of
     steps and leave out one fold each, and their weights and biases are averaged. A bias puts 0.5
     where the risk on the fold left out is least (`_least_risk`), whatever share of texts that is:
     the class prior is a weight of the risk only. It is the share of positives among learnable
@@ -236,36 +238,22 @@ def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Tr
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     texts = texts.filter(learnable(F.col("id")))
-    total = texts.count()
-    share = min(1.0, training.max_unlabelled / max(1, total))
-    # At most about 2 * max_positive ids: a proven bound for the broadcast
-    confirmed = known.sampleBy(
-        F.col("label") == 1,
-        {True: min(1.0, training.max_positive / stats.p), False: min(1.0, training.max_positive / max(1, stats.n - stats.p))},
-        training.seed,
-    ).select("id", (F.col("label") == 1).alias("positive"), (F.col("label") != 1).alias("negative"))
-    sample = stage(
-        texts.withColumn("unlabelled", F.rand(training.seed) < share)
-        .join(F.broadcast(confirmed), "id", "left")
-        .withColumn("positive", F.coalesce("positive", F.lit(False)))
-        .withColumn("negative", F.coalesce("negative", F.lit(False)))
-        .filter(F.col("positive") | F.col("unlabelled") | F.col("negative"))
-        # Equal texts are in one fold
-        .select("text", "positive", "unlabelled", "negative",
-                F.pmod(F.xxhash64("text"), F.lit(training.classifiers)).cast("int").alias("fold")),
-        "toxic-sample",
-    ).repartition(16)
-
-    counts = sample.mapInArrow(_document_counts, "feature long, p long, u long")
-    sizes = sample.agg(*(F.sum(F.col(c).cast("long")).alias(c) for c in ("positive", "unlabelled"))).first()
+    few = min(1.0, training.max_positive / max(1, stats.n - stats.p))
+    known = known.sampleBy(F.col("label") == 1, {True: 1.0, False: few}, training.seed)
+    known = known.select("id", (F.col("label") == 1).alias("positive"), (F.col("label") != 1).alias("negative"))
+    flagged = many_to_one(texts, known, ["id"], "left").withColumns(
+        {c: F.coalesce(c, F.lit(False)) for c in ("positive", "negative")}
+    )
+    kinds = (F.sum(F.col(c).cast("long")).alias(c) for c in ("positive", "negative"))
+    sizes = flagged.agg(*kinds, F.count(F.lit(1)).alias("unlabelled")).first()
     if not sizes.positive or not sizes.unlabelled:
         return nothing
+    counts = flagged.select("text", "positive").mapInArrow(_document_counts, "feature int, p long, u long")
     p, u = F.col("p") / sizes.positive, F.col("u") / sizes.unlabelled
     both = (F.col("p") + F.col("u")) / (sizes.positive + sizes.unlabelled)
     spread = F.sqrt(both * (1 - both) * (1 / sizes.positive + 1 / sizes.unlabelled) + 1e-12)
-    ranked = counts.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(
-        F.col("p") >= training.min_docs
-    )
+    ranked = counts.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    ranked = stage(ranked.filter(F.col("p") >= training.min_docs), "toxic-features")
     top = ranked.orderBy(F.desc(F.abs((p - u) / spread)), "feature").limit(training.features).select("feature").collect()
     if not top:
         return nothing
@@ -276,6 +264,20 @@ def train(docs: DataFrame, labels: DataFrame, learnable, training: Training = Tr
     hashes = np.array(sorted(r.feature for r in top))
     index = {int(h): k for k, h in enumerate(hashes)}
 
+    def drawn(number: int, most: int, size: int) -> Column:
+        return F.rand(training.seed + number) < min(1.0, most / max(1, size))
+
+    sample = stage(
+        flagged.select(
+            "text",
+            (F.col("positive") & drawn(1, training.max_positive, sizes.positive)).alias("positive"),
+            drawn(0, training.max_unlabelled, sizes.unlabelled).alias("unlabelled"),
+            (F.col("negative") & drawn(2, training.max_positive, sizes.negative)).alias("negative"),
+            # Equal texts are in one fold
+            F.pmod(F.xxhash64("text"), F.lit(training.classifiers)).cast("int").alias("fold"),
+        ).filter(F.col("positive") | F.col("unlabelled") | F.col("negative")),
+        "toxic-sample",
+    ).repartition(16)
     vectors = stage(
         sample.mapInArrow(
             partial(_vectors, index=index),

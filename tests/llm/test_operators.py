@@ -335,6 +335,18 @@ def test_toxicity_is_no_quota_of_the_label_share(spark, corpus, labelled):
     assert missed <= 0.02 * len(got) and wrong <= 0.02 * len(got)
 
 
+def test_toxicity_features_are_counted_over_all_texts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 40) % 300) + (" grobian" if i % 9 == 0 else "")) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(900)], "doc_id long, toxic int")
+    few, all_ = (
+        toxicity.train(docs_of(spark, rows), labels, toxicity.not_held_out,
+                       toxicity.Training(max_positive=20, max_unlabelled=n, features=40, epochs=2))
+        for n in (60, 20_000)
+    )
+    assert few.hashes.tolist() == all_.hashes.tolist() and len(all_.hashes) == 40
+
+
 def test_non_negative_risk_does_not_fit_the_positives_alone():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 2))
