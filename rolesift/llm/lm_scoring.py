@@ -34,8 +34,8 @@ class Settings:
     once, weight of the shorter history. A word is frequent if it is over 1/`frequent` of all
     tokens, so there are fewer than `frequent` such words."""
 
-    order: int = 2
-    min_count: int = 2
+    order: int = 3
+    min_count: int = 1
     base: float = 1.5
     bits_per_entry: int = 10
     broadcast_bytes: int = 96 << 20

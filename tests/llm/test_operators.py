@@ -256,6 +256,18 @@ def test_lm_scores(spark, settings):
     assert all(r.score <= 0 and math.isfinite(r.score) for r in got)
 
 
+def test_lm_keeps_ngrams_seen_once(spark):
+    texts = ["a b c", "a b d", "e f"]
+    docs = spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "text binary")
+    model = lm_scoring.train(docs)
+    want = Counter()
+    for t in texts:
+        tokens = [None, *t.split(), None]
+        for k in (1, 2, 3):
+            want.update((k, tuple(tokens[i - k + 1 : i + 1])) for i in range(max(1, k - 1), len(tokens)))
+    assert Counter(tuple(r) for r in model.ngrams.select("order", "n").collect()) == Counter((k[0], n) for k, n in want.items())
+
+
 def test_lm_parts_of_the_filter_give_the_same_scores(spark):
     rows = [(k, " ".join(f"w{k * j % 23}" for j in range(40))) for k in range(80)]
     tables = [
