@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from rolesift.llm import licenses
 
 ORACLES: dict[str, str] = {}
@@ -126,3 +128,82 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM f
 """
+
+ORACLES["op11_filter_audit"] = r"""
+WITH marks AS (
+  SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS txt FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(txt, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY txt) AS first_id FROM t
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+      + 4 * CAST(100 * length(regexp_replace(txt, '[^A-Z]', '', 'g')) > 3 * length(txt) AS INT)
+      + 8 * CAST(regexp_matches(txt, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > first_id, false) AS INT) AS failed
+  FROM w LEFT JOIN marks USING (doc_id)
+), c AS (
+  SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed
+), letters(x, b) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters t WHERE (p.b | q.b | r.b | s.b | t.b) = 31
+), steps AS (
+  SELECT filter_order, step, x, b, list_sum([1 << strpos('ABCDE', filter_order[k]) >> 1 FOR k IN range(1, step)]) AS e
+  FROM orders, range(1, 6) v(step), letters WHERE filter_order[step] = x
+)
+SELECT part, filter_order, CAST(step AS INT) AS step,
+  CAST(sum(CASE WHEN failed & (b | coalesce(e, 0)) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN failed & b > 0 AND failed & coalesce(e, 0) = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN failed & b > 0 AND failed & coalesce(e, 0) > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN failed = b THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN failed & b > 0 AND failed & coalesce(e, 0) = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN failed & b > 0 AND failed & coalesce(e, 0) = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN failed & b > 0 THEN n * 120 // bit_count(failed) ELSE 0 END) AS BIGINT) AS shapley
+FROM c, steps GROUP BY part, filter_order, step
+"""
+
+
+def _crc_table() -> list[int]:
+    """The crc32 remainder of each byte, from the crc32 of one byte."""
+    # crc32(b) = T[0xFF ^ b] ^ 0x00FFFFFF ^ 0xFFFFFFFF
+    return [zlib.crc32(bytes([0xFF ^ b])) ^ 0xFF000000 for b in range(256)]
+
+
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), once AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) > 6 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, [CAST('0x' || b AS BIGINT) FOR b IN
+    regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '..')]),
+    lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1]))) AS h FROM once
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+      ELSE run END AS word FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), near AS (
+  SELECT word, count(*) AS n_near, max(n) AS best_n FROM pairs GROUP BY word
+), best AS (
+  SELECT near.word, n_near, best_n, min(other) AS best FROM near JOIN pairs ON pairs.word = near.word AND pairs.n = best_n GROUP BY ALL
+), forms AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * words.n THEN best END AS form,
+    CASE WHEN best_n >= 10 * words.n THEN best_n END AS form_n FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root, 0 AS k FROM forms
+  UNION ALL SELECT walk.word, form, k + 1 FROM walk JOIN forms ON forms.word = walk.root WHERE form IS NOT NULL
+)
+SELECT word, form, (SELECT arg_max(root, k) FROM walk WHERE walk.word = forms.word) AS root, n, n_near, form_n FROM forms
+"""

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolesift.llm import decontamination, exact_dedup, licenses, lm_scoring, packing, simhash, toxicity, training_order, url_filter, warc
+from rolesift.llm import (
+    decontamination,
+    exact_dedup,
+    filter_audit,
+    licenses,
+    lm_scoring,
+    packing,
+    quality,
+    simhash,
+    spelling,
+    toxicity,
+    training_order,
+    url_filter,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +94,18 @@ def op9_license_scan(spark, d):
 @query
 def op10_url_filter(spark, d):
     return url_filter.judge_urls(table(spark, d, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
+@query
+def op11_filter_audit(spark, d):
+    return filter_audit.audit_digest(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op12_spelling_variants(spark, d):
+    return spelling.spelling_digest(table(spark, d, "documents"))
+
+
+@query
+def op13_quality_rules(spark, d):
+    return quality.quality_digest(table(spark, d, "documents"), table(spark, d, "labels"))
