@@ -251,3 +251,55 @@ def nation_companies(nation: DataFrame) -> DataFrame:
         F.lit("").alias("ats"),
         F.lit("").alias("ats_link"),
     )
+
+
+# Characters that would end a landed line or the text in it, and what they become
+LINE_ENDS, LINE_SIGNS = '"\\\n\r', "''  "
+
+
+def cut_line(head: Column, text: Column) -> Column:
+    """A landed line that ends inside its last text."""
+    return F.concat(head, F.translate(F.coalesce(text, F.lit("")), LINE_ENDS, LINE_SIGNS))
+
+
+def turn_boards(conversations: DataFrame) -> DataFrame:
+    """One board answer per turn, of twenty companies that list no pages."""
+    job = F.struct(
+        _turn_job().alias("id"), _turn_title().alias("title"), F.lit("2024-01-02T00:00:00Z").alias("updated_at"),
+        F.struct(F.lit("en").alias("name")).alias("location"),
+    )
+    return conversations.select(
+        _turn_company().alias("company_id"), F.lit(200).alias("status_code"),
+        F.to_json(F.struct(F.array(job).alias("jobs"))).alias("body"),
+    )
+
+
+def turn_details(conversations: DataFrame) -> DataFrame:
+    """Their details: the whole turn, under the posting id that its first sentence has as a page's posting."""
+    detail = F.struct(
+        _turn_title().alias("title"), F.md5(_sentences(F.col("text"))[0]).alias("requisition_id"),
+        F.concat(F.lit("&lt;p&gt;"), F.col("text"), F.lit("&lt;/p&gt;")).alias("content"),
+    )
+    return conversations.select(
+        _turn_company().alias("company_id"), _turn_job().alias("job_id"), F.lit(200).alias("status_code"),
+        F.to_json(detail).alias("body"),
+    )
+
+
+def turn_companies(conversations: DataFrame) -> DataFrame:
+    return conversations.select(_turn_company().alias("id")).distinct().select(
+        "id", F.concat(F.lit("Board "), F.col("id").cast("string")).alias("name"),
+        F.lit("https://x.example.com/boards/b").alias("url"),
+    )
+
+
+def _turn_company() -> Column:
+    return (F.col("conv_id") % 20 + 1_000_000).cast("int")
+
+
+def _turn_job() -> Column:
+    return (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint")
+
+
+def _turn_title() -> Column:
+    return F.concat_ws(" ", F.lit("Engineer"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))

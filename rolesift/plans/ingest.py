@@ -37,6 +37,7 @@ from rolesift.operators.pages import (
 from rolesift.operators.scoring import relevance, stored_score
 from rolesift.rules import RuleSet
 from rolesift.session import stage
+from rolesift.sources.landed import BROKEN, broken_lines, whole_lines
 
 _JOB = ["company_id", "ats_job_id", "title", "location", "application_link"]
 _MATCHES = ["positive_matches", "negative_matches", "experience_matches"]
@@ -196,6 +197,7 @@ def ingest_pages(
     held: DataFrame | None = None,
     hold_batches: int = 0,
     collation: str | None = None,
+    reported: DataFrame | None = None,
 ) -> IngestResult:
     """A run over a paged source. `companies` has id, name and url.
 
@@ -207,6 +209,10 @@ def ingest_pages(
     A series whose next page is missing may still be landing. With `hold_batches` it is
     handed back in `held` for that many batches, to be given again as `held`; after
     that, or without it, it is read up to the gap and the pages beyond are rejected.
+
+    Lines of landed files that cannot be read are rejected as they are. Details are read
+    again by later runs: `reported` are the rejects written so far, and lines of files
+    that are among them are not rejected again.
     """
     links = companies.select(
         F.col("id").alias("company_id"),
@@ -214,14 +220,15 @@ def ingest_pages(
         F.col("url").alias("company_url"),
         urls.page_endpoints(F.col("url"))["org"].isNotNull().alias("_usable"),
     )
-    landed = pages.select(*_as_columns(pages, schemas.PAGES), F.lit(0).alias("held"))
+    landed = pages.select(*_as_columns(pages, _with_line(schemas.PAGES)), F.lit(0).alias("held"))
     if held is not None:
-        landed = landed.unionByName(held)
+        landed = landed.unionByName(held, allowMissingColumns=True)
     landed = landed.withColumn("run_id", F.coalesce("run_id", F.lit("")))
     if hold_batches:
         landed = stage(landed, "landed")
     usable = links.filter("_usable").select("company_id")
-    parsed = _parsed_once(parse_pages(landed), "bad")
+    parsed, lines = _split_lines(_parsed_once(parse_pages(landed), "bad"))
+    details, detail_lines = _detail_lines(details)
     ends = series_ends(parsed, _SERIES, "page_no", F.col("size"), F.col("limit"), F.col("bad"), rules.max_pages)
     ends = ends.withColumnRenamed("last", "_last").withColumn("_open", F.lit(False))
     still = None
@@ -232,7 +239,8 @@ def ingest_pages(
     ends = stage(ends, "series")
     if hold_batches:
         waiting = ends.filter("_open").select(*_SERIES)
-        still = many_to_one(landed, waiting, _SERIES, "left_semi").withColumn("held", F.col("held") + 1)
+        whole = whole_lines(landed).select(*schemas.HELD_PAGES.names)
+        still = many_to_one(whole, waiting, _SERIES, "left_semi").withColumn("held", F.col("held") + 1)
         still = stage(still, "held")
     closed = ends.filter("not _open").select(*_SERIES, "_last", "stop")
     judged_pages = many_to_one(parsed, closed, _SERIES)
@@ -280,6 +288,8 @@ def ingest_pages(
             judged.filter("detail_ok"), source, "title",
             F.when(F.col("title").isNull(), "null title"), F.col("external_path"),
         ),
+        metrics.line_rejects(lines, source, "page"),
+        *_detail_rejects(detail_lines, source, reported),
     ]
     order = ["company_id", "run_id", "page_no", "pos"]
     result = _admit(once, judged, keys, order, source, jobs, analysis, now, read, early, collation)
@@ -298,10 +308,16 @@ def ingest_boards(
     overrides: DataFrame | None = None,
     source: str = fixed.SOURCE_B,
     collation: str | None = None,
+    reported: DataFrame | None = None,
 ) -> IngestResult:
-    """A run over boards: recency, title and place are judged before the detail join."""
+    """A run over boards: recency, title and place are judged before the detail join.
+
+    Lines that cannot be read are rejected as in `ingest_pages`.
+    """
     names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company"))
-    landed = _parsed_once(parse_boards(boards.select(*_as_columns(boards, schemas.BOARDS))), "unreadable")
+    rows = boards.select(*_as_columns(boards, _with_line(schemas.BOARDS)))
+    landed, lines = _split_lines(_parsed_once(parse_boards(rows), "unreadable"))
+    details, detail_lines = _detail_lines(details)
     parsed = many_to_one(landed, names.select("company_id"), ["company_id"], "left_semi")
     candidates = explode_board(parsed).filter(
         recent_ts(F.col("updated_at"), as_of, rules.fresh_hours)
@@ -330,6 +346,8 @@ def ingest_boards(
             explode_board(parsed).filter(recent_ts(F.col("updated_at"), as_of, rules.fresh_hours)),
             source, "title", F.when(F.col("title").isNull(), "null title"), F.col("job_id"),
         ),
+        metrics.line_rejects(lines, source, "board"),
+        *_detail_rejects(detail_lines, source, reported),
     ]
     read = parsed.filter((F.col("status_code") == 200) & ~F.col("unreadable"))
     order = ["company_id", "pos", "job_id"]
@@ -338,6 +356,26 @@ def ingest_boards(
     )
 
 
+def _with_line(schema: StructType) -> StructType:
+    return StructType([*schema.fields, *schemas.LINE.fields])
+
+
+def _split_lines(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of whole lines, and the broken lines; `parsed` is a written table."""
+    return whole_lines(parsed), parsed.filter(F.col(BROKEN).isNotNull())
+
+
+def _detail_lines(details: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    lines = broken_lines(details) if BROKEN in details.columns else None
+    return whole_lines(details), lines
+
+
+def _detail_rejects(lines: DataFrame | None, source: str, reported: DataFrame | None) -> list[DataFrame]:
+    if lines is None:
+        return []
+    return [metrics.not_reported(metrics.line_rejects(lines, source, "detail"), reported)]
+
+
 def _as_columns(df: DataFrame, schema: StructType) -> list[Column]:
     """The columns of `schema`, null where `df` lacks one."""
     have = set(df.columns)
@@ -354,6 +392,23 @@ def _detail_order(details: DataFrame) -> list[Column]:
     return [usable.desc(), *newest, F.md5("body").asc()]
 
 
+def combine(results: list[IngestResult]) -> IngestResult:
+    """What several runs of one batch add, each run after the one before; messages are numbered on."""
+    both = lambda name: reduce(DataFrame.unionByName, [getattr(r, name) for r in results])
+    outboxes, sent = [], F.lit(0)
+    for r in results:
+        outboxes.append(r.outbox.withColumn("seq", F.col("seq") + sent))
+        sent = sent + r.jobs.agg(F.count(F.lit(1))).scalar()
+    return IngestResult(
+        jobs=both("jobs"),
+        analysis=both("analysis"),
+        outbox=reduce(DataFrame.unionByName, outboxes),
+        rejects=both("rejects"),
+        funnel=both("funnel"),
+        held=next((r.held for r in results if r.held is not None), None),
+    )
+
+
 def union_sources(**by_source: DataFrame) -> DataFrame:
     """Rows of all sources in one table with a `source` column."""
     tagged = [df.withColumn("source", F.lit(name)) for name, df in by_source.items()]

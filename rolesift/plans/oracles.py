@@ -306,6 +306,8 @@ fresh AS (
   FROM kept WHERE nth = 1)
 """
 
+_LINE = f"translate(coalesce(text, ''), {_q(fx.LINE_ENDS)}, {_q(fx.LINE_SIGNS)})"
+
 _TURNS = """
         WITH landed AS (SELECT conv_id, turn, role, length(text) AS size, length(text) > 1400 AS bad,
             turn + CASE WHEN conv_id % 3 = 0 AND turn >= 4 THEN 1 ELSE 0 END AS page FROM conversations),
@@ -512,4 +514,26 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT company_id, 'page', 'page cap reached' FROM read WHERE page_no = 2 AND len(parts) >= {fx.PAGE_LIMIT}
         UNION ALL SELECT company_id, 'detail', 'missing or empty detail' FROM scored WHERE NOT detail_ok
         UNION ALL SELECT company_id, 'insert', 'value too long' FROM passed WHERE length(s) > 500) GROUP BY ALL""",
+    "ingest_both_stream_jobs": _PAGE_RUN[: _PAGE_RUN.index("held AS (")]
+    + f"""turns AS (
+  SELECT conv_id, turn, 'Engineer ' || conv_id || ' ' || turn AS title, md5(string_split(text, '{_BREAK}')[1]) AS ats_job_id,
+         {_BOARD_TEXT} AS plain FROM conversations),
+boards AS ({_scored("turns", "plain", _B, "turns.*")}),
+both_sources AS (
+  SELECT company_id % 3 AS batch, 0 AS source, company_id, page_no AS a, pos::BIGINT AS b, md5(s) AS ats_job_id, s AS title, score
+  FROM passed WHERE length(s) <= 500
+  UNION ALL SELECT (conv_id % 3)::INT, 1, (1000000 + conv_id % 20)::INT, 0, conv_id * 1000 + turn, ats_job_id, title, score
+  FROM boards WHERE score >= {_B.threshold}),
+firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY ats_job_id ORDER BY batch, source, company_id, a, b) AS place FROM both_sources)
+SELECT row_number() OVER (ORDER BY batch, source, company_id, a, b) AS id, company_id, ats_job_id, md5(title) AS title_md5,
+       round(score)::INT AS relevance_score FROM firsts WHERE place = 1""",
+    "landed_line_rejects": f"""
+        WITH t AS (SELECT conv_id, turn, {_LINE} AS line FROM conversations), d AS (SELECT doc_id, {_LINE} AS line FROM documents)
+        SELECT source, stage, 'unreadable line' AS reason, md5(raw) AS raw_md5, true AS in_folder FROM (
+            SELECT 'workday' AS source, 'page' AS stage, '{{"status_code":200,"page_no":' || turn || ',"body":{{"jobPostings":[{{"externalPath":"' || line AS raw FROM t
+            UNION ALL SELECT 'workday', 'page', '{{"company_id":"c' || conv_id || '","page_no":' || turn || '}}' FROM t
+            UNION ALL SELECT 'greenhouse', 'board', '{{"status_code":200,"company_id":' || doc_id || ',"body":"' || line FROM d
+            UNION ALL SELECT 'greenhouse', 'detail', '{{"status_code":200,"job_id":' || doc_id || ',"body":{{"content":"' || line FROM d
+            UNION ALL SELECT 'decisions', 'event', '{{"callback_query":{{"id":"' || event_id || '","data":"' || coalesce(event_type, '') FROM events)""",
 }

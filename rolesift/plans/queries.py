@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from rolesift.plans.ingest import ingest_boards, ingest_pages, job_rejects, unio
 from rolesift.session import fresh_path, stage
 from rolesift.sources import landed, registry, tables
 from rolesift.streaming.decisions import decision_stream
-from rolesift.streaming.ingest import ingest_stream
+from rolesift.streaming.ingest import Feed, ingest_feeds, ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -597,11 +598,21 @@ def decision_answers(spark, d):
     return rows.select(c("keyboard").cast("bigint").alias("event_id"), "kind", "text")
 
 
-def _land_in_order(df: DataFrame, order: Column, path: str, parts: int) -> None:
-    """Land rows as `parts` files, one after the other in `order`."""
+_FILE_ROWS = 50_000
+
+
+def _land_in_order(df: DataFrame, order: Column, path: str, parts: int) -> int:
+    """Land rows in `parts` parts, one after the other in `order`; the files of each part.
+
+    A stream that reads so many files at a time reads one part as a batch.
+    """
     placed = stage(df.withColumn("_part", order), "landing")
+    files = 1 + placed.count() // (parts * _FILE_ROWS)
     for part in range(parts):
-        placed.filter(c("_part") == part).drop("_part", "_batch").coalesce(1).write.mode("append").json(path)
+        rows = placed.filter(c("_part") == part).drop("_part", "_batch")
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        rows.write.mode("append").json(path)
+    return files
 
 
 @query
@@ -613,14 +624,14 @@ def decision_stream_verdicts(spark, d):
     first, second = rows.select(F.percentile(micros("ts"), F.array(F.lit(0.3), F.lit(0.6)))).first()[0]
     at = micros("received_at")
     third = F.when(at <= first, 0).when(at <= second, 1).otherwise(2)
-    _land_in_order(fx.decision_events(rows), third, events, 3)
+    files = _land_in_order(fx.decision_events(rows), third, events, 3)
     jobs = fx.supplier_jobs(table(spark, d, "supplier"))
     tables.append_batch(jobs, root, "job_info", "seed", 0)
     before = jobs.filter("company_id < 3").select(c("id").alias("job_id"), F.lit("applied").alias("decision"))
     tables.append_batch(before, root, "decisions", "seed", 0)
     companies = fx.nation_companies(table(spark, d, "nation"))
     run = decision_stream(
-        spark, events, companies, root, fresh_path(spark, "offsets"), as_of=fx.DECIDED_ON, max_files=1
+        spark, events, companies, root, fresh_path(spark, "offsets"), as_of=fx.DECIDED_ON, max_files=files
     )
     run.awaitTermination()
     rows = tables.read_table(spark, root, "verdicts", schemas.VERDICTS)
@@ -750,7 +761,7 @@ def rejects(spark, d):
         F.repeat(c("lang"), (c("n_chars") / 4).cast("int")).alias("location"),
         F.lit("").alias("application_link"),
     )
-    return metrics.rejects(rows, "feed", "insert", job_rejects(), c("ats_job_id"))
+    return metrics.rejects(rows, "feed", "insert", job_rejects(), c("ats_job_id")).drop("file")
 
 
 # ---- Whole runs ----
@@ -845,26 +856,85 @@ def ingest_pages_rejects(spark, d):
 
 @query
 def ingest_pages_stream_jobs(spark, d):
-    """The paged run as a stream: each series comes in three batches, some pages twice."""
+    """The paged run as a stream: each series comes in three batches, some pages twice.
+
+    A third of the series have no page that ends them; they are closed at the end.
+    """
     talks, root = table(spark, d, "conversations"), fresh_path(spark, "state")
     lists_path, details_path = fresh_path(spark, "pages"), fresh_path(spark, "details")
     landed_pages = fx.pages(talks)
     last = landed_pages.groupBy("company_id").agg(F.max("page_no").alias("page_no"))
-    end = last.select(
+    end = last.filter("company_id % 3 <> 0").select(
         "company_id", (c("page_no") + 1).alias("page_no"), F.lit(0).alias("offset"), F.lit(fx.PAGE_LIMIT).alias("limit"),
         F.lit(200).alias("status_code"), F.lit('{"jobPostings":[]}').alias("body"),
     )
     batch = F.least(F.floor(c("page_no") / 2), F.lit(2)).cast("int")
     again = landed_pages.filter("page_no = 1").withColumn("_batch", F.lit(2))
     whole = landed_pages.withColumn("_batch", batch).unionByName(end.withColumn("_batch", F.lit(2))).unionByName(again)
-    _land_in_order(whole, c("_batch"), lists_path, 3)
+    files = _land_in_order(whole, c("_batch"), lists_path, 3)
     fx.page_details(talks).write.json(details_path)
     tables.append_batch(_held_jobs(spark, d), root, "job_info", "seed", 0)
     run = ingest_stream(
         spark, lists_path, details_path, fx.page_companies(talks), root, fresh_path(spark, "offsets"),
-        fixed.SOURCE_A, fx.PAGE_RULES, as_of=fx.BOARD_AS_OF, hold_batches=3, max_files=1,
+        fixed.SOURCE_A, fx.PAGE_RULES, as_of=fx.BOARD_AS_OF, hold_batches=3, max_files=files, close_at_end=True,
     )
     run.awaitTermination()
     jobs = tables.read_table(spark, root, "job_info", schemas.JOB_INFO).filter("title is not null")
     scores = tables.read_table(spark, root, "job_analysis", schemas.JOB_ANALYSIS).select(c("job_id").alias("id"), "relevance_score")
     return jobs.join(scores, "id").select("ats_job_id", F.md5("title").alias("title_md5"), "location", "relevance_score")
+
+
+@query
+def ingest_both_stream_jobs(spark, d):
+    """Both sources as one stream of three batches; boards list postings that pages list too."""
+    talks, root = table(spark, d, "conversations"), fresh_path(spark, "state")
+    third = (c("conv_id") % 3).cast("int")
+    feeds, files = [], 1
+    for source, lists, details, companies, rules in (
+        (fixed.SOURCE_A, fx.pages, fx.page_details, fx.page_companies, fx.PAGE_RULES),
+        (fixed.SOURCE_B, fx.turn_boards, fx.turn_details, fx.turn_companies, fx.BOARD_RULES),
+    ):
+        lists_path, details_path = fresh_path(spark, "lists"), fresh_path(spark, "details")
+        placed = [lists(talks.filter(third == k)).withColumn("_batch", F.lit(k)) for k in range(3)]
+        files = _land_in_order(reduce(DataFrame.unionByName, placed), c("_batch"), lists_path, 3)
+        details(talks).write.json(details_path)
+        feeds.append(Feed(source, lists_path, details_path, companies(talks), rules))
+    run = ingest_feeds(
+        spark, feeds, root, fresh_path(spark, "offsets"), as_of=fx.BOARD_AS_OF, hold_batches=0, max_files=files
+    )
+    run.awaitTermination()
+    jobs = tables.read_table(spark, root, "job_info", schemas.JOB_INFO)
+    scores = tables.read_table(spark, root, "job_analysis", schemas.JOB_ANALYSIS).select(c("job_id").alias("id"), "relevance_score")
+    return jobs.join(scores, "id").select("id", "company_id", "ats_job_id", F.md5("title").alias("title_md5"), "relevance_score")
+
+
+@query
+def landed_line_rejects(spark, d):
+    """Landed files of all four kinds, in which each row has a line that is cut off beside its whole one.
+
+    Pages have lines too whose company is no number.
+    """
+    talks, docs, events = (table(spark, d, t) for t in ("conversations", "documents", "events"))
+    number = lambda name: c(name).cast("string")
+
+    def cut(rows, head, ident, field, text):
+        return rows.select(fx.cut_line(F.concat(F.lit(head), number(ident), F.lit(field)), c(text)).alias("value"))
+
+    odd = talks.select(F.concat(F.lit('{"company_id":"c'), number("conv_id"), F.lit('","page_no":'), number("turn"), F.lit("}")))
+    kinds = [
+        (landed.read_pages, fixed.SOURCE_A, "page", fx.pages(talks),
+         cut(talks, '{"status_code":200,"page_no":', "turn", ',"body":{"jobPostings":[{"externalPath":"', "text").union(odd)),
+        (landed.read_boards, fixed.SOURCE_B, "board", fx.boards(docs),
+         cut(docs, '{"status_code":200,"company_id":', "doc_id", ',"body":"', "text")),
+        (lambda s, path: landed.read_details(s, path, fixed.SOURCE_B), fixed.SOURCE_B, "detail", fx.board_details(docs),
+         cut(docs, '{"status_code":200,"job_id":', "doc_id", ',"body":{"content":"', "text")),
+        (landed.read_decisions, "decisions", "event", fx.decision_events(events),
+         cut(events, '{"callback_query":{"id":"', "event_id", '","data":"', "event_type")),
+    ]
+    found = []
+    for read, source, kind, whole, broken in kinds:
+        path = fresh_path(spark, kind)
+        whole.select(F.to_json(F.struct("*")).alias("value")).union(broken).write.text(path)
+        lines = metrics.line_rejects(landed.broken_lines(read(spark, path)), source, kind)
+        found.append(lines.withColumn("in_folder", c("file").contains(path.rsplit("/", 1)[1])))
+    return reduce(DataFrame.unionByName, found).select("source", "stage", "reason", F.md5("raw").alias("raw_md5"), "in_folder")

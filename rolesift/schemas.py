@@ -71,7 +71,8 @@ OUTBOX = _struct(
 )
 DECISIONS = _struct(job_id=_LONG, decision=_TEXT)
 VERDICTS = _struct(callback_id=_TEXT, message_id=_LONG, job_id=_LONG, verdict=_TEXT)
-REJECTS = _struct(source=_TEXT, company_id=_INT, stage=_TEXT, reason=_TEXT, raw=_TEXT)
+# `file` is the landed file of a line that could not be read
+REJECTS = _struct(source=_TEXT, company_id=_INT, stage=_TEXT, reason=_TEXT, raw=_TEXT, file=_TEXT)
 
 # Landed files. `body` is kept as text, so that a broken body is one rejected row
 # and a missing key can be told from a null one; it may be an object or a string.
@@ -100,6 +101,7 @@ BOARD_BODY = _struct(
     ),
     _corrupt_record=_TEXT,
 )
+LINE = _struct(broken_line=_TEXT, landed_file=_TEXT)
 DETAILS_A = _struct(
     company_id=_INT, external_path=_TEXT, status_code=_INT, body=_TEXT, landed_at=_TIME
 )

@@ -6,9 +6,14 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from rolesift import rules, schemas
+from rolesift.session import stage
+
+
+# What every landed row tells beside its fields: the whole line if it is no such JSON, and its file
+BROKEN, FILE = "broken_line", "landed_file"
 
 
 def _read(
@@ -16,7 +21,23 @@ def _read(
 ) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
     options = {"maxFilesPerTrigger": str(max_files)} if streaming and max_files else {}
-    return reader.schema(schema).options(**options).json(path)
+    full = StructType([*schema.fields, StructField(BROKEN, StringType())])
+    rows = reader.schema(full).options(columnNameOfCorruptRecord=BROKEN, **options).json(path)
+    return rows.withColumn(FILE, F.col("_metadata.file_path"))
+
+
+def whole_lines(rows: DataFrame) -> DataFrame:
+    """The rows whose line could be read; all rows of a table that was not read from files."""
+    return rows.filter(F.col(BROKEN).isNull()) if BROKEN in rows.columns else rows
+
+
+def broken_lines(rows: DataFrame) -> DataFrame:
+    """The rows whose line was cut off, is no JSON, or has a field of another type.
+
+    They are written before use: Spark does not read files for their broken lines alone, and
+    a line is judged by all its fields, not by those that a plan happens to need.
+    """
+    return stage(rows.filter(F.col(BROKEN).isNotNull()), "broken-lines")
 
 
 def read_pages(
@@ -43,11 +64,12 @@ def read_details(
     Only the folders' names are looked at to leave out the others.
     """
     schema = schemas.DETAILS_A if source == rules.SOURCE_A else schemas.DETAILS_B
+    columns = [*schema.names, BROKEN, FILE]
     if since is None:
-        return _read(spark, path, schema, streaming).select(*schema.names)
+        return _read(spark, path, schema, streaming).select(*columns)
     by_day = StructType([*schema.fields, StructField("dt", DateType())])
     rows = _read(spark, path, by_day, streaming)
-    return rows.filter(F.col("dt") >= F.lit(since)).select(*schema.names)
+    return rows.filter(F.col("dt") >= F.lit(since)).select(*columns)
 
 
 def read_decisions(

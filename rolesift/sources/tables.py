@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,9 @@ def turn(spark: SparkSession, root: str, writer: str, batch_id: int, wait_second
 
     The turn is a file that only one writer can create. A writer waits while another has
     it, and fails with the other's name after `wait_seconds`. A batch that died with the
-    turn takes it again when it is repeated.
+    turn takes it again when it is repeated; if it never will be, `clear_turn` ends its turn.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_turn")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, path = _file(spark, f"{root}/_turn")
     mine = f"{writer}/{batch_id}"
 
     def holder() -> str:
@@ -57,7 +57,12 @@ def turn(spark: SparkSession, root: str, writer: str, batch_id: int, wait_second
         with _turns:  # a local file system checks and creates in two steps
             if files.exists(path):
                 return holder() == mine
-            out = files.create(path, False)
+            try:
+                out = files.create(path, False)
+            except Py4JJavaError as e:  # another process was faster
+                if not e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                    raise
+                return False
             out.writeUTF(mine)
             out.close()
             return True
@@ -73,6 +78,20 @@ def turn(spark: SparkSession, root: str, writer: str, batch_id: int, wait_second
         files.delete(path, False)
 
 
+def _file(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def clear_turn(spark: SparkSession, root: str) -> bool:
+    """End the turn of a writer that died and will not be restarted; whether there was one.
+
+    Only for a root that nothing writes at the moment: a live writer would lose its turn.
+    """
+    files, path = _file(spark, f"{root}/_turn")
+    return files.delete(path, False)
+
+
 def batch_time(spark: SparkSession, root: str, writer: str, batch_id: int) -> datetime:
     """When the batch was first tried; a repeated batch is judged by the same time."""
     table = _read(spark, f"{root}/batches", schemas.BATCH_TIMES, schemas.BATCH)
@@ -121,6 +140,18 @@ def read_batch(
     return rows.filter((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).select(*schema.names)
 
 
+def last_batch(spark: SparkSession, root: str, writer: str) -> int | None:
+    """The last batch that a writer has begun."""
+    table = _read(spark, f"{root}/batches", schemas.BATCH_TIMES, schemas.BATCH)
+    return table.filter(F.col("writer") == writer).agg(F.max("batch_id")).first()[0]
+
+
+def is_written(spark: SparkSession, root: str, table: str, writer: str, batch_id: int) -> bool:
+    """Whether a batch has written its part of a table to the end."""
+    files, path = _file(spark, f"{root}/{table}/writer={writer}/batch_id={batch_id}/_SUCCESS")
+    return files.exists(path)
+
+
 def read_overrides(spark: SparkSession, root: str) -> DataFrame:
     """The newest overrides; empty if there are none yet."""
     rows = _read(spark, f"{root}/overrides", schemas.OVERRIDES, schemas.VERSION)

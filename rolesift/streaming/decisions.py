@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rolesift import schemas
+from rolesift.operators import metrics
 from rolesift.operators.decisions import (
     callback_answers,
     decide,
@@ -17,8 +18,7 @@ from rolesift.operators.decisions import (
 from rolesift.operators.joins import jobs_with_company
 from rolesift.operators.merge import insert_new
 from rolesift.session import stage
-from rolesift.sources import tables
-from rolesift.sources.landed import read_decisions
+from rolesift.sources import landed, tables
 from rolesift.streaming.ingest import start
 
 ARRIVAL = ["received_at", "callback_id", "_arrival"]
@@ -42,12 +42,16 @@ def apply_batch(
     """Judge one batch of events and write verdicts, decisions, applications, messages.
 
     The state is the stored decisions. The batch reads them as they were before it,
-    so a replay repeats its own result.
+    so a replay repeats its own result. Lines that cannot be read are no events: they are
+    written to the rejects.
     """
     mine = (writer, batch_id)
+    if landed.BROKEN in events.columns:
+        lines = metrics.line_rejects(landed.broken_lines(events), "decisions", "event")
+        tables.append_batch(lines, root, "rejects", writer, batch_id)
     jobs = tables.current_jobs(spark, root, mine)
     known = jobs.select(F.col("id").alias("job_id"), F.col("user_decision").alias("decision"))
-    verdicts = stage(decide(number_arrivals(events), known, ARRIVAL), "verdicts")
+    verdicts = stage(decide(number_arrivals(landed.whole_lines(events)), known, ARRIVAL), "verdicts")
     decided = new_decisions(verdicts)
     now = F.to_timestamp(F.lit(as_of or tables.batch_time(spark, root, writer, batch_id)))
     # Only the jobs just decided are joined to their company
@@ -81,5 +85,5 @@ def decision_stream(
         with tables.turn(session, root, writer, batch_id):
             apply_batch(session, batch, companies, root, writer, batch_id, as_of)
 
-    stream = read_decisions(spark, path, streaming=True, max_files=max_files)
+    stream = landed.read_decisions(spark, path, streaming=True, max_files=max_files)
     return start(stream, handle, "decisions", checkpoint, every)

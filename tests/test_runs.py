@@ -2,6 +2,9 @@
 
 import json
 import re
+import subprocess
+import sys
+import time
 from datetime import date
 from pathlib import Path
 
@@ -10,13 +13,13 @@ from pyspark.sql import functions as F
 
 from rolesift import rules as fixed
 from rolesift import schemas
-from rolesift.plans.ingest import ingest_boards, ingest_pages
+from rolesift.plans.ingest import IngestResult, combine, ingest_boards, ingest_pages
 from rolesift.plans.recalibrate import run_recalibration
 from rolesift.rules import RuleSet
 from rolesift.session import shared_dir
 from rolesift.sources import landed, registry, tables
 from rolesift.streaming.decisions import apply_batch, decision_stream
-from rolesift.streaming.ingest import ingest_stream
+from rolesift.streaming.ingest import Feed, ingest_feeds, ingest_stream
 
 STRONG = "<p>java python kafka aws docker sql redis api rest senior backend</p>"
 NOW = "2024-01-02 00:00:00+00:00"
@@ -404,3 +407,162 @@ def test_a_batch_keeps_its_time(spark, tmp_path):
     first = tables.batch_time(spark, root, "w", 0)
     assert tables.batch_time(spark, root, "w", 0) == first
     assert tables.batch_time(spark, root, "w", 1) > first
+
+
+def with_broken(folder, name, line):
+    (Path(folder) / name).write_text(line + "\n")
+    return f"{folder}/{name}"
+
+
+def rejected_lines(rows):
+    return sorted((r.stage, r.raw, r.file.rsplit("/", 1)[1]) for r in rows if r.reason == "unreadable line")
+
+
+def test_broken_lines_are_rejected_whole(spark, tmp_path):
+    details, companies, root, _ = stream_setup(spark, tmp_path)
+    pages = land(tmp_path / "pages", "p.json", three_pages(1))
+    cut, odd, text = '{"company_id":1,"page_no":3,"body":{"jobPostings":[{"exter', '{"company_id":"one","page_no":4}', "no json at all"
+    with_broken(pages, "cut.json", f"{cut}\n{odd}\n[1, 2")
+    with_broken(details, "cut.json", text)
+    run = ingest_pages(
+        landed.read_pages(spark, pages), landed.read_details(spark, details, fixed.SOURCE_A), companies,
+        empty(spark, schemas.JOB_INFO), empty(spark, schemas.JOB_ANALYSIS), F.to_timestamp(F.lit(NOW)), hold_batches=1,
+    )
+    assert run.jobs.count() == 7
+    want = sorted([("page", cut, "cut.json"), ("page", odd, "cut.json"), ("page", "[1, 2", "cut.json"), ("detail", text, "cut.json")])
+    assert rejected_lines(run.rejects.collect()) == want and run.rejects.columns == schemas.REJECTS.names
+    assert all(r.reason == "unreadable line" for r in run.rejects.collect()), "they are rejected once, not also without a company"
+    assert run.held.count() == 0
+
+
+def test_streams_report_a_broken_line_once(spark, board, tmp_path):
+    boards, details, companies = board
+    root, offsets = str(tmp_path / "state"), str(tmp_path / "offsets")
+    with_broken(boards, "cut.json", '{"company_id":')
+    with_broken(details, "cut.json", "{")
+    for extra in ("one", "two"):
+        ingest_stream(spark, boards, details, companies, root, offsets, fixed.SOURCE_B, as_of=NOW).awaitTermination()
+        with_broken(boards, f"{extra}.json", f'{{"company_id":"{extra}"}}')
+        with_broken(details, f"{extra}.json", extra)
+    rows = tables.read_table(spark, root, "rejects", schemas.REJECTS).collect()
+    assert rejected_lines(rows) == [
+        ("board", '{"company_id":', "cut.json"), ("board", '{"company_id":"one"}', "one.json"),
+        ("detail", "one", "one.json"), ("detail", "{", "cut.json")]
+    events = land(tmp_path / "events", "e.json", [event(1, "apply:1")])
+    with_broken(events, "cut.json", '{"callback_query":{"id":"c9","data":"apply:2"')
+    decision_stream(spark, events, seed_jobs(spark, str(tmp_path / "s2")), str(tmp_path / "s2"), str(tmp_path / "o2"), as_of=NOW).awaitTermination()
+    assert len(read(spark, str(tmp_path / "s2"), "verdicts", schemas.VERDICTS).collect()) == 1
+    assert rejected_lines(read(spark, str(tmp_path / "s2"), "rejects", schemas.REJECTS).collect()) == [
+        ("event", '{"callback_query":{"id":"c9","data":"apply:2"', "cut.json")]
+
+
+def test_a_run_closes_its_series_at_its_end(spark, tmp_path):
+    details, companies, root, offsets = stream_setup(spark, tmp_path)
+    one = three_pages(1)
+    pages = land(tmp_path / "pages", "p0.json", one[:1])
+
+    def run():
+        ingest_stream(spark, pages, details, companies, root, offsets, as_of=NOW).awaitTermination()
+        jobs = tables.read_table(spark, root, "job_info", schemas.JOB_INFO).collect()
+        assert sorted(r.id for r in jobs) == list(range(1, len(jobs) + 1))
+        return sorted(r.ats_job_id for r in jobs)
+
+    first = run()
+    assert len(first) == 3 and run() == first, "no next page: read up to the gap, once"
+    land(tmp_path / "pages", "p1.json", three_pages(2))
+    assert len(run()) == 10, "a closed series is not taken up again"
+    reasons = [r.reason for r in tables.read_table(spark, root, "rejects", schemas.REJECTS).collect()]
+    assert reasons == []
+
+
+def test_a_closing_that_broke_off_is_finished_by_the_next_batch(spark, tmp_path, monkeypatch):
+    details, companies, root, offsets = stream_setup(spark, tmp_path)
+    pages = land(tmp_path / "pages", "p0.json", three_pages(1)[:1])
+    append = tables.append_batch
+
+    def broken(df, root, table, writer, batch_id):
+        if table == "job_info" and writer.endswith("-close"):
+            raise OSError("lost")
+        append(df, root, table, writer, batch_id)
+
+    monkeypatch.setattr(tables, "append_batch", broken)
+    with pytest.raises(OSError):
+        ingest_stream(spark, pages, details, companies, root, offsets, as_of=NOW).awaitTermination()
+    monkeypatch.setattr(tables, "append_batch", append)
+    land(tmp_path / "pages", "p1.json", three_pages(2))
+    ingest_stream(spark, pages, details, companies, root, offsets, as_of=NOW).awaitTermination()
+    jobs = tables.read_table(spark, root, "job_info", schemas.JOB_INFO).collect()
+    assert sorted(r.id for r in jobs) == list(range(1, 11)) and len({r.ats_job_id for r in jobs}) == 10
+    outbox = tables.read_table(spark, root, "outbox", schemas.OUTBOX).collect()
+    assert sorted(r.job_id for r in outbox) == list(range(1, 11))
+
+
+def test_a_running_stream_closes_a_series_without_new_files(spark, tmp_path):
+    details, companies, root, offsets = stream_setup(spark, tmp_path)
+    pages = land(tmp_path / "pages", "p0.json", three_pages(1)[:1])
+    run = ingest_stream(spark, pages, details, companies, root, offsets, every="1 second", as_of=NOW, hold_batches=2)
+    try:
+        until = time.monotonic() + 120
+        while not tables.read_table(spark, root, "job_info", schemas.JOB_INFO).count():
+            assert time.monotonic() < until and run.isActive
+            time.sleep(1)
+    finally:
+        run.stop()
+    assert run.awaitTermination(30)
+    assert tables.read_table(spark, root, "job_info", schemas.JOB_INFO).count() == 3
+
+
+def test_two_sources_in_one_stream(spark, board, tmp_path):
+    details, companies, root, offsets = stream_setup(spark, tmp_path)
+    boards, board_details, board_companies = board
+    details = land(tmp_path / "more", "d.json", [detail(1, f"/1-0-{k}", req=f"{'R1' if k else 'X'}{k}") for k in range(3)])
+    pages = land(tmp_path / "pages", "p.json", three_pages(1)[:1])
+    feeds = [Feed(fixed.SOURCE_A, pages, details, companies), Feed(fixed.SOURCE_B, boards, board_details, board_companies)]
+    ingest_feeds(spark, feeds, root, offsets, as_of=NOW).awaitTermination()
+    alone = str(tmp_path / "alone")
+    ingest_stream(spark, boards, board_details, board_companies, alone, str(tmp_path / "o2"), fixed.SOURCE_B, as_of=NOW).awaitTermination()
+    jobs = tables.read_table(spark, root, "job_info", schemas.JOB_INFO).collect()
+    by_board = {r.ats_job_id for r in tables.read_table(spark, alone, "job_info", schemas.JOB_INFO).collect()}
+    assert {r.ats_job_id for r in jobs} == by_board | {"X0", "R11", "R12"}
+    assert sorted(r.id for r in jobs) == list(range(1, len(jobs) + 1)) and len({r.ats_job_id for r in jobs}) == len(jobs)
+    outbox = tables.read_table(spark, root, "outbox", schemas.OUTBOX).collect()
+    assert len(outbox) == len(jobs)
+    with pytest.raises(ValueError):
+        ingest_feeds(spark, feeds[:1] * 2, root, offsets)
+
+
+def test_messages_of_several_sources_are_numbered_on(spark):
+    def result(n, text):
+        rows = spark.range(1, n + 1)
+        job = rows.select(*[(F.col("id") if f.name == "id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.JOB_INFO])
+        sent = rows.select(F.col("id").alias("seq"), F.lit(text).alias("kind"))
+        none = spark.range(0)
+        return IngestResult(jobs=job, analysis=none, outbox=sent, rejects=none, funnel=none)
+
+    got = combine([result(2, "a"), result(0, "b"), result(3, "c")]).outbox.collect()
+    assert sorted(map(tuple, got)) == [(1, "a"), (2, "a"), (3, "c"), (4, "c"), (5, "c")]
+
+
+def test_a_turn_taken_by_another_process_is_waited_for(spark, tmp_path, monkeypatch):
+    root = tmp_path / "state"
+    root.mkdir()
+    ready = root / "ready"
+    code = f"import pathlib, time; pathlib.Path({str(root / '_turn')!r}).write_bytes(b'\\x00\\x05other'); " \
+           f"pathlib.Path({str(ready)!r}).touch(); time.sleep(3); pathlib.Path({str(root / '_turn')!r}).unlink()"
+    other = subprocess.Popen([sys.executable, "-c", code])
+    while not ready.exists():
+        time.sleep(0.05)
+    with pytest.raises(TimeoutError, match="other"):
+        with tables.turn(spark, str(root), "me", 0, wait_seconds=0):
+            pass
+    with tables.turn(spark, str(root), "me", 0, wait_seconds=60):
+        assert other.wait(10) == 0
+
+
+def test_the_turn_of_a_dead_writer_can_be_cleared(spark, tmp_path):
+    root = str(tmp_path / "state")
+    (tmp_path / "state").mkdir()
+    (tmp_path / "state" / "_turn").write_bytes(b"\x00\x04dead")
+    assert tables.clear_turn(spark, root) and not tables.clear_turn(spark, root)
+    with tables.turn(spark, root, "me", 0, wait_seconds=0):
+        pass
