@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolesift.llm.columns import numbered, place_of
 from rolesift.llm.fm_index import FMIndex
 from rolesift.llm.words import ALNUM, word_slices
 
@@ -177,20 +178,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     A null or empty text has no words and no spans. An item with a null id hits but is not
     named; repeated rows count once per document and give each document row its own result.
-    Without items nothing is found. A column of `docs` named `found` is replaced by the result.
+    Without items nothing is found. A column of `docs` named `found`, in any case, is replaced by
+    the result; all others stay, whatever their names.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c != "found"]
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() != "found"]
     # Own names inside the tasks: those of `docs` may repeat or clash
-    out = docs.select(
-        *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)),
-        F.col(text_col).cast("binary").alias("_text"),
+    out = numbered(docs).select(
+        *(f"_{i}" for i in kept),
+        F.col(f"_{place_of(docs, text_col)}").cast("binary").alias("_text"),
         F.lit(None).cast(FOUND_TYPE).alias("_found"),
     )
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         block = spark.sparkContext.broadcast(PhraseBlock(items, window))
         out = out.mapInArrow(lambda batches, block=block: _search(batches, block.value, shard_words), out.schema)
-    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)), F.col("_found").alias("found"))
+    return out.select(*(f"_{i}" for i in kept), "_found").toDF(*(docs.columns[i] for i in kept), "found")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.llm.columns import crc_remainder
+from rolesift.llm.columns import crc_remainder, numbered, place_of
 from rolesift.llm.words import ALNUM, word_slices
 from rolesift.operators.joins import many_to_one
 from rolesift.session import stage
@@ -314,15 +314,15 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col
     """`docs` with `score_col`, 0 to 1, higher for text that is likelier toxic.
 
     Whole texts are read and nothing is shuffled. A null or empty text gets the score of no
-    features. A column of `docs` named `score_col` is replaced by the result.
+    features. A column of `docs` named `score_col`, in any case, is replaced by the result; all
+    others stay, whatever their names.
     """
-    names = [c for c in docs.columns if c != score_col]
-    out = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)),
-                      F.col(text_col).cast("binary").alias("_text"))
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() != score_col.lower()]
+    out = numbered(docs).select(*(f"_{i}" for i in kept), F.col(f"_{place_of(docs, text_col)}").cast("binary").alias("_text"))
     schema = out.drop("_text").schema.add("_score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most Training.features weights
     scored = out.mapInArrow(lambda batches: _score(batches, shared.value), schema)
-    return scored.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)), F.col("_score").alias(score_col))
+    return scored.select(*(f"_{i}" for i in kept), "_score").toDF(*(docs.columns[i] for i in kept), score_col)
 
 
 def not_held_out(key, folds: int = 5):

@@ -56,3 +56,29 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_runs_from_documents(spark):
     assert corpus_pipeline.run(spark, SF).columns[0] == "doc_id"
+
+
+ODD_NAMES = ["doc_id", "text", "found", "FOUND", "_toxicity", "score", "_digest", "digest", "_keep", "keep", "_many", "_row", "row",
+             "away", "repeated", "a.b", "TEXT", "_0", "_text"]
+
+
+@pytest.mark.parametrize("name, step", corpus_pipeline.STAGES[:-1])
+def test_stages_leave_all_columns_alone(spark, name, step):
+    body = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text, *(f"{n} {r.doc_id}" for n in ODD_NAMES[2:])) for r in body]
+    docs = spark.createDataFrame(rows, ODD_NAMES)
+    out = step(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert 0 < len(got) == len(set(got)) and set(got) <= set(rows)
+    assert step(spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("step", [corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies])
+def test_one_row_of_each_group_stays(spark, step):
+    same, other = "one two three four five six", "entirely different words in this text here"
+    rows = [(3, same, "a"), (1, same, "b"), (1, same, "c"), (None, other, "d"), (None, other, "e"), (7, None, "f"), (7, "", "g"), (2, same, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    got = step(spark, docs, SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in got) == [(False, 1), (False, 7), (True, None)]
+    assert all(tuple(r) in rows for r in got)
