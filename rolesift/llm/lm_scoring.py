@@ -20,11 +20,12 @@ from rolesift.llm.words import SPACED, word_slices
 from rolesift.operators.joins import many_to_one
 from rolesift.session import stage
 
-_COUNT_TOKENS = 1 << 20
+_COUNT_TOKENS = 1 << 21
 _SCORE_TOKENS = 1 << 18
 _CACHE_WORDS = 1 << 18
 _END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
-_MAX_LEVEL = 120
+_COUNT_BITS = 62  # of the largest count
+_LEVELS = 255  # a level is kept in one byte
 
 
 @dataclass(frozen=True)
@@ -32,16 +33,27 @@ class Settings:
     """Of the model: n-gram order, least count of n-grams of two words and more, base of the
     count levels, filter bits per entry, bytes of the part of the filter that is broadcast at
     once, weight of the shorter history. A word is frequent if it is over 1/`frequent` of all
-    tokens, so there are fewer than `frequent` such words."""
+    tokens, so there are fewer than `frequent` such words. `range_bytes` of text on average
+    fill a range of keys, which one task sums up and puts into its own part of the filter."""
 
     order: int = 3
     min_count: int = 1
     base: float = 1.5
-    bits_per_entry: int = 10
+    bits_per_entry: int = 12
     broadcast_bytes: int = 96 << 20
     page_blocks: int = 1 << 13
-    weight: float = 2000.0
+    weight: float = 20.0
     frequent: int = 1_000_000
+    range_bytes: int = 16 << 20
+
+    def __post_init__(self):
+        if self.levels > _LEVELS:
+            raise ValueError(f"base {self.base} needs {self.levels} levels for the largest count, over {_LEVELS}")
+
+    @property
+    def levels(self) -> int:
+        """As many as the largest count may need."""
+        return levels_needed(self.base)
 
 
 class _Hashes(dict):
@@ -101,17 +113,50 @@ def _chunks(texts, hashes: _Hashes, order: int, limit: int) -> Iterator[_Chunk]:
         yield chunk()
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """N-gram counts of each chunk."""
-    hashes = _Hashes()
-    for batch in batches:
-        for chunk in _chunks(batch.column("text"), hashes, order, _COUNT_TOKENS):
-            for k in range(1, order + 1):
-                found, n = np.unique(chunk.keys(k)[chunk.own & (chunk.off >= k - 1)], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), k, dtype=np.int8)), pa.array(found.view(np.int64)), pa.array(n)],
-                    names=["order", "key", "n"],
-                )
+def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The key range of each key: equal parts of all 64-bit values, in their order."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts, byte by byte of all of them, which the shuffle compresses well."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T) for x in (steps, counts)]
+    return b"".join(p.tobytes() for p in planes)
+
+
+def _unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(run, dtype=np.uint8).reshape(2, 8, -1)
+    steps, counts = (np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes)
+    return np.cumsum(steps, dtype=np.uint64), counts
+
+
+def _count(batches: Iterator[pa.RecordBatch], order: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Summed n-gram counts of each chunk, one row per order and key range."""
+    texts = (text for batch in batches for text in batch.column("text"))
+    for chunk in _chunks(texts, _Hashes(), order, _COUNT_TOKENS):
+        for k in range(1, order + 1):
+            found, n = np.unique(chunk.keys(k)[chunk.own & (chunk.off >= k - 1)], return_counts=True)
+            place = _ranges(found, ranges).astype(np.int64)
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            runs = [_pack(found[a:z], n[a:z]) for a, z in zip(starts, np.append(starts[1:], len(found)))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place[starts]), pa.array(np.full(len(starts), k, dtype=np.int8)), pa.array(runs, pa.binary())],
+                names=["range", "order", "run"],
+            )
+
+
+def _merge(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all runs, sorted, with their summed counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*map(_unpack, runs))) if runs else (np.zeros(0, dtype=np.uint64),) * 2
+    by_key = np.argsort(keys, kind="stable")
+    keys, counts = keys[by_key], counts[by_key]
+    starts = np.flatnonzero(np.append(np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def levels_needed(base: float) -> int:
+    return math.ceil(_COUNT_BITS * math.log(2) / math.log(base)) + 1 if base > 1 else _LEVELS + 1
 
 
 def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
@@ -121,101 +166,174 @@ def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
 
 def level_counts(base: float) -> np.ndarray:
     """The count a level stands for: the middle of the counts it is given to; 0 for level 0."""
-    edges = np.ceil(np.array([base**k for k in range(_MAX_LEVEL + 1)]) - 1e-9)
+    edges = np.ceil(np.array([base**k for k in range(levels_needed(base) + 1)]) - 1e-9)
     return np.concatenate([[0], (edges[:-1] + np.maximum(edges[1:] - 1, edges[:-1])) / 2])
 
 
 @dataclass(frozen=True)
 class Model:
-    """Counts on shared files, their sums, and the layout of the filter they are put in."""
+    """The filter and the counts of single words on shared files, and what places a key in the filter.
+
+    The filter is a row of blocks; each key range has its own blocks in it, as many as its
+    entries need. `ends` has the place behind the last block of each range.
+    """
 
-    ngrams: DataFrame
+    pages: DataFrame
+    words: DataFrame
+    runs: DataFrame
     tokens: int
     distinct: int
-    blocks: int
+    ends: np.ndarray
     settings: Settings
 
+    @property
+    def ngrams(self) -> DataFrame:
+        """(order, key, n) of all n-grams in the filter, to look at; counted from the texts again."""
+        return self.runs.mapInArrow(partial(_ngrams, min_count=self.settings.min_count), "order byte, key long, n long")
+
+    @property
+    def blocks(self) -> int:
+        return int(self.ends[-1])
+
     @property
     def slice_blocks(self) -> int:
-        whole = math.ceil(self.blocks / math.ceil(self.blocks * bloom.BLOCK_BITS / 8 / self.settings.broadcast_bytes))
-        return math.ceil(whole / self.settings.page_blocks) * self.settings.page_blocks
+        return max(1, self.settings.broadcast_bytes * 8 // bloom.BLOCK_BITS)
 
     @property
     def slices(self) -> int:
-        return math.ceil(self.blocks / self.slice_blocks)
+        return max(1, math.ceil(self.blocks / self.slice_blocks))
+
+
+def block_of(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The place of each key's block in the whole filter; that behind the last for a range without any."""
+    place = _ranges(keys, len(ends)).astype(np.int64)
+    first = np.append(0, ends[:-1])[place]
+    blocks = (ends[place] - first).astype(np.uint64)
+    at = first + bloom.block_of(bloom.mix(keys), blocks).astype(np.int64)
+    return np.where(blocks > 0, at, ends[-1])
+
+
+def _fill(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Per key range the exact counts of its single words, and its blocks of the filter in rows of `page_blocks`."""
+
+    def out(place: int, single: list[bytes], longer: list[bytes]) -> Iterator[pa.RecordBatch]:
+        words, n = _merge(single)
+        keys, counts = _merge(longer)
+        often = counts >= s.min_count
+        keys, levels = np.append(words, keys[often]), levels_of(np.append(n, counts[often]), s.base)
+        blocks = math.ceil(int(levels.sum()) * s.bits_per_entry / bloom.BLOCK_BITS)
+        filled = np.zeros(blocks * bloom.BLOCK_BITS // 64, dtype=np.uint64)
+        at = bloom.block_of(bloom.mix(keys), blocks)
+        for q in range(1, int(levels.max(initial=0)) + 1):
+            still = levels >= q
+            keys, levels, at = keys[still], levels[still], at[still]
+            bloom.add(filled, at, keys, q)
+        size = s.page_blocks * bloom.BLOCK_BITS // 64
+        parts = [filled[k : k + size].tobytes() for k in range(0, len(filled), size)]
+        yield row(place, -1, None, blocks, words, n)
+        for k, part in enumerate(parts):
+            yield row(place, k * s.page_blocks, part, 0, words[:0], n[:0])
+
+    def row(place, part, filled, blocks, words, n) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        values = (place, part, filled, blocks, words.view(np.int64), n.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)],
+                                          names=["range", "part", "filled", "blocks", "keys", "counts"])
+
+    for place, runs in _by_range(batches):
+        yield from out(place, runs.pop(1, []), [run for rest in runs.values() for run in rest])
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+    """The runs of one key range after the other, by order; the rows are sorted by range."""
+    now, runs = None, {}
+    for batch in batches:
+        for place, order, run in zip(*(batch.column(c).to_pylist() for c in ("range", "order", "run"))):
+            if now is not None and place != now:
+                yield now, runs
+                runs = {}
+            now = place
+            runs.setdefault(order, []).append(run)
+    if now is not None:
+        yield now, runs
+
+
+def _ngrams(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    for _, runs in _by_range(batches):
+        for order, packed in runs.items():
+            keys, n = _merge(packed)
+            keep = n >= (min_count if order > 1 else 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(keep.sum(), order, dtype=np.int8)), pa.array(keys[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))],
+                names=["order", "key", "n"],
+            )
 
 
 def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
-    """Count all n-grams of column `text` (binary); chunk counts are summed by one shuffle."""
-    counts = texts.select("text").mapInArrow(partial(_count, order=settings.order), "order byte, key long, n long")
-    summed = counts.groupBy("order", "key").agg(F.sum("n").alias("n"))
-    ngrams = stage(summed.filter((F.col("order") == 1) | (F.col("n") >= settings.min_count)), "lm-ngrams")
-    levels = F.floor(F.log("n") / math.log(settings.base)) + 1
-    single = F.col("order") == 1
-    sums = ngrams.agg(
-        F.sum(F.when(single, F.col("n"))).alias("tokens"), F.count(F.when(single, 1)).alias("distinct"),
-        F.sum(levels).alias("entries"),
-    ).first()
-    blocks = max(1, math.ceil((sums.entries or 0) * settings.bits_per_entry / bloom.BLOCK_BITS))
-    return Model(ngrams, sums.tokens or 0, sums.distinct, blocks, settings)
-
-
-def _pages(batches: Iterator[pa.RecordBatch], blocks: int, page_blocks: int, base: float) -> Iterator[pa.RecordBatch]:
-    """The filter's pages whose keys this task has."""
-    pages: dict[int, np.ndarray] = {}
-    for batch in batches:
-        keys = batch.column("key").to_numpy().view(np.uint64)
-        level = levels_of(batch.column("n").to_numpy(), base)
-        page = batch.column("page").to_numpy()
-        for p in np.unique(page):
-            words = pages.setdefault(int(p), np.zeros(page_blocks * bloom.BLOCK_BITS // 64, dtype=np.uint64))
-            mine = page == p
-            k, top = keys[mine], level[mine]
-            at = bloom.block_of(k, blocks) - np.uint64(p * page_blocks)
-            for q in range(1, int(top.max()) + 1):
-                still = top >= q
-                k, top, at = k[still], top[still], at[still]
-                bloom.add(words, at, k, q)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(pages), pa.int64()), pa.array([w.tobytes() for w in pages.values()], pa.binary())],
-        names=["page", "words"],
+    """Count all n-grams of column `text` (binary) and put them into the filter, in one shuffle.
+
+    Tasks sum the n-grams of chunks and send them packed, one row per chunk and key range. The
+    task that gets a range sums it up, knows from that how many blocks it needs, and fills
+    them. N-grams are never rows of a table. The sizes of the ranges, one number for each
+    `range_bytes` of text, go through the driver.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, math.ceil(size / settings.range_bytes))
+    runs = texts.select("text").mapInArrow(
+        partial(_count, order=settings.order, ranges=ranges), "range long, order byte, run binary"
+    )
+    runs = runs.repartition(ranges, "range").sortWithinPartitions("range")
+    schema = "range long, part long, filled binary, blocks long, keys array<long>, counts array<long>"
+    parts = stage(runs.mapInArrow(partial(_fill, s=settings), schema), "lm-filter")
+    heads = parts.filter(F.col("part") < 0)
+    words = heads.select(F.explode(F.arrays_zip("keys", "counts")).alias("w")).select(
+        F.col("w.keys").alias("key"), F.col("w.counts").alias("n")
     )
+    sums = heads.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)).alias("tokens"),
+                     F.sum(F.size("keys")).alias("distinct")).first()
+    blocks = np.zeros(ranges, dtype=np.int64)
+    known = heads.select("range", "blocks").toArrow()
+    blocks[known.column("range").to_numpy()] = known.column("blocks").to_numpy()
+    pages = parts.filter(F.col("part") >= 0).select("range", "part", "filled")
+    return Model(pages, words, runs, sums.tokens or 0, sums.distinct or 0, np.cumsum(blocks), settings)
 
 
 def _filter_slice(model: Model, number: int) -> np.ndarray:
-    """One part of the filter, at most `broadcast_bytes`; each page is made by one task."""
-    s = model.settings
-    block = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * model.blocks, 32)
-    first, last = number * model.slice_blocks, (number + 1) * model.slice_blocks
-    rows = model.ngrams.select("key", "n", block.alias("block")).filter(
-        (F.col("block") >= first) & (F.col("block") < last)
-    )
-    paged = rows.select("key", "n", F.floor(F.col("block") / s.page_blocks).alias("page")).repartition("page")
-    make = partial(_pages, blocks=model.blocks, page_blocks=s.page_blocks, base=s.base)
-    words = np.zeros(model.slice_blocks * bloom.BLOCK_BITS // 64, dtype=np.uint64)
-    size = s.page_blocks * bloom.BLOCK_BITS // 64
-    for row in paged.mapInArrow(make, "page long, words binary").toLocalIterator():
-        at = (row.page - first // s.page_blocks) * size
-        words[at : at + size] |= np.frombuffer(row.words, dtype=np.uint64)
+    """One part of the filter, at most `broadcast_bytes`."""
+    first = number * model.slice_blocks
+    last = min(first + model.slice_blocks, model.blocks)
+    size = bloom.BLOCK_BITS // 64
+    starts = np.append(0, model.ends[:-1])
+    ranges = np.flatnonzero((model.ends > first) & (starts < last))
+    words = np.zeros(max(0, last - first) * size, dtype=np.uint64)
+    if not len(ranges):
+        return words
+    rows = model.pages.filter(F.col("range").between(int(ranges[0]), int(ranges[-1])))
+    for row in rows.toLocalIterator():
+        filled = np.frombuffer(row.filled, dtype=np.uint64)
+        at = (int(starts[row.range]) + row.part - first) * size
+        a, z = max(0, at), min(len(words), at + len(filled))
+        if a < z:
+            words[a:z] = filled[a - at : z - at]
     return words
 
 
 def _frequent_words(model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of frequent words, by key; fewer than `Settings.frequent`."""
-    rows = model.ngrams.filter((F.col("order") == 1) & (F.col("n") * model.settings.frequent > model.tokens))
+    rows = model.words.filter(F.col("n") * model.settings.frequent > model.tokens)
     table = rows.select("key", "n").toArrow()
     keys, counts = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
 
 
-def _levels(keys: np.ndarray, words: np.ndarray, first: int, last: int, blocks: int) -> np.ndarray:
+def _levels(keys: np.ndarray, words: np.ndarray, first: int, ends: np.ndarray, most: int) -> np.ndarray:
     """Levels of keys whose blocks are in this part, by probes of one level after the other."""
-    block = bloom.block_of(keys, blocks)
     level = np.zeros(len(keys), dtype=np.uint8)
-    left = np.flatnonzero((block >= first) & (block < last))
-    at = block - np.uint64(first)
-    for q in range(1, _MAX_LEVEL + 1):
+    at = block_of(keys, ends) - first
+    left = np.flatnonzero((at >= 0) & (at < len(words) * 64 // bloom.BLOCK_BITS))
+    at = at.astype(np.uint64)
+    for q in range(1, most + 1):
         left = left[bloom.has(words, at[left], keys[left], q)]
         if not len(left):
             break
@@ -225,9 +343,9 @@ def _levels(keys: np.ndarray, words: np.ndarray, first: int, last: int, blocks:
 
 def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) -> Iterator[pa.RecordBatch]:
     """Adds this part's levels to `_levels`; the last part turns them into sums."""
-    s, words, frequent, tokens, distinct, blocks, slice_blocks, slices = shared.value
+    s, words, frequent, tokens, distinct, ends, slice_blocks, slices = shared.value
     middle, hashes, last_part = level_counts(s.base), _Hashes(), number == slices - 1
-    first, last = number * slice_blocks, (number + 1) * slice_blocks
+    first = number * slice_blocks
     for batch in batches:
         known_levels = batch.column("_levels").to_pylist()
         reached = [0] * batch.num_rows
@@ -238,7 +356,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) ->
             level = []
             for k in range(1, s.order + 1):
                 keys, back = np.unique(chunk.keys(k), return_inverse=True)
-                level.append(_levels(keys, words, first, last, blocks)[back])
+                level.append(_levels(keys, words, first, ends, s.levels)[back])
                 if k == 1:
                     single, single_back = keys, back
             level = np.array(level)
@@ -314,7 +432,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     frequent = _frequent_words(model)
     kind = rows.schema["_id"].dataType.simpleString()
     for number in range(model.slices):
-        parts = (s, _filter_slice(model, number), frequent, model.tokens, model.distinct, model.blocks,
+        parts = (s, _filter_slice(model, number), frequent, model.tokens, model.distinct, model.ends,
                  model.slice_blocks, model.slices)
         shared = spark.sparkContext.broadcast(parts)
         schema = (
@@ -329,7 +447,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     asked = rows.select("_row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select(
         "_row", F.col("w.keys").alias("key"), F.col("w.times").alias("times")
     )
-    words = model.ngrams.filter((F.col("order") == 1) & (F.col("n") * s.frequent <= model.tokens)).select("key", "n")
+    words = model.words.filter(F.col("n") * s.frequent <= model.tokens)
     found = many_to_one(asked, words, ["key"])
     more = found.groupBy("_row").agg(
         F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_base")

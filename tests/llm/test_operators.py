@@ -596,3 +596,49 @@ def test_url_verdicts(spark):
         got = url_filter.judge_urls(df, table, default="allow").collect()
         assert Counter(map(tuple, got)) == Counter((i, *brute_verdict(u, rules)) for i, u, *_ in pages)
     assert url_filter.judge_urls(df.limit(0), url_filter.rule_table(spark, RULES)).collect() == []
+
+
+@pytest.mark.parametrize("options", [{}, {"range_bytes": 200, "page_blocks": 2, "broadcast_bytes": 640}, {"order": 1}, {"order": 2, "min_count": 2}])
+def test_lm_score_is_that_of_exact_quantised_counts(spark, options):
+    s = lm_scoring.Settings(bits_per_entry=96, **options)
+    rows = [(k, " ".join(f"w{k * j % 19}" for j in range(k % 40))) for k in range(90)] + [(None, "w1 w2 new"), (91, None)]
+    learned = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    grams = Counter()
+    for t in learned:
+        tokens = [None, *(t or "").split(), None]
+        for k in range(1, s.order + 1):
+            grams.update(tuple(tokens[i - k + 1 : i + 1]) for i in range(max(1, k - 1), len(tokens)))
+    level = lambda g: 1 + math.floor(math.log(grams[g]) / math.log(s.base) + 1e-9)
+    middle = lm_scoring.level_counts(s.base)
+    kept = {g: middle[level(g)] for g, n in grams.items() if len(g) == 1 or n >= s.min_count}
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def score(text):
+        tokens, total = [None, *(text or "").split(), None], 0.0
+        for i in range(1, len(tokens)):
+            p = (min(kept.get((tokens[i],), 0), n) + 1) / (n + v + 1)
+            for k in range(2, min(s.order, i + 1) + 1):
+                before = kept.get(tuple(tokens[i - k + 1 : i]), 0)
+                p = (min(kept.get(tuple(tokens[i - k + 1 : i + 1]), 0), before) + s.weight * p) / (before + s.weight)
+            total += math.log10(p)
+        return total
+
+    got = lm_scoring.lm_digest(docs_of(spark, rows), s).collect()
+    assert sorted(round(r.score, 6) for r in got) == sorted(round(score(t), 6) for _, t in rows)
+
+
+def test_lm_runs_keep_keys_and_counts():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    half = keys[::2], rng.integers(1, 1 << 40, len(keys[::2]))
+    merged = lm_scoring._merge([lm_scoring._pack(keys, np.ones(len(keys), dtype=np.int64)), lm_scoring._pack(*half)])
+    want = dict.fromkeys(keys.tolist(), 1)
+    for k, c in zip(half[0].tolist(), half[1].tolist()):
+        want[k] += c
+    assert dict(zip(merged[0].tolist(), merged[1].tolist())) == want
+
+
+def test_lm_refuses_a_base_with_too_many_levels():
+    with pytest.raises(ValueError, match="levels"):
+        lm_scoring.Settings(base=1.05)
+    assert len(lm_scoring.level_counts(1.5)) > lm_scoring.levels_of(np.array([1 << 62]), 1.5)[0]
