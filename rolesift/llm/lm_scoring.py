@@ -20,7 +20,7 @@ from rolesift.llm.words import SPACED, word_slices
 from rolesift.operators.joins import many_to_one
 from rolesift.session import stage
 
-_COUNT_TOKENS = 1 << 21
+_COUNT_TOKENS = 1 << 19
 _SCORE_TOKENS = 1 << 18
 _CACHE_WORDS = 1 << 18
 _END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
@@ -34,7 +34,10 @@ class Settings:
     count levels, filter bits per entry, bytes of the part of the filter that is broadcast at
     once, weight of the shorter history. A word is frequent if it is over 1/`frequent` of all
     tokens, so there are fewer than `frequent` such words. `range_bytes` of text on average
-    fill a range of keys, which one task sums up and puts into its own part of the filter."""
+    fill a range of keys, which one task sums up and puts into its own part of the filter.
+    N-grams of several words have keys of `key_bits` bits: two of them share one with a chance
+    far below that of a false hit of the filter. Single words have 64 bits, as their counts
+    are exact."""
 
     order: int = 3
     min_count: int = 1
@@ -44,7 +47,8 @@ class Settings:
     page_blocks: int = 1 << 13
     weight: float = 20.0
     frequent: int = 1_000_000
-    range_bytes: int = 16 << 20
+    range_bytes: int = 8 << 20
+    key_bits: int = 48
 
     def __post_init__(self):
         if self.levels > _LEVELS:
@@ -78,12 +82,12 @@ class _Chunk:
     own: np.ndarray
     doc: np.ndarray
 
-    def keys(self, order: int) -> np.ndarray:
+    def keys(self, order: int, bits: int) -> np.ndarray:
         """A key for the n-gram that ends at each place; use only where `off >= order - 1`."""
         keys = self.tokens
         for k in range(1, order):
             keys = bloom.mix(np.roll(self.tokens, k) * np.uint64(3) + keys + np.uint64(k))
-        return keys
+        return keys if order == 1 else keys & np.uint64((1 << 64) - (1 << (64 - bits)))
 
 
 def _chunks(texts, hashes: _Hashes, order: int, limit: int) -> Iterator[_Chunk]:
@@ -131,12 +135,12 @@ def _unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), counts
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int, ranges: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], order: int, bits: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """Summed n-gram counts of each chunk, one row per order and key range."""
     texts = (text for batch in batches for text in batch.column("text"))
     for chunk in _chunks(texts, _Hashes(), order, _COUNT_TOKENS):
         for k in range(1, order + 1):
-            found, n = np.unique(chunk.keys(k)[chunk.own & (chunk.off >= k - 1)], return_counts=True)
+            found, n = np.unique(chunk.keys(k, bits)[chunk.own & (chunk.off >= k - 1)], return_counts=True)
             place = _ranges(found, ranges).astype(np.int64)
             starts = np.flatnonzero(np.diff(place, prepend=-1))
             runs = [_pack(found[a:z], n[a:z]) for a, z in zip(starts, np.append(starts[1:], len(found)))]
@@ -280,7 +284,7 @@ def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, math.ceil(size / settings.range_bytes))
     runs = texts.select("text").mapInArrow(
-        partial(_count, order=settings.order, ranges=ranges), "range long, order byte, run binary"
+        partial(_count, order=settings.order, bits=settings.key_bits, ranges=ranges), "range long, order byte, run binary"
     )
     runs = runs.repartition(ranges, "range").sortWithinPartitions("range")
     schema = "range long, part long, filled binary, blocks long, keys array<long>, counts array<long>"
@@ -355,10 +359,12 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) ->
         for chunk in _chunks(batch.column("text"), hashes, s.order, _SCORE_TOKENS):
             level = []
             for k in range(1, s.order + 1):
-                keys, back = np.unique(chunk.keys(k), return_inverse=True)
-                level.append(_levels(keys, words, first, ends, s.levels)[back])
-                if k == 1:
-                    single, single_back = keys, back
+                keys = chunk.keys(k, s.key_bits)
+                if k == 1:  # words repeat a lot, longer n-grams hardly
+                    single, single_back = np.unique(keys, return_inverse=True)
+                    level.append(_levels(single, words, first, ends, s.levels)[single_back])
+                else:
+                    level.append(_levels(keys, words, first, ends, s.levels))
             level = np.array(level)
             level[:, :][np.arange(1, s.order + 1)[:, None] > chunk.off + 1] = 0
             if slices > 1:
