@@ -47,7 +47,7 @@ class Settings:
     page_blocks: int = 1 << 13
     weight: float = 20.0
     frequent: int = 1_000_000
-    range_bytes: int = 8 << 20
+    range_bytes: int = 4 << 20
     key_bits: int = 48
 
     def __post_init__(self):
@@ -123,15 +123,20 @@ def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys and their counts, byte by byte of all of them, which the shuffle compresses well."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T) for x in (steps, counts)]
-    return b"".join(p.tobytes() for p in planes)
+    """Sorted keys and their counts: the steps between keys and the counts byte by byte, without bytes that are all 0."""
+    rows = np.stack([np.diff(keys, prepend=np.uint64(0)), counts.astype(np.uint64)])
+    planes = rows.astype("<u8").view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1).reshape(16, -1)
+    used = planes.any(axis=1)
+    return np.packbits(used).tobytes() + planes[used].tobytes()
 
 
 def _unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(run, dtype=np.uint8).reshape(2, 8, -1)
-    steps, counts = (np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes)
+    used = np.unpackbits(np.frombuffer(run, dtype=np.uint8, count=2)).astype(bool)
+    planes = np.frombuffer(run, dtype=np.uint8, offset=2).reshape(used.sum(), -1)
+    rows = np.zeros((2, planes.shape[1], 8), dtype=np.uint8)
+    for at, plane in zip(np.flatnonzero(used), planes):
+        rows[at // 8, :, at % 8] = plane
+    steps, counts = rows.view("<u8")[:, :, 0]
     return np.cumsum(steps, dtype=np.uint64), counts
 
 
