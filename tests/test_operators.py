@@ -299,3 +299,14 @@ def test_first_match_per_pattern(spark):
     found = scoring.match_patterns(F.col("t"), [p for p, _ in rules.PATTERNS])
     row = texts(spark, "7+ YEARS or 12 years, senior").select(found.alias("m")).collect()[0]
     assert row.m == ["7+ YEARS", "12 years", "senior"]
+
+
+def test_unstage_drops_the_table_only(spark):
+    from rolesift.session import stage, unstage
+
+    one, two = stage(spark.range(5), "one"), stage(spark.range(3), "two")
+    folder = one.inputFiles()[0].rsplit("/", 1)[0]
+    unstage(one)
+    assert two.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder).count()
