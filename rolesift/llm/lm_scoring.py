@@ -18,10 +18,11 @@ from rolesift.llm import bloom
 from rolesift.llm.columns import crc_remainder
 from rolesift.llm.words import SPACED, word_slices
 from rolesift.operators.joins import many_to_one
-from rolesift.session import stage
+from rolesift.session import stage, unstage
 
 _COUNT_TOKENS = 1 << 19
 _SCORE_TOKENS = 1 << 18
+_SCORE_ROWS = 1 << 10
 _CACHE_WORDS = 1 << 18
 _END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 _COUNT_BITS = 62  # of the largest count
@@ -42,8 +43,8 @@ class Settings:
     order: int = 3
     min_count: int = 1
     base: float = 1.5
-    bits_per_entry: int = 12
-    broadcast_bytes: int = 96 << 20
+    bits_per_entry: int = 10
+    broadcast_bytes: int = 128 << 20
     page_blocks: int = 1 << 13
     weight: float = 20.0
     frequent: int = 1_000_000
@@ -355,7 +356,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) ->
     s, words, frequent, tokens, distinct, ends, slice_blocks, slices = shared.value
     middle, hashes, last_part = level_counts(s.base), _Hashes(), number == slices - 1
     first = number * slice_blocks
-    for batch in batches:
+    # Some rows at a time, as what a row is known by so far is kept until its last chunk
+    for batch in (b.slice(k, _SCORE_ROWS) for b in batches for k in range(0, b.num_rows, _SCORE_ROWS)):
         known_levels = batch.column("_levels").to_pylist()
         reached = [0] * batch.num_rows
         given: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
@@ -432,7 +434,8 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     pass, of others by a join.
 
     The filter is broadcast in parts of at most `broadcast_bytes`. Each part is one pass over
-    the texts that adds its levels to what is known; all but the last pass write the texts.
+    the texts that adds its levels to what is known; all but the last pass write the texts, and
+    what a pass has written is dropped after the next.
     Null and empty texts are one end token. Repeated rows and null ids get a row each.
     """
     spark, s = docs.sparkSession, model.settings
@@ -453,8 +456,10 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             else f"_id {kind}, _row long, text binary, _levels binary"
         )
         step = partial(_score, shared=shared, number=number)
-        rows = stage(rows.select("_id", "_row", "text", "_levels").mapInArrow(step, schema), "lm-pass")
+        before, rows = rows, stage(rows.select("_id", "_row", "text", "_levels").mapInArrow(step, schema), "lm-pass")
         shared.unpersist()
+        if number:
+            unstage(before)
     asked = rows.select("_row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select(
         "_row", F.col("w.keys").alias("key"), F.col("w.times").alias("times")
     )
