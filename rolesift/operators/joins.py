@@ -89,6 +89,13 @@ def jobs_with_company(jobs: DataFrame, companies: DataFrame) -> DataFrame:
     return many_to_one(jobs, names, ["company_id"])
 
 
+def job_by_id(jobs: DataFrame, companies: DataFrame, job_id: int) -> DataFrame:
+    """The job of that id with its company's name; a job of an unknown company has none."""
+    one = jobs.filter(F.col("id") == job_id)
+    names = companies.select(F.col("id").alias("company_id"), F.col("company_name").alias("company"))
+    return many_to_one(one, names, ["company_id"], "left").select(*jobs.columns, "company")
+
+
 def decided_with_analysis(jobs: DataFrame, analysis: DataFrame) -> DataFrame:
     """Decision and match lists of every decided job that was analysed."""
     decided = jobs.filter(F.col("user_decision").isNotNull())

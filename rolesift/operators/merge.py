@@ -117,6 +117,19 @@ def apply_decisions(jobs: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumn("user_decision", decision).select(*jobs.columns)
 
 
+def decisions_matched(jobs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(job_id, matched) per row of `decisions`: whether `apply_decisions` meets a job.
+
+    Job ids are cut to those decided before anything is shuffled. A null id matches nothing.
+    """
+    wanted = decisions.select(F.col("job_id").alias("id")).distinct()
+    met = stage(many_to_one(jobs.select("id"), wanted, ["id"], "left_semi").distinct(), "matched")
+    marked = many_to_one(
+        decisions.select("job_id"), met.select(F.col("id").alias("job_id"), F.lit(True).alias("matched")), ["job_id"], "left"
+    )
+    return marked.select("job_id", F.coalesce("matched", F.lit(False)).alias("matched"))
+
+
 def delete_where(
     parent: DataFrame,
     predicate: Column,

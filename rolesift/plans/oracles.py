@@ -430,6 +430,13 @@ ORACLES: dict[str, str] = {
     "update_by_id": """
         WITH e AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS decision FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
         SELECT o_orderkey AS id, coalesce(decision, nullif(o_orderstatus, 'P')) AS user_decision FROM orders LEFT JOIN e ON user_id = o_orderkey""",
+    "update_matched": """
+        SELECT user_id AS job_id, user_id IN (SELECT o_orderkey FROM orders) AS matched
+        FROM (SELECT DISTINCT user_id FROM events WHERE event_type IN ('purchase', 'error'))""",
+    "job_by_id": """
+        SELECT s_suppkey AS id, s_nationkey AS company_id, n_name AS company, 'Senior ' || s_name AS title, 'Site ' || s_nationkey AS location,
+               CASE WHEN s_acctbal > 0 THEN 'https://j.example.com/' || s_suppkey ELSE '' END AS application_link
+        FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = 7""",
     "delete_cascade": """
         SELECT 'parent' AS "table", count(*) AS deleted FROM orders WHERE o_orderpriority LIKE '1-%'
         UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1-%')""",

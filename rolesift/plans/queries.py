@@ -13,7 +13,7 @@ from rolesift import rules as fixed
 from rolesift import schemas
 from rolesift.functions import html, lists, messages, predicates, urls
 from rolesift.operators import decisions, learner, merge, metrics, numbering, ordered, pages, records, scoring
-from rolesift.operators.joins import decided_with_analysis, join_details, jobs_with_company
+from rolesift.operators.joins import decided_with_analysis, job_by_id as job_by_id_, join_details, jobs_with_company
 from rolesift.plans import fixtures as fx
 from rolesift.plans.fixtures import table
 from rolesift.plans.ingest import ingest_boards, ingest_pages, job_rejects, union_sources
@@ -494,8 +494,7 @@ def upsert(spark, d):
     return merge.upsert(stats(c("l_returnflag") == "A"), returned, ["l_partkey"], ["lines", "quantity"])
 
 
-@query
-def update_by_id(spark, d):
+def _order_decisions(spark, d) -> tuple[DataFrame, DataFrame]:
     jobs = table(spark, d, "orders").select(
         c("o_orderkey").alias("id"), F.nullif(c("o_orderstatus"), F.lit("P")).alias("user_decision")
     )
@@ -503,7 +502,24 @@ def update_by_id(spark, d):
     new = ordered.first_per_key(events, ["user_id"], ["ts", "event_id"]).select(
         c("user_id").alias("job_id"), c("event_type").alias("decision")
     )
-    return merge.apply_decisions(jobs, new)
+    return jobs, new
+
+
+@query
+def update_by_id(spark, d):
+    return merge.apply_decisions(*_order_decisions(spark, d))
+
+
+@query
+def update_matched(spark, d):
+    """Which of the decisions meet a job."""
+    return merge.decisions_matched(*_order_decisions(spark, d))
+
+
+@query
+def job_by_id(spark, d):
+    jobs, companies = fx.supplier_jobs(table(spark, d, "supplier")), fx.nation_companies(table(spark, d, "nation"))
+    return job_by_id_(jobs, companies, 7).select("id", "company_id", "company", "title", "location", "application_link")
 
 
 def _deleted(spark, d):

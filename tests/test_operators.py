@@ -310,3 +310,22 @@ def test_unstage_drops_the_table_only(spark):
     assert two.count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(folder).count()
+
+
+def test_updates_say_which_of_them_match(spark):
+    jobs = spark.createDataFrame([(1, None), (2, "applied"), (None, None)], "id long, user_decision string")
+    new = spark.createDataFrame([(2, "rejected"), (5, "applied"), (None, "applied")], "job_id long, decision string")
+    got = {r.job_id: r.matched for r in merge.decisions_matched(jobs, new).collect()}
+    assert got == {2: True, 5: False, None: False}
+    assert merge.decisions_matched(jobs, new.limit(0)).count() == 0 and merge.decisions_matched(jobs.limit(0), new).filter("matched").count() == 0
+
+
+def test_job_by_id(spark):
+    from rolesift.operators.joins import job_by_id
+
+    jobs = spark.createDataFrame([(1, 10, "a"), (2, 99, "b"), (3, None, "c")], "id long, company_id int, title string")
+    companies = spark.createDataFrame([(10, "Ace")], "id int, company_name string")
+    rows = {n: [tuple(r) for r in job_by_id(jobs, companies, n).collect()] for n in (1, 2, 3, 4)}
+    assert rows == {1: [(1, 10, "a", "Ace")], 2: [(2, 99, "b", None)], 3: [(3, None, "c", None)], 4: []}
+    plan = job_by_id(jobs, companies, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan
