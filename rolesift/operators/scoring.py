@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.operators.joins import many_to_one
+from rolesift.operators.joins import BROADCAST_BYTES, many_to_one, measured_bytes
 from rolesift.rules import RuleSet, keyword_table
+from rolesift.session import stage
 
 _WORD = r"[\p{L}\p{N}_]"
 _NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -180,3 +181,97 @@ def match_keyword_table(
     return many_to_one(exploded, keywords.select("keyword").distinct(), ["keyword"]).select(
         id_col, "keyword"
     )
+
+
+def _cut(text: Column) -> Column:
+    """`words` of a text and `pieces`, each word with what follows it up to the next one."""
+    return F.struct(
+        F.regexp_extract_all(text, F.lit(f"({_WORD}+)"), 1).alias("words"),
+        F.regexp_extract_all(text, F.lit(f"({_WORD}+{_NOT_WORD}*)"), 1).alias("pieces"),
+    )
+
+
+def _gap(at: Column) -> Column:
+    """What stands between word `at` and the next one."""
+    return F.substring(F.get("pieces", at), F.length(F.get("words", at)) + 1, F.lit(2**31 - 1))
+
+
+def _anchors(places: DataFrame, keywords: DataFrame) -> DataFrame:
+    """word -> shapes: for each word that is some keyword's rarest, where keywords continue around it.
+
+    A shape says how many of the keyword's words stand before the anchor (`before`) and in all
+    (`n_words`), and whether marks open or close it. There are fewer shapes of a word than
+    squares of the longest keyword's words, however many keywords share it.
+    """
+    cut = keywords.select("keyword", F.inline(F.array(_cut(F.col("keyword")))))
+    each = stage(cut.select("keyword", F.posexplode("words").alias("before", "word"), F.size("words").alias("n_words")), "keyword-words")
+    seen = many_to_one(places, each.select("word").distinct(), ["word"])
+    counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # A keyword with a word that no text holds is found nowhere
+    common = each.join(stage(counts, "word-counts"), "word", "left")
+    rarest = common.groupBy("keyword", "n_words").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "before", "word")).alias("a")
+    ).filter("a.n > 0")
+    shape = F.struct(
+        F.col("a.before").alias("before"), "n_words",
+        F.col("keyword").rlike(f"^{_NOT_WORD}").alias("opened"),
+        F.col("keyword").rlike(f"{_NOT_WORD}\\z").alias("closed"),
+    )
+    return rarest.groupBy(F.col("a.word").alias("word")).agg(F.collect_set(shape).alias("shapes"))
+
+
+def match_keyword_phrases(df: DataFrame, id_col: str, text_col: str, keywords: DataFrame) -> DataFrame:
+    """Distinct (id, keyword) for a `keyword` table of any size and keywords of any length.
+
+    The same as a whole-word search by `word_pattern`, also for keywords that begin or end
+    with marks, such as `c++` or `.net`: there the boundary asks for a word beyond the marks.
+    Every word of a keyword is a whole word of the text, so each keyword is looked for only
+    around its word that is rarest in the texts: these anchors are joined to the texts'
+    words, the run of words and marks that each shape of the anchor asks for is cut out around the
+    place, and runs are joined to the keywords by equality. A keyword without any word is
+    all that stands between two words.
+
+    Texts are not shuffled, only runs around anchors. Null texts hold nothing; null
+    and empty keywords are found nowhere; repeated keywords and rows of one id count once.
+    """
+    known = stage(keywords.select("keyword").filter("keyword <> ''").distinct(), "keywords")
+    texts = df.select(F.col(id_col).alias("id"), F.inline(F.array(_cut(F.coalesce(F.col(text_col), F.lit(""))))))
+    # Outer, as a plain explode adds a size filter that would cut every text twice
+    places = texts.select(F.explode_outer("words").alias("word"))
+    anchors = stage(_anchors(places, known), "anchors")
+    reach = anchors.select(F.max(F.array_max("shapes.n_words"))).first()[0] or 1
+    with_word = known.filter(F.col("keyword").rlike(_WORD))
+
+    def around(rows: DataFrame) -> DataFrame:
+        first = F.greatest(F.col("at") - reach, F.lit(0))
+        near = [F.slice(name, first + 1, F.lit(2 * reach + 1)).alias(name) for name in ("words", "pieces")]
+        kept = [name for name in rows.columns if name not in ("at", "words", "pieces")]
+        return rows.select(*kept, (F.col("at") - first).alias("at"), (F.size("words") - first).alias("left"), *near)
+
+    placed = texts.select("id", "words", "pieces", F.posexplode_outer("words").alias("at", "word"))
+    if measured_bytes(anchors) <= BROADCAST_BYTES:
+        # One compiled stage: only around an anchor is anything cut out of a text
+        placed = around(placed.join(F.broadcast(anchors), "word"))
+    else:
+        placed = many_to_one(around(placed), anchors, ["word"])
+    hits = placed.select("id", "at", "left", "words", "pieces", F.inline("shapes"))
+    start, n = F.col("at") - F.col("before"), F.col("n_words")
+    end = start + n - 1
+    whole = (start >= F.when(F.col("opened"), 1).otherwise(0)) & (
+        end < F.col("left") - F.when(F.col("closed"), 1).otherwise(0)
+    )
+    run = F.concat(
+        F.when(F.col("opened"), _gap(start - 1)).otherwise(""),
+        F.array_join(F.slice("pieces", start + 1, n - 1), ""),
+        F.when(F.col("closed"), F.get("pieces", end)).otherwise(F.get("words", end)),
+    )
+    runs = hits.filter(whole).select("id", run.alias("keyword"))
+    found = many_to_one(runs, with_word, ["keyword"])
+
+    bare = known.filter(~F.col("keyword").rlike(_WORD))
+    if not bare.isEmpty():
+        inner = F.transform(F.slice("pieces", F.lit(1), F.greatest(F.size("pieces") - 1, F.lit(0))),
+                            lambda p: F.regexp_extract(p, f"(?s)^{_WORD}+(.*)", 1))
+        gaps = texts.select("id", F.explode_outer(F.array_distinct(inner)).alias("keyword"))
+        found = found.unionByName(many_to_one(gaps, bare, ["keyword"]))
+    return found.select(F.col("id").alias(id_col), "keyword").distinct()

@@ -303,3 +303,7 @@ def _turn_job() -> Column:
 
 def _turn_title() -> Column:
     return F.concat_ws(" ", F.lit("Engineer"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
+# Cut out of a text: runs of 1 to 6 words, runs that marks open or close, and marks alone
+PHRASES = tuple(p.replace("W", r"[\p{L}\p{N}_]") for p in (r"(W+(?: W+){0,5})", r"([,.] W+(?: W+){0,3})", r"(W+(?: W+){0,2}[,.] )", r"([,.] )"))

@@ -118,6 +118,10 @@ _SHIPPED_ROWS = _scored(_SHIPPED_TEXT, "plain", _SHIPPED, "doc_id")
 
 # ---- Learner ----
 
+def _marked(text: str) -> str:
+    return f"regexp_replace({text}, '({_W}+)', chr(1) || '\\1' || chr(2), 'g')"
+
+
 _DECIDED = f"""
 WITH decided AS (
   SELECT doc_id, CASE WHEN toxic = 1 THEN 'applied' ELSE 'rejected' END AS user_decision,
@@ -329,6 +333,16 @@ ORACLES: dict[str, str] = {
             FROM (SELECT *, [{_list(fx.SHIPPED.title_include)}] AS need, [{_list(fx.SHIPPED.title_exclude)}] AS never FROM part))
         WHERE NOT {_any("title", fx.SHIPPED.title_exclude)} AND {_any("title", fx.SHIPPED.title_include)}""",
     "keyword_matches_long": f"SELECT doc_id, unnest(positive_matches || negative_matches) AS keyword FROM ({_DOCS})",
+    "keyword_matches_phrases": rf"""
+        WITH keywords AS (
+          SELECT DISTINCT unnest({" || ".join(f"regexp_extract_all(lower(text), {_q(p)}, 1)" for p in fx.PHRASES)}) AS keyword
+          FROM benchmark),
+        -- Every word between marks of its own, so that a plain search finds whole words only
+        marked AS (
+          SELECT keyword, CASE WHEN regexp_matches(keyword, '^{_N}') THEN chr(2) ELSE '' END || {_marked("keyword")}
+            || CASE WHEN regexp_matches(keyword, '{_N}$') THEN chr(1) ELSE '' END AS m FROM keywords),
+        texts AS (SELECT doc_id, {_marked("plain")} AS t FROM {_PLAIN})
+        SELECT keyword, count(*) AS docs, sum(doc_id) AS doc_sum FROM texts JOIN marked ON contains(t, m) GROUP BY keyword""",
     "keyword_matches_table": rf"""
         WITH kw AS (SELECT DISTINCT k FROM (SELECT unnest(regexp_extract_all(lower(text), '{_W}+')) AS k FROM benchmark) WHERE length(k) >= 6),
         words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_W}+')) AS k FROM documents)

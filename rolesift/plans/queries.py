@@ -99,6 +99,15 @@ def keyword_matches_table(spark, d):
     return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("docs"), F.sum("doc_id").alias("doc_sum"))
 
 
+@query
+def keyword_matches_phrases(spark, d):
+    """Phrases of the benchmark items, of 1 to 6 words and with marks at their ends."""
+    phrases = F.concat(*[F.regexp_extract_all(F.lower("text"), F.lit(p), 1) for p in fx.PHRASES])
+    keywords = table(spark, d, "benchmark").select(F.explode(phrases).alias("keyword"))
+    found = scoring.match_keyword_phrases(_plain_documents(spark, d), "doc_id", "plain", keywords)
+    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("docs"), F.sum("doc_id").alias("doc_sum"))
+
+
 @query
 def pattern_first_match(spark, d):
     patterns = [p for p, _ in fx.DOC_RULES.patterns]

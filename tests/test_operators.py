@@ -329,3 +329,30 @@ def test_job_by_id(spark):
     assert rows == {1: [(1, 10, "a", "Ace")], 2: [(2, 99, "b", None)], 3: [(3, None, "c", None)], 4: []}
     plan = job_by_id(jobs, companies, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan
+
+
+def test_match_keyword_phrases(spark):
+    """Against `word_pattern` itself on every pair of text and keyword."""
+    texts = [
+        (1, "c++ and c++x, asp.net or .net; a b a b c"), (2, "net"), (3, ""), (4, None), (5, "a\n- b c++"),
+        (None, "c--d a b"), (7, "a b c d e f g h"), (7, "b c d"), (8, "été d'été, x"), (9, "-- a -- b --"), (10, "a " * 300 + "b"),
+    ]
+    words = [
+        "c++", ".net", "net", "a b", "b a b", "a b c d e f g h", "a\n- b", "--", " -- ", "été", "d'été", "c", "++x", "", None,
+        "a b", "x y", "nowhere", ", ", "asp.net or .net", "a a a a a a a b", "net;", ".", "e f ",
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    got = scoring.match_keyword_phrases(df, "doc_id", "text", table).collect()
+    pairs = df.select("doc_id", scoring.match_keywords(F.coalesce("text", F.lit("")), sorted({w for w in words if w})).alias("k"))
+    want = {(r.doc_id, k) for r in pairs.collect() for k in r.k}
+    assert len(got) == len(want) and {(r.doc_id, r.keyword) for r in got} == want
+    assert scoring.match_keyword_phrases(df, "doc_id", "text", table.limit(0)).collect() == []
+    assert scoring.match_keyword_phrases(df.limit(0), "doc_id", "text", table).collect() == []
+
+
+def test_match_keyword_phrases_shuffles_no_text(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    found = scoring.match_keyword_phrases(df, "doc_id", "text", spark.createDataFrame([("b c",)], "keyword string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in plan
