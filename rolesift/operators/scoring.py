@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.operators.joins import BROADCAST_BYTES, many_to_one, measured_bytes
+from rolesift.operators.joins import many_to_one
 from rolesift.rules import RuleSet, keyword_table
 from rolesift.session import stage
 
@@ -242,18 +242,22 @@ def match_keyword_phrases(df: DataFrame, id_col: str, text_col: str, keywords: D
     reach = anchors.select(F.max(F.array_max("shapes.n_words"))).first()[0] or 1
     with_word = known.filter(F.col("keyword").rlike(_WORD))
 
-    def around(rows: DataFrame) -> DataFrame:
-        first = F.greatest(F.col("at") - reach, F.lit(0))
-        near = [F.slice(name, first + 1, F.lit(2 * reach + 1)).alias(name) for name in ("words", "pieces")]
-        kept = [name for name in rows.columns if name not in ("at", "words", "pieces")]
-        return rows.select(*kept, (F.col("at") - first).alias("at"), (F.size("words") - first).alias("left"), *near)
-
-    placed = texts.select("id", "words", "pieces", F.posexplode_outer("words").alias("at", "word"))
-    if measured_bytes(anchors) <= BROADCAST_BYTES:
-        # One compiled stage: only around an anchor is anything cut out of a text
-        placed = around(placed.join(F.broadcast(anchors), "word"))
-    else:
-        placed = many_to_one(around(placed), anchors, ["word"])
+    # Texts in blocks of some words, with the words around them, so that no row of a word
+    # carries a whole text
+    block = 4 * reach + 16
+
+    def part(first: Column) -> Column:
+        low = F.greatest(first - reach, F.lit(0))
+        near = [F.slice(name, low + 1, first - low + block + reach).alias(name) for name in ("words", "pieces")]
+        return F.struct(
+            *near, F.slice("words", first + 1, F.lit(block)).alias("own"), (first - low).alias("skip"),
+            (F.size("words") - low).alias("left"),
+        )
+
+    firsts = F.sequence(F.lit(0), F.size("words"), F.lit(block))
+    blocks = texts.select("id", F.inline(F.transform(firsts, part)))
+    placed = blocks.select("id", "words", "pieces", "skip", "left", F.posexplode_outer("own").alias("at", "word"))
+    placed = many_to_one(placed, anchors, ["word"]).withColumn("at", F.col("at") + F.col("skip"))
     hits = placed.select("id", "at", "left", "words", "pieces", F.inline("shapes"))
     start, n = F.col("at") - F.col("before"), F.col("n_words")
     end = start + n - 1
