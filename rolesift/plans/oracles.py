@@ -364,6 +364,9 @@ ORACLES: dict[str, str] = {
         FROM (VALUES {_RULE_ROWS}) k(ordinal, polarity, keyword, weight) LEFT JOIN learned ON learned.keyword = k.keyword),
         found AS (SELECT doc_id, unnest(positive_matches || negative_matches) AS keyword FROM ({_scored(_PLAIN, "plain", fx.LEARN_RULES, "doc_id")}))
         SELECT doc_id, round(greatest(0.0, least(100.0, sum(worth))), 4) AS score FROM found JOIN m USING (keyword) GROUP BY 1 HAVING sum(worth) > 0""",
+    "recalibrate_incremental": _DECIDED
+    + """SELECT keyword, round(multiplier::FLOAT::DOUBLE, 4) AS multiplier, accept_count, reject_count, sample_count,
+               round(round(lift, 4)::FLOAT::DOUBLE, 4) AS lift FROM learned""",
     "recalibrate": _DECIDED
     + """, old AS (SELECT keyword || CASE WHEN accept_count > 10 THEN '' ELSE '-old' END AS keyword FROM counts)
         SELECT coalesce(l.keyword, old.keyword) AS keyword, coalesce(round(multiplier::FLOAT::DOUBLE, 4), 9.0) AS multiplier,

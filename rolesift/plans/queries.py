@@ -17,6 +17,7 @@ from rolesift.operators.joins import decided_with_analysis, job_by_id as job_by_
 from rolesift.plans import fixtures as fx
 from rolesift.plans.fixtures import table
 from rolesift.plans.ingest import ingest_boards, ingest_pages, job_rejects, union_sources
+from rolesift.plans.recalibrate import run_recalibration
 from rolesift.session import fresh_path, stage
 from rolesift.sources import landed, registry, tables
 from rolesift.streaming.decisions import decision_stream
@@ -204,6 +205,26 @@ def recalibrate(spark, d):
     )
 
 
+@query
+def recalibrate_incremental(spark, d):
+    """Decisions in three batches with a recalibration after each one."""
+    root = fresh_path(spark, "learning")
+    decided = _decided_documents(spark, d)
+    analysis = decided.withColumn("job_id", c("doc_id")).withColumn("id", c("doc_id"))
+    lists = [c(n).cast(t).alias(n) if n in analysis.columns else F.lit(None).cast(t).alias(n)
+             for n, t in ((f.name, f.dataType) for f in schemas.JOB_ANALYSIS.fields)]
+    tables.append_batch(analysis.select(*lists), root, "job_analysis", "feed", 0)
+    for batch in range(3):
+        some = decided.filter(F.pmod(F.hash("doc_id"), F.lit(3)) == batch)
+        tables.append_batch(some.select(c("doc_id").alias("job_id"), c("user_decision").alias("decision")), root, "decisions", "events", batch)
+        run_recalibration(spark, root, batch + 1, F.to_timestamp(F.lit(fx.DECIDED_ON)))
+    return tables.read_overrides(spark, root).select(
+        "keyword", F.round(c("multiplier").cast("double"), 4).alias("multiplier"),
+        *[c(n).cast("bigint").alias(n) for n in ("accept_count", "reject_count", "sample_count")],
+        F.round(c("lift").cast("double"), 4).alias("lift"),
+    )
+
+
 @query
 def overrides_scan(spark, d):
     """The learned multipliers, written as two versions and read back: the newest counts."""
@@ -735,15 +756,16 @@ def run_csv(spark, d):
 
 
 def _customer_csv(spark, d) -> str:
-    """Customers as a company CSV: two segments have links, one of each source."""
+    """Customers as a company CSV of several files: two segments have links, one of each source."""
     path = fresh_path(spark, "companies")
     link = F.concat(F.lit(" https://x.example.com/"), c("c_custkey").cast("string"), F.lit(" "))
     column = dict(fixed.LINK_COLUMNS)
-    table(spark, d, "customer").select(
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    customers = table(spark, d, "customer").repartitionByRange(files, "c_custkey").sortWithinPartitions("c_custkey")
+    customers.select(
         F.concat(F.lit(" Company "), (c("c_custkey") / 2).cast("bigint").cast("string"), F.lit(" ")).alias(fixed.NAME_COLUMN),
         F.when(c("c_mktsegment") == "BUILDING", link).alias(column[fixed.SOURCE_A]),
         F.when(c("c_mktsegment") == "MACHINERY", link).alias(column[fixed.SOURCE_B]),
-        c("c_custkey").alias("line"),
     ).write.csv(
         path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
@@ -758,7 +780,7 @@ def registry_csv(spark, d):
 @query
 def registry_build(spark, d):
     rows = registry.scan_csv(spark, _customer_csv(spark, d))
-    built = registry.build_registry(rows, c("line").cast("bigint"))
+    built = registry.build_registry(rows)
     return built.select("id", "company_name", "ats", "ats_link")
 
 

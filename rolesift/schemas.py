@@ -56,6 +56,9 @@ APPLICATION_STATUS = _struct(
     next_important_date=_TEXT,
     next_important_task=_TEXT,
 )
+KEYWORD_PARTS = _struct(
+    of_writer=_TEXT, of_batch=_LONG, keyword=_TEXT, accept_count=_LONG, reject_count=_LONG, sample_count=_LONG
+)
 OVERRIDES = _struct(
     keyword=_TEXT,
     multiplier=_FLOAT,

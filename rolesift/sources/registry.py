@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,22 @@ def read_registry(spark: SparkSession, path: str, link_col: str) -> DataFrame:
     return rows.filter((F.col("name") != "") & (F.col("url") != ""))
 
 
+def _line_order(csv: DataFrame) -> Column:
+    """A key that sorts the rows of files by path, place of the block, and line."""
+    line = F.monotonically_increasing_id()  # a block is read in order, by one task
+    try:
+        csv.select("_metadata.file_path", "_metadata.file_block_start")
+    except AnalysisException:
+        return line
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", line.alias("line"))
+
+
 def build_registry(csv: DataFrame, order: Column | None = None) -> DataFrame:
     """company_info rows: the source is the one whose link column is filled.
 
-    The first row of a name in `order` wins, and ids follow it. By default that is
-    the order of lines, which is sure for one file only.
+    The first row of a name in `order` wins, and ids follow it. By default that is the order
+    of lines, for a CSV of several files that of their paths and then of lines; for rows that
+    are not straight from files it is the order in which Spark holds them.
     """
     ats, link = F.lit(""), F.lit("")
     for source, column in reversed(rules.LINK_COLUMNS):
@@ -40,7 +52,7 @@ def build_registry(csv: DataFrame, order: Column | None = None) -> DataFrame:
         ats = F.when(filled, F.lit(source)).otherwise(ats)
         link = F.when(filled, _text(column)).otherwise(link)
     rows = csv.select(
-        (F.monotonically_increasing_id() if order is None else order).alias("_line"),
+        (_line_order(csv) if order is None else order).alias("_line"),
         _text(rules.NAME_COLUMN).alias("company_name"),
         F.lit("").alias("base_country"),
         F.lit("").alias("target_location"),

@@ -132,6 +132,11 @@ def read_table(
     return rows.select(*schema.names)
 
 
+def read_batches(spark: SparkSession, root: str, table: str, schema: StructType) -> DataFrame:
+    """The table with the `writer` and `batch_id` of each row."""
+    return _read(spark, f"{root}/{table}", schema, schemas.BATCH)
+
+
 def read_batch(
     spark: SparkSession, root: str, table: str, schema: StructType, writer: str, batch_id: int
 ) -> DataFrame:
@@ -152,9 +157,16 @@ def is_written(spark: SparkSession, root: str, table: str, writer: str, batch_id
     return files.exists(path)
 
 
-def read_overrides(spark: SparkSession, root: str) -> DataFrame:
-    """The newest overrides; empty if there are none yet."""
+def override_versions(spark: SparkSession, root: str) -> DataFrame:
+    """The versions of the overrides that hold any."""
+    return _read(spark, f"{root}/overrides", schemas.OVERRIDES, schemas.VERSION).select("version").distinct()
+
+
+def read_overrides(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The newest overrides, or the newest before a version; empty if there are none yet."""
     rows = _read(spark, f"{root}/overrides", schemas.OVERRIDES, schemas.VERSION)
+    if before is not None:
+        rows = rows.filter(F.col("version") < before)
     newest = rows.agg(F.max("version")).scalar()
     return rows.filter(F.col("version") == newest).drop("version")
 

@@ -566,3 +566,42 @@ def test_the_turn_of_a_dead_writer_can_be_cleared(spark, tmp_path):
     assert tables.clear_turn(spark, root) and not tables.clear_turn(spark, root)
     with tables.turn(spark, root, "me", 0, wait_seconds=0):
         pass
+
+
+def test_recalibration_decodes_new_decisions_only(spark, tmp_path):
+    root = str(tmp_path / "state")
+
+    def analysed(batch, keyword):
+        rows = [(i, i, 30, f'["{keyword}"]', "[]", "[]", None) for i in range(12)]
+        tables.append_batch(spark.createDataFrame(rows, schemas.JOB_ANALYSIS), root, "job_analysis", "seed", batch)
+
+    def decided(batch, ids):
+        rows = [(i, "applied" if i % 3 == 0 else "rejected") for i in ids]
+        tables.append_batch(spark.createDataFrame(rows, schemas.DECISIONS), root, "decisions", "seed", batch)
+
+    def counts(version):
+        run_recalibration(spark, root, version, F.current_timestamp())
+        return {r.keyword: (r.accept_count, r.sample_count) for r in tables.read_overrides(spark, root).collect()}
+
+    analysed(0, "old")
+    decided(0, range(6))
+    assert counts(1) == {}  # too few decisions: nothing learned, counted again by the next version
+    decided(1, range(6, 10))
+    assert counts(2) == {"old": (4, 10)}
+    analysed(0, "new")  # what is counted is not read again
+    decided(2, [10, 11])
+    assert counts(3) == {"old": (4, 10)} and counts(3) == {"old": (4, 10)}
+    decided(3, [12])  # never analysed
+    assert counts(4) == {"old": (4, 10)}
+    parts = tables.read_batches(spark, root, "keyword_parts", schemas.KEYWORD_PARTS).filter("batch_id = 3").collect()
+    assert {(r.of_batch, r.keyword, r.sample_count) for r in parts} == {(2, None, 2), (2, "new", 2)}
+
+
+def test_registry_order_over_many_files(spark, tmp_path):
+    for k in range(12):
+        lines = "".join(f"Co {(k * 50 + i) // 3},,https://b.example.com/{k * 50 + i},,,,\n" for i in range(50))
+        (tmp_path / f"part-{k:02}.csv").write_text("Company Name,Workday Carrer Page,Greenhouse Carrer Page,,,,\n" + lines)
+    built = registry.build_registry(registry.scan_csv(spark, str(tmp_path))).orderBy("id").collect()
+    assert [(r.id, r.company_name, r.ats_link) for r in built] == [
+        (k + 1, f"Co {k}", f"https://b.example.com/{3 * k}") for k in range(200)
+    ]
