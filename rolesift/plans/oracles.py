@@ -471,6 +471,8 @@ ORACLES: dict[str, str] = {
     + f"""SELECT row_number() OVER (ORDER BY job_id) AS id, j.company_id, job_id, '2024-02-01' AS applied_on, 'applied' AS status
         FROM verdicts v JOIN ({_JOBS}) j ON j.id = v.job_id WHERE verdict = 'applied'""",
     "decision_stream_verdicts": _verdict_sql(_HELD) + "SELECT * FROM verdicts",
+    "decision_replay": _verdict_sql(_HELD)
+    + "SELECT event_id, job_id, verdict, count(*) FILTER (WHERE verdict <> 'ignored') OVER (PARTITION BY event_id) AS answers FROM verdicts",
     "decision_answers": _verdict_sql(_HELD)
     + f"""SELECT event_id, 'answer' AS kind, CASE verdict {" ".join(f"WHEN '{v}' THEN {_q(t)}" for v, t in ANSWERS.items())} END AS text
         FROM verdicts WHERE verdict <> 'ignored'""",
@@ -531,6 +533,8 @@ ORACLES: dict[str, str] = {
     "ingest_stream_jobs": _BOARD_JOBS,
     "ingest_pages_stream_jobs": _PAGE_RUN
     + "SELECT ats_job_id, md5(title) AS title_md5, location, round(score)::INT AS relevance_score FROM fresh",
+    "ingest_replay": _PAGE_RUN
+    + "SELECT ats_job_id, md5(title) AS title_md5, location, round(score)::INT AS relevance_score FROM fresh",
     "ingest_pages_rejects": _PAGE_RUN.replace("FROM conversations),", "FROM conversations WHERE conv_id % 7 <> 3),", 1).replace("page_no < 20", "page_no < 3")
     + f"""SELECT company_id, stage, reason, count(*) AS rows FROM (
         SELECT conv_id::INT AS company_id, 'page' AS stage, 'unknown company' AS reason FROM conversations WHERE conv_id % 7 = 3

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -661,8 +662,18 @@ def _land_in_order(df: DataFrame, order: Column, path: str, parts: int) -> int:
     return files
 
 
-@query
-def decision_stream_verdicts(spark, d):
+def _again_after(root: str, name: str, start: Callable) -> None:
+    """Run a stream that is lost in its second batch before a table is written, and restart it."""
+    with tables.interrupted_before(root, name, 1):
+        try:
+            start().awaitTermination()
+        except StreamingQueryException as e:
+            if "Interrupted" not in str(e):
+                raise
+    start().awaitTermination()
+
+
+def _decision_run(spark, d, lost_before: str | None = None) -> str:
     """The stream over events landed in three files, a batch each; some jobs are decided before."""
     root, events = fresh_path(spark, "state"), fresh_path(spark, "events")
     rows = table(spark, d, "events")
@@ -676,14 +687,38 @@ def decision_stream_verdicts(spark, d):
     before = jobs.filter("company_id < 3").select(c("id").alias("job_id"), F.lit("applied").alias("decision"))
     tables.append_batch(before, root, "decisions", "seed", 0)
     companies = fx.nation_companies(table(spark, d, "nation"))
-    run = decision_stream(
-        spark, events, companies, root, fresh_path(spark, "offsets"), as_of=fx.DECIDED_ON, max_files=files
-    )
-    run.awaitTermination()
+    offsets = fresh_path(spark, "offsets")
+
+    def start():
+        return decision_stream(spark, events, companies, root, offsets, as_of=fx.DECIDED_ON, max_files=files)
+
+    if lost_before:
+        _again_after(root, lost_before, start)
+    else:
+        start().awaitTermination()
+    return root
+
+
+def _stored_verdicts(spark, root) -> DataFrame:
     rows = tables.read_table(spark, root, "verdicts", schemas.VERDICTS)
     return rows.select(c("callback_id").cast("bigint").alias("event_id"), "job_id", "verdict")
 
 
+@query
+def decision_stream_verdicts(spark, d):
+    return _stored_verdicts(spark, _decision_run(spark, d))
+
+
+@query
+def decision_replay(spark, d):
+    """The stream lost after its outbox is written and before its decisions are: each answered once."""
+    root = _decision_run(spark, d, lost_before="decisions")
+    outbox = tables.read_table(spark, root, "outbox", schemas.OUTBOX).filter("kind = 'answer'")
+    answers = outbox.groupBy(c("keyboard").cast("bigint").alias("event_id")).agg(F.count(F.lit(1)).alias("answers"))
+    rows = _stored_verdicts(spark, root).join(answers, "event_id", "left")
+    return rows.select("event_id", "job_id", "verdict", F.coalesce("answers", F.lit(0)).alias("answers"))
+
+
 # ---- Messages ----
 
 
@@ -901,8 +936,7 @@ def ingest_pages_rejects(spark, d):
     return run.rejects.groupBy("company_id", "stage", "reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query
-def ingest_pages_stream_jobs(spark, d):
+def _pages_run(spark, d, lost_before: str | None = None) -> DataFrame:
     """The paged run as a stream: each series comes in three batches, some pages twice.
 
     A third of the series have no page that ends them; they are closed at the end.
@@ -921,16 +955,34 @@ def ingest_pages_stream_jobs(spark, d):
     files = _land_in_order(whole, c("_batch"), lists_path, 3)
     fx.page_details(talks).write.json(details_path)
     tables.append_batch(_held_jobs(spark, d), root, "job_info", "seed", 0)
-    run = ingest_stream(
-        spark, lists_path, details_path, fx.page_companies(talks), root, fresh_path(spark, "offsets"),
-        fixed.SOURCE_A, fx.PAGE_RULES, as_of=fx.BOARD_AS_OF, hold_batches=3, max_files=files, close_at_end=True,
-    )
-    run.awaitTermination()
+    offsets = fresh_path(spark, "offsets")
+
+    def start():
+        return ingest_stream(
+            spark, lists_path, details_path, fx.page_companies(talks), root, offsets, fixed.SOURCE_A, fx.PAGE_RULES,
+            as_of=fx.BOARD_AS_OF, hold_batches=3, max_files=files, close_at_end=True,
+        )
+
+    if lost_before:
+        _again_after(root, lost_before, start)
+    else:
+        start().awaitTermination()
     jobs = tables.read_table(spark, root, "job_info", schemas.JOB_INFO).filter("title is not null")
     scores = tables.read_table(spark, root, "job_analysis", schemas.JOB_ANALYSIS).select(c("job_id").alias("id"), "relevance_score")
     return jobs.join(scores, "id").select("ats_job_id", F.md5("title").alias("title_md5"), "location", "relevance_score")
 
 
+@query
+def ingest_pages_stream_jobs(spark, d):
+    return _pages_run(spark, d)
+
+
+@query
+def ingest_replay(spark, d):
+    """The paged stream lost after its messages and scores are written and before its jobs are."""
+    return _pages_run(spark, d, lost_before="job_info")
+
+
 @query
 def ingest_both_stream_jobs(spark, d):
     """Both sources as one stream of three batches; boards list postings that pages list too."""

@@ -103,7 +103,32 @@ def batch_time(spark: SparkSession, root: str, writer: str, batch_id: int) -> da
     return now.first().started_at
 
 
+_drills: set[tuple[str, str, int]] = set()
+
+
+class Interrupted(RuntimeError):
+    """A write that a drill has stopped."""
+
+
+@contextmanager
+def interrupted_before(root: str, table: str, batch_id: int) -> Iterator[None]:
+    """A drill: the first write of that batch to that table fails, as if the run was lost there.
+
+    What the batch has written before stays. The run dies; started again from its
+    checkpoint it repeats the batch.
+    """
+    drill = (root, table, batch_id)
+    _drills.add(drill)
+    try:
+        yield
+    finally:
+        _drills.discard(drill)
+
+
 def append_batch(df: DataFrame, root: str, table: str, writer: str, batch_id: int) -> None:
+    if (root, table, batch_id) in _drills:
+        _drills.discard((root, table, batch_id))
+        raise Interrupted(f"{table} of {writer}/{batch_id}")
     df.write.mode("overwrite").parquet(f"{root}/{table}/writer={writer}/batch_id={batch_id}")
 
 
