@@ -3,28 +3,28 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.llm import bloom
 from rolesift.llm.columns import crc_remainder
-from rolesift.llm.words import SPACED, word_slices
+from rolesift.llm.word_hashes import BLOCK, SPACE, hash_words
+from rolesift.llm.words import SPACED, byte_slices
 from rolesift.operators.joins import many_to_one
 from rolesift.session import stage, unstage
 
 _COUNT_TOKENS = 1 << 19
 _SCORE_TOKENS = 1 << 18
 _SCORE_ROWS = 1 << 10
-_CACHE_WORDS = 1 << 18
-_END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 _COUNT_BITS = 62  # of the largest count
 _LEVELS = 255  # a level is kept in one byte
 
@@ -61,18 +61,7 @@ class Settings:
         return levels_needed(self.base)
 
 
-class _Hashes(dict):
-    """Hashes of words, kept for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-@dataclass
-class _Chunk:
+class _Chunk(NamedTuple):
     """Token hashes of consecutive pieces of documents, each after its history.
 
     `off`: a token's place in its piece; `own`: it is no history; `doc`: its document.
@@ -91,31 +80,55 @@ class _Chunk:
         return keys if order == 1 else keys & np.uint64((1 << 64) - (1 << (64 - bits)))
 
 
-def _chunks(texts, hashes: _Hashes, order: int, limit: int) -> Iterator[_Chunk]:
-    """A text begins after one end and ends with one; texts over a slice are several pieces."""
-    pieces: list[tuple[int, int, np.ndarray]] = []
-    size = 0
+def _whole(first: int, texts: list[bytes]) -> _Chunk:
+    """Texts number `first` and on, of a block in all: each after one end, and with one at its end."""
+    hashes, at = hash_words(b" ".join(texts).translate(SPACED))
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    words = np.diff(np.searchsorted(at, begins), append=len(at))
+    lengths = words + 2
+    off = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    tokens = np.full(len(off), SPACE)
+    tokens[(off > 0) & (off <= np.repeat(words, lengths))] = hashes
+    return _Chunk(tokens, off, off > 0, np.repeat(np.arange(first, first + len(texts)), lengths))
+
 
-    def chunk() -> _Chunk:
-        lengths = np.array([len(t) for _, _, t in pieces])
-        off = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        history = np.repeat([h for _, h, _ in pieces], lengths)
-        return _Chunk(np.concatenate([t for _, _, t in pieces]), off, off >= history,
-                      np.repeat([d for d, _, _ in pieces], lengths))
+def _sliced(doc: int, text: bytes, order: int) -> Iterator[_Chunk]:
+    """A text over a block: one piece for each slice, and its end."""
+    history = np.array([SPACE])
+    for part in chain(byte_slices(text, SPACED, BLOCK), [None]):
+        tokens = np.append(history, SPACE if part is None else hash_words(part)[0])
+        off = np.arange(len(tokens))
+        yield _Chunk(tokens, off, off >= len(history), np.full(len(tokens), doc))
+        history = tokens[-max(1, order - 1) :]
 
+
+def _pieces(texts: Iterable, order: int) -> Iterator[_Chunk]:
+    group, size = [], 0
     for doc, text in enumerate(texts):
-        history = np.array([_END], dtype=np.uint64)
-        for words in [*word_slices(text.as_py(), SPACED), None]:
-            new = [_END] if words is None else map(hashes.__getitem__, words)
-            tokens = np.fromiter(new, dtype=np.uint64, count=1 if words is None else len(words))
-            pieces.append((doc, len(history), np.concatenate([history, tokens])))
-            history = pieces[-1][2][-max(1, order - 1):]
-            size += len(tokens)
-            if size >= limit:
-                yield chunk()
-                pieces, size = [], 0
+        text = text.as_py() or b""
+        if group and size + len(text) >= BLOCK:
+            yield _whole(doc - len(group), group)
+            group, size = [], 0
+        if len(text) >= BLOCK:
+            yield from _sliced(doc, text, order)
+        else:
+            group.append(text)
+            size += len(text) + 1
+    if group:
+        yield _whole(doc + 1 - len(group), group)
+
+
+def _chunks(texts: Iterable, order: int, limit: int) -> Iterator[_Chunk]:
+    """Pieces of about `limit` tokens in all, in the order of the documents."""
+    pieces, size = [], 0
+    for piece in _pieces(texts, order):
+        pieces.append(piece)
+        size += len(piece.tokens)
+        if size >= limit:
+            yield _Chunk(*map(np.concatenate, zip(*pieces)))
+            pieces, size = [], 0
     if pieces:
-        yield chunk()
+        yield _Chunk(*map(np.concatenate, zip(*pieces)))
 
 
 def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -144,7 +157,7 @@ def _unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch], order: int, bits: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """Summed n-gram counts of each chunk, one row per order and key range."""
     texts = (text for batch in batches for text in batch.column("text"))
-    for chunk in _chunks(texts, _Hashes(), order, _COUNT_TOKENS):
+    for chunk in _chunks(texts, order, _COUNT_TOKENS):
         for k in range(1, order + 1):
             found, n = np.unique(chunk.keys(k, bits)[chunk.own & (chunk.off >= k - 1)], return_counts=True)
             place = _ranges(found, ranges).astype(np.int64)
@@ -354,37 +367,31 @@ def _levels(keys: np.ndarray, words: np.ndarray, first: int, ends: np.ndarray, m
 def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) -> Iterator[pa.RecordBatch]:
     """Adds this part's levels to `_levels`; the last part turns them into sums."""
     s, words, frequent, tokens, distinct, ends, slice_blocks, slices = shared.value
-    middle, hashes, last_part = level_counts(s.base), _Hashes(), number == slices - 1
-    first = number * slice_blocks
+    middle, last_part, first = level_counts(s.base), number == slices - 1, number * slice_blocks
     # Some rows at a time, as what a row is known by so far is kept until its last chunk
     for batch in (b.slice(k, _SCORE_ROWS) for b in batches for k in range(0, b.num_rows, _SCORE_ROWS)):
-        known_levels = batch.column("_levels").to_pylist()
-        reached = [0] * batch.num_rows
-        given: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
-        n_tokens, score, n_known, base = (np.zeros(batch.num_rows) for _ in range(4))
-        rare: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-        for chunk in _chunks(batch.column("text"), hashes, s.order, _SCORE_TOKENS):
-            level = []
-            for k in range(1, s.order + 1):
-                keys = chunk.keys(k, s.key_bits)
-                if k == 1:  # words repeat a lot, longer n-grams hardly
-                    single, single_back = np.unique(keys, return_inverse=True)
-                    level.append(_levels(single, words, first, ends, s.levels)[single_back])
-                else:
-                    level.append(_levels(keys, words, first, ends, s.levels))
-            level = np.array(level)
-            level[:, :][np.arange(1, s.order + 1)[:, None] > chunk.off + 1] = 0
-            if slices > 1:
-                starts = np.flatnonzero(np.concatenate([[True], chunk.doc[1:] != chunk.doc[:-1]]))
-                for d, part in zip(chunk.doc[starts], np.split(level, starts[1:], axis=1)):
-                    if known_levels[d] is not None:
-                        old = np.frombuffer(known_levels[d], dtype=np.uint8)[reached[d] : reached[d] + part.size]
-                        part |= old.reshape(part.shape)  # a key is in one part only
-                    reached[d] += part.size
-                    given[d].append(part.tobytes())
+        rows = batch.num_rows
+        # Levels lie token by token, row after row, so chunks need not be cut alike in all passes
+        old = np.frombuffer(b"".join(x or b"" for x in batch.column("_levels").to_pylist()), dtype=np.uint8)
+        given, sizes, reached = [], np.zeros(rows, dtype=np.int64), 0
+        n_tokens, score, n_known, base = (np.zeros(rows) for _ in range(4))
+        rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for chunk in _chunks(batch.column("text"), s.order, _SCORE_TOKENS):
+            # Words repeat a lot, longer n-grams hardly
+            single, single_back = np.unique(chunk.tokens, return_inverse=True)
+            level = np.zeros((len(chunk.tokens), s.order), dtype=np.uint8)
+            level[:, 0] = _levels(single, words, first, ends, s.levels)[single_back]
+            for k in range(2, s.order + 1):
+                at = np.flatnonzero(chunk.off >= k - 1)
+                level[at, k - 1] = _levels(chunk.keys(k, s.key_bits)[at], words, first, ends, s.levels)
+            if number:
+                level |= old[reached : reached + level.size].reshape(level.shape)  # a key is in one part only
+                reached += level.size
             if not last_part:
+                given.append(level.tobytes())
+                sizes += np.bincount(chunk.doc, minlength=rows) * s.order
                 continue
-            count = middle[level]
+            count = middle[level.T]
             # A level may stand for more than its count, but never for more than all tokens
             p = (np.minimum(count[0], tokens) + 1) / (tokens + distinct + 1)
             for k in range(2, s.order + 1):
@@ -392,34 +399,35 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) ->
                 longer = (np.minimum(count[k - 1], before) + s.weight * p) / (before + s.weight)
                 p = np.where(chunk.off >= k - 1, longer, p)
             own, doc = chunk.own, chunk.doc
-            n_tokens += np.bincount(doc[own], minlength=batch.num_rows)
-            score += np.bincount(doc[own], np.log10(p[own]), minlength=batch.num_rows)
+            n_tokens += np.bincount(doc[own], minlength=rows)
+            score += np.bincount(doc[own], np.log10(p[own]), minlength=rows)
             place = np.minimum(np.searchsorted(frequent[0], single), max(0, len(frequent[0]) - 1))
             hit = frequent[0][place] == single if len(frequent[0]) else np.zeros(len(single), dtype=bool)
             exact = np.zeros(len(single))
             exact[hit] = frequent[1][place[hit]]
             c = exact[single_back]
-            n_known += np.bincount(doc[own], c[own] > 0, minlength=batch.num_rows)
-            base += np.bincount(doc[own], np.log10(c[own] + 1), minlength=batch.num_rows)
+            n_known += np.bincount(doc[own], c[own] > 0, minlength=rows)
+            base += np.bincount(doc[own], np.log10(c[own] + 1), minlength=rows)
             # Other words that the filter may hold; what it does not hold has a count of 0
-            ask = own & (c == 0) & (level[0] > 0)
-            asked, times = np.unique(doc[ask].astype(np.int64) << 32 | single_back[ask], return_counts=True)
-            for d, at, n in zip((asked >> 32).tolist(), (asked & 0xFFFFFFFF).tolist(), times.tolist()):
-                rare[d].append((int(single[at].view(np.int64)), n))
+            ask = own & (c == 0) & (level[:, 0] > 0)
+            asked, times = np.unique(doc[ask] << 32 | single_back[ask], return_counts=True)
+            rare.append((asked >> 32, single[asked & 0xFFFFFFFF].view(np.int64), times))
         keep = [batch.column(c) for c in ("_id", "_row")]
         if last_part:
+            of, *asked = map(np.concatenate, zip(*rare))
+            starts = pa.array(np.searchsorted(of, np.arange(rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     *keep, pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)),
                     pa.array(base - n_tokens * math.log10(tokens + distinct + 1)), pa.array(score),
-                    pa.array([[k for k, _ in r] for r in rare], pa.list_(pa.int64())),
-                    pa.array([[n for _, n in r] for r in rare], pa.list_(pa.int64())),
+                    *(pa.ListArray.from_arrays(starts, pa.array(values, pa.int64())) for values in asked),
                 ],
                 names=["_id", "_row", "n_tokens", "n_known", "base_score", "score", "keys", "times"],
             )
         else:
+            levels, to = b"".join(given), np.cumsum(sizes).tolist()
             yield pa.RecordBatch.from_arrays(
-                [*keep, batch.column("text"), pa.array([b"".join(g) for g in given], pa.binary())],
+                [*keep, batch.column("text"), pa.array([levels[a:z] for a, z in zip([0, *to], to)], pa.binary())],
                 names=["_id", "_row", "text", "_levels"],
             )
 

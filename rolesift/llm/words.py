@@ -16,11 +16,11 @@ SPACED = _table(lambda b: b == 32 or 9 <= b <= 13)
 ALNUM = _table(lambda b: b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128)
 
 
-def word_slices(text: bytes | None, table: bytes) -> Iterator[list[bytes]]:
-    """The words of each slice of `text`; no word is cut."""
+def byte_slices(text: bytes | None, table: bytes, size: int) -> Iterator[bytes]:
+    """`text` by `table` in slices of about `size` bytes; no word is cut, so one word may be a longer slice."""
     at, end = 0, len(text or b"")
     while at < end:
-        cut = at + SLICE_BYTES
+        cut = at + size
         part = text[at:cut].translate(table)
         if cut < end and (space := part.rfind(b" ")) >= 0:
             part = part[: space + 1]
@@ -29,4 +29,10 @@ def word_slices(text: bytes | None, table: bytes) -> Iterator[list[bytes]]:
                 cut += 1
             part = text[at:cut].translate(table)
         at += len(part)
+        yield part
+
+
+def word_slices(text: bytes | None, table: bytes) -> Iterator[list[bytes]]:
+    """The words of each slice of `text`; no word is cut."""
+    for part in byte_slices(text, table, SLICE_BYTES):
         yield part.split()

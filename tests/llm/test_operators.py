@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -642,3 +643,51 @@ def test_lm_refuses_a_base_with_too_many_levels():
     with pytest.raises(ValueError, match="levels"):
         lm_scoring.Settings(base=1.05)
     assert len(lm_scoring.level_counts(1.5)) > lm_scoring.levels_of(np.array([1 << 62]), 1.5)[0]
+
+
+def test_word_hashes_depend_on_the_word_alone(monkeypatch):
+    from rolesift.llm import word_hashes
+
+    parts = [f"w{k}" for k in range(300)] + ["ab", "ba", "a", "aa", "a\x00", "\x00", "é" * 40]
+    hashes, at = word_hashes.hash_words("  ".join(parts).encode() + b" ")
+    assert len(set(hashes.tolist()) | {int(word_hashes.SPACE)}) == len(parts) + 1
+    for part, value, place in zip(parts, hashes, at):
+        assert word_hashes.hash_words(b"   " + part.encode())[0].tolist() == [value]
+        assert "  ".join(parts).encode()[place:].startswith(part.encode())
+    long = [b"x" * n for n in (word_hashes.BLOCK - 1, word_hashes.BLOCK, word_hashes.BLOCK + 1, 3 * word_hashes.BLOCK)]
+    values = [word_hashes.hash_words(w)[0].tolist() for w in long]
+    assert len({v for v, in values}) == len(long)
+    total, power = 0, pow(int(word_hashes.FACTOR), word_hashes.BLOCK, 1 << 64)
+    for byte in long[2]:
+        total = (total + int(word_hashes.BYTE[byte]) * power) % (1 << 64)
+        power = power * int(word_hashes.FACTOR) % (1 << 64)
+    assert bloom.mix(np.array([total], dtype=np.uint64)).tolist() == values[2]
+    assert word_hashes.hash_words(b"")[0].tolist() == word_hashes.hash_words(b"  ")[0].tolist() == []
+
+
+def test_lm_pieces_of_long_texts_are_those_of_the_whole(spark):
+    from rolesift.llm import word_hashes
+
+    long = " ".join(f"w{k % 7919}" for k in range(120_000))
+    texts = ["a b", "", None, long, "y" * (word_hashes.BLOCK + 9) + " tail", "c"]
+    chunks = list(lm_scoring._chunks([pa.scalar(t and t.encode(), pa.binary()) for t in texts], 3, 20_000))
+    assert len(chunks) > 1
+    for k in range(1, 4):
+        got = [v for c in chunks for v in c.keys(k, 48)[c.own & (c.off >= k - 1)].tolist()]
+        ids = []
+        for t in texts:
+            tokens = np.array([word_hashes.SPACE, *(word_hashes.hash_words(w.encode())[0][0] for w in (t or "").split()),
+                               word_hashes.SPACE])
+            whole = lm_scoring._Chunk(tokens, np.arange(len(tokens)), np.arange(len(tokens)) > 0, tokens)
+            ids += whole.keys(k, 48)[max(1, k - 1):].tolist()
+        assert got == ids
+
+
+def test_lm_long_texts_score_alike_in_one_part_and_in_many(spark):
+    rows = [(k, " ".join(f"w{k * j % 4001}" for j in range(n))) for k, n in enumerate([5, 90_000, 0, 120_000, 40, 3])]
+    scores = [
+        {r.doc_id: (r.score, r.n_known) for r in lm_scoring.lm_digest(docs_of(spark, rows), s).collect()}
+        for s in (lm_scoring.Settings(bits_per_entry=96), lm_scoring.Settings(bits_per_entry=96, broadcast_bytes=64 << 10))
+    ]
+    assert scores[0].keys() == scores[1].keys() == {k for k, _ in rows}
+    assert all(abs(scores[0][k][0] - scores[1][k][0]) < 1e-6 * abs(scores[0][k][0]) for k in scores[0])
