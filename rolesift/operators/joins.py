@@ -34,6 +34,11 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width)).first()[0] or 0
 
 
+def fits_broadcast(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether Spark's estimate and the counted size of `df` are both within the bound."""
+    return plan_bytes(df) <= broadcast_bytes and measured_bytes(df) <= broadcast_bytes
+
+
 def many_to_one(
     rows: DataFrame,
     dim: DataFrame,
@@ -51,7 +56,7 @@ def many_to_one(
     evenly spread rows are shuffled. The result is whole either way.
     """
     on = list(on)
-    if plan_bytes(dim) <= broadcast_bytes and measured_bytes(dim) <= broadcast_bytes:
+    if fits_broadcast(dim, broadcast_bytes):
         return rows.join(F.broadcast(dim), on, how)
     keyed = reduce(and_, [F.col(k).isNotNull() for k in on])
     full = rows.filter(keyed)
@@ -71,14 +76,37 @@ def join_details(
     details: DataFrame,
     keys: Sequence[str],
     detail_order: Sequence[str | Column],
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Each posting with its one detail; extra landed copies of a detail are ignored.
 
-    `postings` has unique keys. Details are cut to the postings' keys before any of
-    their bodies is shuffled.
+    `postings` has unique keys. `detail_order` are plain values, of which the least comes first
+    (nulls before all others); rows that are equal in them count as copies, and any one is taken.
+
+    Details are cut to the postings' keys before any of their bodies is shuffled. Postings
+    beyond the broadcast bound take two reads of `details`: one writes keys and order values,
+    from which each key's row is chosen, the other joins the bodies to the chosen rows, in at
+    most one shuffle.
     """
-    wanted = many_to_one(details, postings.select(*keys), keys, "left_semi")
-    return postings.join(first_per_key(wanted, keys, detail_order), list(keys))
+    keys = list(keys)
+    wanted = postings.select(*keys)
+    if fits_broadcast(wanted, broadcast_bytes):
+        near = details.join(F.broadcast(wanted), keys, "left_semi")
+        return postings.join(first_per_key(near, keys, detail_order), keys)
+    order = {f"_order_{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(detail_order)}
+    version = F.md5(F.to_json(F.struct(*[o.cast("string").alias(name) for name, o in order.items()])))
+    narrow = details.select(*keys, *[o.alias(name) for name, o in order.items()], version.alias("_version"))
+    near = many_to_one(stage(narrow, "detail-keys"), wanted, keys, "left_semi", broadcast_bytes)
+    chosen = first_per_key(near, keys, list(order)).select(*keys, "_version")
+    chosen = stage(postings.join(chosen, keys), "chosen-details")
+    on = [*keys, "_version"]
+    small = F.broadcast(chosen) if fits_broadcast(chosen, broadcast_bytes) else chosen
+    both = details.withColumn("_version", version).alias("d").join(
+        small.alias("p"), reduce(and_, [F.col(f"d.{k}") == F.col(f"p.{k}") for k in on])
+    )
+    one = first_per_key(both, [f"d.{k}" for k in on], ["d._version"])
+    rest = [f"{side}.{k}" for side, df in (("p", postings), ("d", details)) for k in df.columns if k not in keys]
+    return one.select(*[f"p.{k}" for k in keys], *rest)
 
 
 def jobs_with_company(jobs: DataFrame, companies: DataFrame) -> DataFrame:

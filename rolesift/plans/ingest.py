@@ -387,9 +387,9 @@ def _detail_order(details: DataFrame) -> list[Column]:
 
     Copies that landed together are told apart by a digest, so no body is a sort key.
     """
-    newest = [F.col("landed_at").desc_nulls_last()] if "landed_at" in details.columns else []
-    usable = F.coalesce(F.col("status_code"), F.lit(0)) == 200
-    return [usable.desc(), *newest, F.md5("body").asc()]
+    age = -F.unix_micros("landed_at") if "landed_at" in details.columns else F.lit(0)
+    unusable = F.coalesce(F.col("status_code"), F.lit(0)) != 200
+    return [unusable, age.isNull(), age, F.md5("body")]
 
 
 def combine(results: list[IngestResult]) -> IngestResult:

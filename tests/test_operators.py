@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rolesift import rules, schemas
 from rolesift.operators import decisions, learner, merge, numbering, ordered, pages, scoring
-from rolesift.operators.joins import many_to_one
+from rolesift.operators.joins import join_details, many_to_one
 from rolesift.rules import RuleSet
 
 
@@ -137,6 +137,32 @@ def test_many_to_one_is_whole_on_both_paths(spark, how):
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("kept", [900, 3])
+def test_join_details_chooses_alike_on_both_paths(spark, tmp_path, kept):
+    path = str(tmp_path / "details")
+    landed = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 11 > 0, F.col("id") % 1300).alias("k"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 4).alias("place"),
+        F.concat(F.lit("body "), (F.col("id") % 6).cast("string")).alias("body"),
+        F.col("id").alias("note"),
+    )
+    landed.unionByName(landed).repartition(3).write.json(path)
+    details = spark.read.schema("k long, place long, body string, note long").json(path)
+    postings = spark.range(0, 2 * kept, 2).select(F.col("id").alias("k"), F.col("id").alias("note"))
+    order = ["place", F.md5("body"), "note"]
+    want = ordered.first_per_key(details, ["k"], order).join(postings.drop("note"), "k").collect()
+    want = sorted((r.k, r.k, r.place, r.body, r.note) for r in want)
+    for limit in (1 << 40, 0):
+        got = join_details(postings, details, ["k"], order, broadcast_bytes=limit)
+        assert got.columns == ["k", "note", "place", "body", "note"]
+        assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[0]) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"Relation \[[^]]*\] json", plan)) == 1
+    empty = join_details(postings.limit(0), details, ["k"], order, broadcast_bytes=0)
+    assert empty.columns == ["k", "note", "place", "body", "note"] and empty.collect() == []
+    assert join_details(postings, details.limit(0), ["k"], order, broadcast_bytes=0).collect() == []
+
+
 # ---- Pages ----
 
 
