@@ -20,11 +20,12 @@ from rolesift.llm.columns import crc_remainder
 from rolesift.llm.word_hashes import BLOCK, SPACE, hash_words
 from rolesift.llm.words import SPACED, byte_slices
 from rolesift.operators.joins import many_to_one
-from rolesift.session import stage, unstage
+from rolesift.session import arrow_batches, stage, unstage
 
 _COUNT_TOKENS = 1 << 19
-_SCORE_TOKENS = 1 << 18
+_SCORE_TOKENS = 1 << 16
 _SCORE_ROWS = 1 << 10
+_BATCH_BYTES = 4 << 20  # of rows that a task hands to Python at once
 _COUNT_BITS = 62  # of the largest count
 _LEVELS = 255  # a level is kept in one byte
 
@@ -307,7 +308,8 @@ def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
     )
     runs = runs.repartition(ranges, "range").sortWithinPartitions("range")
     schema = "range long, part long, filled binary, blocks long, keys array<long>, counts array<long>"
-    parts = stage(runs.mapInArrow(partial(_fill, s=settings), schema), "lm-filter")
+    with arrow_batches(texts.sparkSession, _BATCH_BYTES):
+        parts = stage(runs.mapInArrow(partial(_fill, s=settings), schema), "lm-filter")
     heads = parts.filter(F.col("part") < 0)
     words = heads.select(F.explode(F.arrays_zip("keys", "counts")).alias("w")).select(
         F.col("w.keys").alias("key"), F.col("w.counts").alias("n")
@@ -454,9 +456,10 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     frequent = _frequent_words(model)
     kind = rows.schema["_id"].dataType.simpleString()
     for number in range(model.slices):
-        parts = (s, _filter_slice(model, number), frequent, model.tokens, model.distinct, model.ends,
-                 model.slice_blocks, model.slices)
-        shared = spark.sparkContext.broadcast(parts)
+        shared = spark.sparkContext.broadcast(  # and kept nowhere else: the driver holds one part at a time
+            (s, _filter_slice(model, number), frequent, model.tokens, model.distinct, model.ends,
+             model.slice_blocks, model.slices)
+        )
         schema = (
             f"_id {kind}, _row long, n_tokens long, n_known long, base_score double, score double, "
             "keys array<long>, times array<long>"
@@ -464,8 +467,9 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             else f"_id {kind}, _row long, text binary, _levels binary"
         )
         step = partial(_score, shared=shared, number=number)
-        before, rows = rows, stage(rows.select("_id", "_row", "text", "_levels").mapInArrow(step, schema), "lm-pass")
-        shared.unpersist()
+        with arrow_batches(spark, _BATCH_BYTES):
+            before, rows = rows, stage(rows.select("_id", "_row", "text", "_levels").mapInArrow(step, schema), "lm-pass")
+        shared.destroy()
         if number:
             unstage(before)
     asked = rows.select("_row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select(

@@ -95,6 +95,24 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, limit: int) -> Iterator[None]:
+    """Tasks of what is run inside the block hand rows to Python about `limit` bytes at a time.
+
+    Spark counts rows only, so long texts make batches of any size, which an executor holds
+    several times for each of its cores. A limit that the session has set itself is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of `df`, the one its broadcast check uses."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -691,3 +691,38 @@ def test_lm_long_texts_score_alike_in_one_part_and_in_many(spark):
     ]
     assert scores[0].keys() == scores[1].keys() == {k for k, _ in rows}
     assert all(abs(scores[0][k][0] - scores[1][k][0]) < 1e-6 * abs(scores[0][k][0]) for k in scores[0])
+
+
+def test_lm_hands_python_few_bytes_at_a_time(spark, monkeypatch, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = " ".join(f"w{k}" for k in range(1500))
+    docs = docs_of(spark, [(k, text) for k in range(2000)]).coalesce(1)  # 17 MB in one partition
+
+    def watched(name):
+        real, log = getattr(lm_scoring, name), str(tmp_path / name)
+
+        def step(batches, **options):
+            def told():
+                for batch in batches:
+                    with open(log, "a") as f:
+                        f.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return real(told(), **options)
+
+        monkeypatch.setattr(lm_scoring, name, step)
+
+    for name in ("_count", "_score"):
+        watched(name)
+    got = lm_scoring.lm_digest(docs, lm_scoring.Settings(broadcast_bytes=32 << 10)).collect()
+    assert len(got) == 2000 and len({round(r.score, 6) for r in got}) == 1
+    for name in ("_count", "_score"):
+        sizes = [int(x) for x in (tmp_path / name).read_text().split()]
+        assert sum(sizes) > 10_000_000 and max(sizes) < 2 * lm_scoring._BATCH_BYTES
+    assert spark.conf.get(key, None) is None
+    try:
+        spark.conf.set(key, 1 << 20)
+        lm_scoring.lm_digest(docs.limit(1)).collect()
+        assert spark.conf.get(key) == str(1 << 20)
+    finally:
+        spark.conf.unset(key)
