@@ -6,7 +6,7 @@ import numpy as np
 
 BLOCK_BITS = 512
 PROBES = 4
-_STEP = 1 << 14  # keys looked up at once, few enough for a core's cache
+_STEP = 1 << 14  # keys put in or looked up at once, few enough for a core's cache
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -22,8 +22,8 @@ def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
 
 
-def _scrambled(keys: np.ndarray, level: int) -> np.ndarray:
-    return mix(keys + np.array([0x9E3779B97F4A7C15], dtype=np.uint64) * np.uint64(level))
+def _scrambled(keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+    return mix(keys + np.array([0x9E3779B97F4A7C15], dtype=np.uint64) * np.asarray(level, dtype=np.uint64))
 
 
 def _place(scrambled: np.ndarray, probe: int) -> np.ndarray:
@@ -33,11 +33,13 @@ def _place(scrambled: np.ndarray, probe: int) -> np.ndarray:
 
 def add(words: np.ndarray, blocks_of_keys: np.ndarray, keys: np.ndarray, level: np.ndarray | int) -> None:
     """Set the bits of (key, level); blocks are counted from the first one of `words`."""
-    base = blocks_of_keys * np.uint64(BLOCK_BITS)
-    h = _scrambled(keys, level)
-    for probe in range(PROBES):
-        at = base + _place(h, probe)
-        np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    level = np.broadcast_to(level, len(keys))
+    for k in range(0, len(keys), _STEP):
+        base = blocks_of_keys[k : k + _STEP] * np.uint64(BLOCK_BITS)
+        h = _scrambled(keys[k : k + _STEP], level[k : k + _STEP])
+        for probe in range(PROBES):
+            at = base + _place(h, probe)
+            np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
 
 
 def has(words: np.ndarray, blocks_of_keys: np.ndarray, keys: np.ndarray, level: int) -> np.ndarray:

@@ -22,12 +22,13 @@ from rolesift.llm.words import SPACED, byte_slices
 from rolesift.operators.joins import many_to_one
 from rolesift.session import arrow_batches, stage, unstage
 
-_COUNT_TOKENS = 1 << 19
+_COUNT_TOKENS = 1 << 18
 _SCORE_TOKENS = 1 << 16
 _SCORE_ROWS = 1 << 10
 _BATCH_BYTES = 4 << 20  # of rows that a task hands to Python at once
 _COUNT_BITS = 62  # of the largest count
 _LEVELS = 255  # a level is kept in one byte
+_LEVEL_STEP = 1 << 14  # counts turned into levels at once
 
 
 @dataclass(frozen=True)
@@ -152,7 +153,7 @@ def _unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
     for at, plane in zip(np.flatnonzero(used), planes):
         rows[at // 8, :, at % 8] = plane
     steps, counts = rows.view("<u8")[:, :, 0]
-    return np.cumsum(steps, dtype=np.uint64), counts
+    return np.cumsum(steps, dtype=np.uint64), counts.copy()  # no view, which would hold the steps too
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int, bits: int, ranges: int) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,9 @@ def _merge(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all runs, sorted, with their summed counts."""
     keys, counts = (np.concatenate(x) for x in zip(*map(_unpack, runs))) if runs else (np.zeros(0, dtype=np.uint64),) * 2
     by_key = np.argsort(keys, kind="stable")
-    keys, counts = keys[by_key], counts[by_key]
+    keys = keys[by_key]
+    counts = counts[by_key]
+    del by_key  # each of these arrays is as long as a range; no more of them at once than needed
     starts = np.flatnonzero(np.append(np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]))
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
@@ -244,7 +247,11 @@ def _fill(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
         words, n = _merge(single)
         keys, counts = _merge(longer)
         often = counts >= s.min_count
-        keys, levels = np.append(words, keys[often]), levels_of(np.append(n, counts[often]), s.base)
+        keys, counts = np.append(words, keys[often]), np.append(n, counts[often])
+        levels = np.empty(len(keys), dtype=np.uint8)
+        for k in range(0, len(keys), _LEVEL_STEP):
+            levels[k : k + _LEVEL_STEP] = levels_of(counts[k : k + _LEVEL_STEP], s.base)
+        del counts, often
         blocks = math.ceil(int(levels.sum()) * s.bits_per_entry / bloom.BLOCK_BITS)
         filled = np.zeros(blocks * bloom.BLOCK_BITS // 64, dtype=np.uint64)
         at = bloom.block_of(bloom.mix(keys), blocks)

@@ -696,7 +696,7 @@ def test_lm_long_texts_score_alike_in_one_part_and_in_many(spark):
 def test_lm_hands_python_few_bytes_at_a_time(spark, monkeypatch, tmp_path):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     text = " ".join(f"w{k}" for k in range(1500))
-    docs = docs_of(spark, [(k, text) for k in range(2000)]).coalesce(1)  # 17 MB in one partition
+    docs = docs_of(spark, [(k, text) for k in range(2000)]).coalesce(1)  # 16 MB in one partition
 
     def watched(name):
         real, log = getattr(lm_scoring, name), str(tmp_path / name)
