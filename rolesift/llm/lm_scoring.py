@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import partial
-from itertools import chain
+from functools import cache, partial, reduce
+from itertools import chain, groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.llm import bloom
@@ -20,24 +22,27 @@ from rolesift.llm.columns import crc_remainder
 from rolesift.llm.word_hashes import BLOCK, SPACE, hash_words
 from rolesift.llm.words import SPACED, byte_slices
 from rolesift.operators.joins import many_to_one
-from rolesift.session import arrow_batches, stage, unstage
+from rolesift.session import arrow_batches, drop_shuffles, stage, unstage
 
 _COUNT_TOKENS = 1 << 18
-_SCORE_TOKENS = 1 << 16
-_SCORE_ROWS = 1 << 10
 _BATCH_BYTES = 4 << 20  # of rows that a task hands to Python at once
 _COUNT_BITS = 62  # of the largest count
 _LEVELS = 255  # a level is kept in one byte
 _LEVEL_STEP = 1 << 14  # counts turned into levels at once
+_BLOCK_BYTES = 2 << 20  # of texts that ask for their levels together, on average
+_SHARE_BYTES = 16 << 20  # of texts that a task scores, on average
+_TURNS = 2  # the texts ask in so many turns, so that only a part of the questions is on disk at once
+_RUN_HEAD = np.dtype([("used", "<u2"), ("n", "<u4"), ("first", "<u8")])
 
 
 @dataclass(frozen=True)
 class Settings:
     """Of the model: n-gram order, least count of n-grams of two words and more, base of the
-    count levels, filter bits per entry, bytes of the part of the filter that is broadcast at
-    once, weight of the shorter history. A word is frequent if it is over 1/`frequent` of all
-    tokens, so there are fewer than `frequent` such words. `range_bytes` of text on average
-    fill a range of keys, which one task sums up and puts into its own part of the filter.
+    count levels, filter bits per entry, bytes of the part of the filter that a task holds at
+    once (about `part_bytes` and, unless one range has more, on average at most
+    `broadcast_bytes`), weight of the shorter history. A word is frequent if it is over
+    1/`frequent` of all tokens, so there are fewer than `frequent` such words. `range_bytes` of
+    text on average fill a range of keys, which one task sums up and whose blocks it fills.
     N-grams of several words have keys of `key_bits` bits: two of them share one with a chance
     far below that of a false hit of the filter. Single words have 64 bits, as their counts
     are exact."""
@@ -47,6 +52,7 @@ class Settings:
     base: float = 1.5
     bits_per_entry: int = 10
     broadcast_bytes: int = 128 << 20
+    part_bytes: int = 4 << 20
     page_blocks: int = 1 << 13
     weight: float = 20.0
     frequent: int = 1_000_000
@@ -138,33 +144,70 @@ def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
+def _pack_runs(keys: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Sorted keys and their counts, cut into runs at `starts`: of each run the first key, then the steps
+    between keys and the counts byte by byte, without bytes that are all 0."""
+    if not len(starts):
+        return []
+    steps = np.diff(keys, prepend=keys[:1])
+    steps[starts] = 0
+    rows = np.stack([steps, counts.astype(np.uint64)])
+    heads = np.empty(len(starts), dtype=_RUN_HEAD)
+    used = np.bitwise_or.reduceat(rows, starts, axis=1).astype("<u8").view(np.uint8).reshape(2, -1, 8) > 0
+    heads["used"] = np.packbits(used.transpose(1, 0, 2).reshape(-1, 16), axis=1, bitorder="little").view("<u2")[:, 0]
+    heads["n"], heads["first"] = np.diff(starts, append=len(keys)), keys[starts]
+    used, head = _used(int(np.bitwise_or.reduce(heads["used"]))), heads.tobytes()
+    columns = rows.astype("<u8").view(np.uint8).reshape(2, -1, 8)
+    planes = {k: columns[k // 8, :, k % 8].tobytes() for k in used}
+    size = _RUN_HEAD.itemsize
+    return [
+        head[k * size : (k + 1) * size] + b"".join([planes[p][a : a + n] for p in _used(bits)])
+        for k, (a, n, bits) in enumerate(zip(starts.tolist(), heads["n"].tolist(), heads["used"].tolist()))
+    ]
+
+
+@cache
+def _used(bits: int) -> tuple[int, ...]:
+    return tuple(k for k in range(16) if bits >> k & 1)
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys and their counts: the steps between keys and the counts byte by byte, without bytes that are all 0."""
-    rows = np.stack([np.diff(keys, prepend=np.uint64(0)), counts.astype(np.uint64)])
-    planes = rows.astype("<u8").view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1).reshape(16, -1)
-    used = planes.any(axis=1)
-    return np.packbits(used).tobytes() + planes[used].tobytes()
+    return _pack_runs(keys, counts, np.zeros(1, dtype=np.int64))[0]
+
 
+def _run_length(run: bytes) -> int:
+    return int.from_bytes(run[2:6], "little")
 
-def _unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
-    used = np.unpackbits(np.frombuffer(run, dtype=np.uint8, count=2)).astype(bool)
-    planes = np.frombuffer(run, dtype=np.uint8, offset=2).reshape(used.sum(), -1)
-    rows = np.zeros((2, planes.shape[1], 8), dtype=np.uint8)
-    for at, plane in zip(np.flatnonzero(used), planes):
-        rows[at // 8, :, at % 8] = plane
-    steps, counts = rows.view("<u8")[:, :, 0]
-    return np.cumsum(steps, dtype=np.uint64), counts.copy()  # no view, which would hold the steps too
 
+def _unpack_runs(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all runs, one run after the other, and their counts."""
+    heads = np.frombuffer(b"".join([run[: _RUN_HEAD.itemsize] for run in runs]), dtype=_RUN_HEAD)
+    sizes = heads["n"].astype(np.int64)
+    rows = [np.zeros((sizes.sum(), 8), dtype=np.uint8) for _ in range(2)]  # apart, so that one can go before the other
+    at = 0
+    for run, n, bits in zip(runs, sizes.tolist(), heads["used"].tolist()):
+        for k, plane in enumerate(_used(bits)):
+            rows[plane // 8][at : at + n, plane % 8] = np.frombuffer(run, np.uint8, n, _RUN_HEAD.itemsize + k * n)
+        at += n
+    steps, counts = (r.view("<u8")[:, 0] for r in rows)
+    keys = np.cumsum(steps, dtype=np.uint64)
+    # The sums go on from run to run; bring each run to its own first key
+    keys += np.repeat(heads["first"].astype(np.uint64) - keys[np.cumsum(sizes) - sizes], sizes)
+    return keys, counts
 
-def _count(batches: Iterator[pa.RecordBatch], order: int, bits: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Summed n-gram counts of each chunk, one row per order and key range."""
+
+def _count(batches: Iterator[pa.RecordBatch], order: int, bits: int, ranges: int, apart: bool = False) -> Iterator[pa.RecordBatch]:
+    """Summed n-gram counts of each chunk, one row per key range for single words and one for all longer n-grams,
+    whose order is given as 2, or one for each order if they are to be kept `apart`."""
     texts = (text for batch in batches for text in batch.column("text"))
     for chunk in _chunks(texts, order, _COUNT_TOKENS):
-        for k in range(1, order + 1):
-            found, n = np.unique(chunk.keys(k, bits)[chunk.own & (chunk.off >= k - 1)], return_counts=True)
+        orders = [[k] for k in range(1, order + 1)] if apart else [[1], [*range(2, order + 1)]][: order]
+        for k, *more in orders:
+            keys = [chunk.keys(j, bits)[chunk.own & (chunk.off >= j - 1)] for j in (k, *more)]
+            found, n = np.unique(np.concatenate(keys), return_counts=True)
             place = _ranges(found, ranges).astype(np.int64)
             starts = np.flatnonzero(np.diff(place, prepend=-1))
-            runs = [_pack(found[a:z], n[a:z]) for a, z in zip(starts, np.append(starts[1:], len(found)))]
+            runs = _pack_runs(found, n, starts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(place[starts]), pa.array(np.full(len(starts), k, dtype=np.int8)), pa.array(runs, pa.binary())],
                 names=["range", "order", "run"],
@@ -173,8 +216,8 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, bits: int, ranges: int
 
 def _merge(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all runs, sorted, with their summed counts."""
-    keys, counts = (np.concatenate(x) for x in zip(*map(_unpack, runs))) if runs else (np.zeros(0, dtype=np.uint64),) * 2
-    by_key = np.argsort(keys, kind="stable")
+    keys, counts = _unpack_runs(runs)
+    by_key = np.argsort(keys)
     keys = keys[by_key]
     counts = counts[by_key]
     del by_key  # each of these arrays is as long as a range; no more of them at once than needed
@@ -223,12 +266,10 @@ class Model:
         return int(self.ends[-1])
 
     @property
-    def slice_blocks(self) -> int:
-        return max(1, self.settings.broadcast_bytes * 8 // bloom.BLOCK_BITS)
-
-    @property
-    def slices(self) -> int:
-        return max(1, math.ceil(self.blocks / self.slice_blocks))
+    def part_ranges(self) -> int:
+        """The key ranges in a row that make a part of the filter."""
+        size, s = max(1, self.blocks) * bloom.BLOCK_BITS // 8, self.settings
+        return max(1, len(self.ends) * min(s.part_bytes, s.broadcast_bytes) // size)
 
 
 def block_of(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -310,12 +351,11 @@ def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, math.ceil(size / settings.range_bytes))
-    runs = texts.select("text").mapInArrow(
-        partial(_count, order=settings.order, bits=settings.key_bits, ranges=ranges), "range long, order byte, run binary"
-    )
-    runs = runs.repartition(ranges, "range").sortWithinPartitions("range")
+    runs, runs_apart = (texts.select("text").mapInArrow(
+        partial(_count, order=settings.order, bits=settings.key_bits, ranges=ranges, apart=apart), "range long, order byte, run binary"
+    ).repartition(ranges, "range").sortWithinPartitions("range") for apart in (False, True))
     schema = "range long, part long, filled binary, blocks long, keys array<long>, counts array<long>"
-    with arrow_batches(texts.sparkSession, _BATCH_BYTES):
+    with arrow_batches(texts.sparkSession, _BATCH_BYTES), drop_shuffles(texts.sparkSession):
         parts = stage(runs.mapInArrow(partial(_fill, s=settings), schema), "lm-filter")
     heads = parts.filter(F.col("part") < 0)
     words = heads.select(F.explode(F.arrays_zip("keys", "counts")).alias("w")).select(
@@ -327,27 +367,7 @@ def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
     known = heads.select("range", "blocks").toArrow()
     blocks[known.column("range").to_numpy()] = known.column("blocks").to_numpy()
     pages = parts.filter(F.col("part") >= 0).select("range", "part", "filled")
-    return Model(pages, words, runs, sums.tokens or 0, sums.distinct or 0, np.cumsum(blocks), settings)
-
-
-def _filter_slice(model: Model, number: int) -> np.ndarray:
-    """One part of the filter, at most `broadcast_bytes`."""
-    first = number * model.slice_blocks
-    last = min(first + model.slice_blocks, model.blocks)
-    size = bloom.BLOCK_BITS // 64
-    starts = np.append(0, model.ends[:-1])
-    ranges = np.flatnonzero((model.ends > first) & (starts < last))
-    words = np.zeros(max(0, last - first) * size, dtype=np.uint64)
-    if not len(ranges):
-        return words
-    rows = model.pages.filter(F.col("range").between(int(ranges[0]), int(ranges[-1])))
-    for row in rows.toLocalIterator():
-        filled = np.frombuffer(row.filled, dtype=np.uint64)
-        at = (int(starts[row.range]) + row.part - first) * size
-        a, z = max(0, at), min(len(words), at + len(filled))
-        if a < z:
-            words[a:z] = filled[a - at : z - at]
-    return words
+    return Model(pages, words, runs_apart, sums.tokens or 0, sums.distinct or 0, np.cumsum(blocks), settings)
 
 
 def _frequent_words(model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -373,72 +393,201 @@ def _levels(keys: np.ndarray, words: np.ndarray, first: int, ends: np.ndarray, m
     return level
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) -> Iterator[pa.RecordBatch]:
-    """Adds this part's levels to `_levels`; the last part turns them into sums."""
-    s, words, frequent, tokens, distinct, ends, slice_blocks, slices = shared.value
-    middle, last_part, first = level_counts(s.base), number == slices - 1, number * slice_blocks
-    # Some rows at a time, as what a row is known by so far is kept until its last chunk
-    for batch in (b.slice(k, _SCORE_ROWS) for b in batches for k in range(0, b.num_rows, _SCORE_ROWS)):
-        rows = batch.num_rows
-        # Levels lie token by token, row after row, so chunks need not be cut alike in all passes
-        old = np.frombuffer(b"".join(x or b"" for x in batch.column("_levels").to_pylist()), dtype=np.uint8)
-        given, sizes, reached = [], np.zeros(rows, dtype=np.int64), 0
-        n_tokens, score, n_known, base = (np.zeros(rows) for _ in range(4))
-        rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for chunk in _chunks(batch.column("text"), s.order, _SCORE_TOKENS):
-            # Words repeat a lot, longer n-grams hardly
-            single, single_back = np.unique(chunk.tokens, return_inverse=True)
-            level = np.zeros((len(chunk.tokens), s.order), dtype=np.uint8)
-            level[:, 0] = _levels(single, words, first, ends, s.levels)[single_back]
-            for k in range(2, s.order + 1):
-                at = np.flatnonzero(chunk.off >= k - 1)
-                level[at, k - 1] = _levels(chunk.keys(k, s.key_bits)[at], words, first, ends, s.levels)
-            if number:
-                level |= old[reached : reached + level.size].reshape(level.shape)  # a key is in one part only
-                reached += level.size
-            if not last_part:
-                given.append(level.tobytes())
-                sizes += np.bincount(chunk.doc, minlength=rows) * s.order
+class _Known(NamedTuple):
+    """What all scoring tasks share."""
+
+    settings: Settings
+    frequent: tuple[np.ndarray, np.ndarray]
+    tokens: int
+    distinct: int
+
+
+# Levels of sorted keys, which are of single words or else of longer n-grams
+_Lookup = Callable[[bool, np.ndarray], np.ndarray]
+
+
+def _longer(chunk: _Chunk, s: Settings) -> tuple[list[np.ndarray], np.ndarray]:
+    """The places where n-grams of 2, 3 and more words end, and the keys of all these n-grams."""
+    places = [np.flatnonzero(chunk.off >= k - 1) for k in range(2, s.order + 1)]
+    keys = [chunk.keys(k, s.key_bits)[at] for k, at in enumerate(places, 2)]
+    return places, np.concatenate([np.zeros(0, dtype=np.uint64), *keys])
+
+
+def _row_sums(chunks: Iterable[tuple[_Chunk, _Lookup]], known: _Known) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Sums of consecutive chunks; gets their rows' ids last and gives all of it as one batch."""
+    s, frequent, tokens, distinct, middle = *known, level_counts(known.settings.base)
+    given: list[tuple[int, np.ndarray]] = []
+    rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for chunk, lookup in chunks:
+        single, single_back = np.unique(chunk.tokens, return_inverse=True)
+        level = np.zeros((len(chunk.tokens), s.order), dtype=np.uint8)
+        level[:, 0] = lookup(False, single)[single_back]
+        places, keys = _longer(chunk, s)
+        keys, back = np.unique(keys, return_inverse=True)
+        found, begin = lookup(True, keys)[back], 0
+        for k, at in enumerate(places, 1):
+            level[at, k] = found[begin : begin + len(at)]
+            begin += len(at)
+        del keys, back, found
+        count = middle[level.T]
+        # A level may stand for more than its count, but never for more than all tokens
+        p = (np.minimum(count[0], tokens) + 1) / (tokens + distinct + 1)
+        for k in range(2, s.order + 1):
+            before = np.roll(count[k - 2], 1)
+            longer = (np.minimum(count[k - 1], before) + s.weight * p) / (before + s.weight)
+            p = np.where(chunk.off >= k - 1, longer, p)
+        own, doc, first = chunk.own, chunk.doc, int(chunk.doc[0])
+        place = np.minimum(np.searchsorted(frequent[0], single), max(0, len(frequent[0]) - 1))
+        hit = frequent[0][place] == single if len(frequent[0]) else np.zeros(len(single), dtype=bool)
+        exact = np.zeros(len(single))
+        exact[hit] = frequent[1][place[hit]]
+        c, of = exact[single_back], doc[own] - first
+        given.append((first, np.stack([
+            np.bincount(of), np.bincount(of, c[own] > 0), np.bincount(of, np.log10(c[own] + 1)), np.bincount(of, np.log10(p[own])),
+        ])))
+        # Other words that the filter may hold; what it does not hold has a count of 0
+        ask = own & (c == 0) & (level[:, 0] > 0)
+        asked, times = np.unique(doc[ask] << 32 | single_back[ask], return_counts=True)
+        rare.append((asked >> 32, single[asked & 0xFFFFFFFF].view(np.int64), times))
+
+    def batch(ids: pa.RecordBatch) -> pa.RecordBatch:
+        rows = ids.num_rows
+        n_tokens, n_known, base, score = sums = np.zeros((4, rows))
+        for first, values in given:
+            sums[:, first : first + values.shape[1]] += values
+        of, *asked = map(np.concatenate, zip(*rare))
+        starts = pa.array(np.searchsorted(of, np.arange(rows + 1)), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [
+                ids.column("_id"), ids.column("_row"), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)),
+                pa.array(base - n_tokens * math.log10(tokens + distinct + 1)), pa.array(score),
+                *(pa.ListArray.from_arrays(starts, pa.array(values, pa.int64())) for values in asked),
+            ],
+            names=["_id", "_row", "n_tokens", "n_known", "base_score", "score", "keys", "times"],
+        )
+
+    return batch
+
+
+def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Per row its sums; the answers to each block's questions stand before its texts."""
+    for _, parts in groupby(_cut(batches), itemgetter(0)):
+        yield _score_block(parts, shared.value)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(number, whether of texts, rows): answers and the texts after them have one number."""
+    number, before = 0, True
+    for batch in batches:
+        texts = batch.column("piece").is_null().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(texts, prepend=~texts[:1])).tolist()
+        for a, z in zip(cuts, [*cuts[1:], len(texts)]):
+            number += bool(before and not texts[a])
+            before = texts[a]
+            yield number, texts[a], batch.slice(a, z - a)
+
+
+def _score_block(parts: Iterable[tuple[int, bool, pa.RecordBatch]], known: _Known) -> pa.RecordBatch:
+    answers: dict[tuple[int, bool], list[bytes]] = {}
+    ids: list[pa.RecordBatch] = []
+
+    def texts() -> Iterator[pa.Scalar]:
+        for _, of_texts, rows in parts:
+            if of_texts:
+                ids.append(rows.select(["_id", "_row"]).take(pa.array(np.arange(rows.num_rows))))  # a copy without the texts
+                yield from rows.column("text")
                 continue
-            count = middle[level.T]
-            # A level may stand for more than its count, but never for more than all tokens
-            p = (np.minimum(count[0], tokens) + 1) / (tokens + distinct + 1)
-            for k in range(2, s.order + 1):
-                before = np.roll(count[k - 2], 1)
-                longer = (np.minimum(count[k - 1], before) + s.weight * p) / (before + s.weight)
-                p = np.where(chunk.off >= k - 1, longer, p)
-            own, doc = chunk.own, chunk.doc
-            n_tokens += np.bincount(doc[own], minlength=rows)
-            score += np.bincount(doc[own], np.log10(p[own]), minlength=rows)
-            place = np.minimum(np.searchsorted(frequent[0], single), max(0, len(frequent[0]) - 1))
-            hit = frequent[0][place] == single if len(frequent[0]) else np.zeros(len(single), dtype=bool)
-            exact = np.zeros(len(single))
-            exact[hit] = frequent[1][place[hit]]
-            c = exact[single_back]
-            n_known += np.bincount(doc[own], c[own] > 0, minlength=rows)
-            base += np.bincount(doc[own], np.log10(c[own] + 1), minlength=rows)
-            # Other words that the filter may hold; what it does not hold has a count of 0
-            ask = own & (c == 0) & (level[:, 0] > 0)
-            asked, times = np.unique(doc[ask] << 32 | single_back[ask], return_counts=True)
-            rare.append((asked >> 32, single[asked & 0xFFFFFFFF].view(np.int64), times))
-        keep = [batch.column(c) for c in ("_id", "_row")]
-        if last_part:
-            of, *asked = map(np.concatenate, zip(*rare))
-            starts = pa.array(np.searchsorted(of, np.arange(rows + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *keep, pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)),
-                    pa.array(base - n_tokens * math.log10(tokens + distinct + 1)), pa.array(score),
-                    *(pa.ListArray.from_arrays(starts, pa.array(values, pa.int64())) for values in asked),
-                ],
-                names=["_id", "_row", "n_tokens", "n_known", "base_score", "score", "keys", "times"],
-            )
-        else:
-            levels, to = b"".join(given), np.cumsum(sizes).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [*keep, batch.column("text"), pa.array([levels[a:z] for a, z in zip([0, *to], to)], pa.binary())],
-                names=["_id", "_row", "text", "_levels"],
-            )
+            for piece, longer, run in zip(*(rows.column(c).to_pylist() for c in ("piece", "longer", "run"))):
+                answers.setdefault((piece, longer), []).append(zlib.decompress(run))
+
+    def lookup(piece: int, longer: bool, keys: np.ndarray) -> np.ndarray:
+        levels = np.frombuffer(b"".join(answers.pop((piece, longer), [])), dtype=np.uint8)
+        if len(levels) != len(keys):
+            raise RuntimeError(f"{len(levels)} answers for {len(keys)} keys")
+        return levels
+
+    chunks = _chunks(texts(), known.settings.order, _COUNT_TOKENS)
+    sums = _row_sums(((chunk, partial(lookup, piece)) for piece, chunk in enumerate(chunks)), known)
+    return sums(pa.Table.from_batches(ids).combine_chunks().to_batches()[0])
+
+
+def _ask(batches: Iterator[pa.RecordBatch], s: Settings, ranges: int, part_ranges: int) -> Iterator[pa.RecordBatch]:
+    """The keys whose levels the texts of each block need: per piece of a block and part of the filter a run
+    of single words and one of longer n-grams. Read in another task, a block may come in several pieces of rows;
+    the number of its first row tells which they are."""
+    rows = (row for b in batches for row in zip(b.column("block").to_pylist(), b.column("_row").to_pylist(), b.column("text")))
+    for _, block in groupby(rows, itemgetter(0)):
+        block = iter(block)
+        head = next(block)
+        for piece, chunk in enumerate(_chunks((row[2] for row in chain([head], block)), s.order, _COUNT_TOKENS)):
+            for longer, keys in enumerate((chunk.tokens, _longer(chunk, s)[1])):
+                keys = np.sort(keys)
+                keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+                part = _ranges(keys, ranges).astype(np.int64) // part_ranges
+                starts = np.flatnonzero(np.diff(part, prepend=-1))
+                same = lambda value, kind: pa.array(np.full(len(starts), value), kind)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[starts]), pa.nulls(len(starts), pa.int64()), same(head[1], pa.int64()), same(piece, pa.int32()),
+                     same(bool(longer), pa.bool_()), pa.array(_pack_runs(keys, np.zeros(len(keys)), starts), pa.binary())],
+                    names=["part", "page", "_row", "piece", "longer", "run"],
+                )
+
+
+def _answer(batches: Iterator[pa.RecordBatch], s: Settings, ends: np.ndarray, part_ranges: int) -> Iterator[pa.RecordBatch]:
+    """The levels of each run of keys, one byte each, deflated; in each part the filter's pages come first."""
+    size, starts = bloom.BLOCK_BITS // 64, np.append(0, ends[:-1])
+    now, first, words, held, keys = None, 0, np.zeros(0, dtype=np.uint64), [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            *same, runs = zip(*held)
+            levels, cuts = _levels(_unpack_runs(runs)[0], words, first, ends, s.levels).tobytes(), np.cumsum([0, *map(_run_length, runs)])
+            found = [zlib.compress(levels[a:z], 1) for a, z in zip(cuts[:-1], cuts[1:])]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([*same, found], kinds)],
+                                             names=["part", "_row", "piece", "longer", "run"])
+
+    for batch in batches:
+        for part, page, row, piece, longer, run in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now:
+                yield from out()
+                now, held, keys = part, [], 0
+                first = int(starts[part * part_ranges])
+                words = np.zeros((int(ends[min((part + 1) * part_ranges, len(ends)) - 1]) - first) * size, dtype=np.uint64)
+            if page is not None:  # of range number `row`
+                at = (int(starts[row]) + page - first) * size
+                words[at : at + len(run) // 8] = np.frombuffer(run, dtype=np.uint64)
+                continue
+            held.append((part, row, piece, longer, run))
+            keys += _run_length(run)
+            if keys >= _COUNT_TOKENS:
+                yield from out()
+                held, keys = [], 0
+    yield from out()
+
+
+def _answers(rows: DataFrame, model: Model, turn: int) -> DataFrame:
+    """Runs of levels for the pieces of those `rows` whose turn it is, each run from one part of the filter."""
+    s, per = model.settings, model.part_ranges
+    pages = model.pages.select(
+        F.floor(F.col("range") / per).alias("part"), F.col("part").alias("page"), F.col("range").alias("_row"),
+        F.lit(None).cast("int").alias("piece"), F.lit(None).cast("boolean").alias("longer"), F.col("filled").alias("run"),
+    )
+    ask = partial(_ask, s=s, ranges=len(model.ends), part_ranges=per)
+    asked = _in_turn(rows, turn).select("block", "_row", "text").mapInArrow(
+        ask, "part long, page long, _row long, piece int, longer boolean, run binary")
+    by_part = asked.unionByName(pages).repartition(math.ceil(len(model.ends) / per), "part")
+    return by_part.sortWithinPartitions("part", F.col("page").asc_nulls_last()).mapInArrow(
+        partial(_answer, s=s, ends=model.ends, part_ranges=per), "part long, _row long, piece int, longer boolean, run binary")
+
+
+def _in_turn(rows: DataFrame, turn: int) -> DataFrame:
+    return rows.filter(F.col("block") % _TURNS == turn)
+
+
+def _block(bits: int) -> Column:
+    """Rows that stood together, some 2 to the `bits` of them."""
+    return F.shiftright("_row", bits)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -450,40 +599,44 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     `n_known` use exact counts: of frequent words, which are few by division, in the same
     pass, of others by a join.
 
-    The filter is broadcast in parts of at most `broadcast_bytes`. Each part is one pass over
-    the texts that adds its levels to what is known; all but the last pass write the texts, and
-    what a pass has written is dropped after the next.
+    The filter is never in one place: a task holds a part of it, and the texts ask it by a shuffle of
+    their n-grams' keys, which the part's task answers by a second one, to which the texts are dealt too.
+    So each text and each part is read as often however many there are. The texts are written once for it;
+    what is written is dropped after the scoring.
     Null and empty texts are one end token. Repeated rows and null ids get a row each.
     """
     spark, s = docs.sparkSession, model.settings
     rows = docs.select(
-        F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"),
-        F.monotonically_increasing_id().alias("_row"), F.lit(None).cast("binary").alias("_levels"),
+        F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"), F.monotonically_increasing_id().alias("_row"),
     )
-    frequent = _frequent_words(model)
     kind = rows.schema["_id"].dataType.simpleString()
-    for number in range(model.slices):
-        shared = spark.sparkContext.broadcast(  # and kept nowhere else: the driver holds one part at a time
-            (s, _filter_slice(model, number), frequent, model.tokens, model.distinct, model.ends,
-             model.slice_blocks, model.slices)
-        )
-        schema = (
-            f"_id {kind}, _row long, n_tokens long, n_known long, base_score double, score double, "
-            "keys array<long>, times array<long>"
-            if number == model.slices - 1
-            else f"_id {kind}, _row long, text binary, _levels binary"
-        )
-        step = partial(_score, shared=shared, number=number)
-        with arrow_batches(spark, _BATCH_BYTES):
-            before, rows = rows, stage(rows.select("_id", "_row", "text", "_levels").mapInArrow(step, schema), "lm-pass")
-        shared.destroy()
-        if number:
-            unstage(before)
+    rows = stage(rows, "lm-texts")
+    size, n = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    bits = max(0, int(math.log2(_BLOCK_BYTES * max(1, n) / max(1, size or 0))))
+    tasks = max(1, math.ceil((size or 0) / _SHARE_BYTES / _TURNS))
+    rows = rows.withColumn("block", _block(bits))
+    shared = spark.sparkContext.broadcast(_Known(s, _frequent_words(model), model.tokens, model.distinct))
+    schema = (
+        f"_id {kind}, _row long, n_tokens long, n_known long, base_score double, score double, "
+        "keys array<long>, times array<long>"
+    )
+    with arrow_batches(spark, _BATCH_BYTES), drop_shuffles(spark):
+        answers, sums = [stage(_answers(rows, model, turn), "lm-answers") for turn in range(_TURNS)], []
+        for turn, given in enumerate(answers):
+            both = _in_turn(rows, turn).unionByName(given.withColumn("block", _block(bits)), allowMissingColumns=True)
+            dealt = both.repartition(tasks, "block").sortWithinPartitions(
+                "block", "_row", F.col("piece").asc_nulls_last(), "longer", "part")
+            sums.append(stage(dealt.mapInArrow(partial(_score, shared=shared), schema), "lm-sums"))
+            unstage(given)
+    unstage(rows)
+    shared.destroy()
+    rows = reduce(DataFrame.unionByName, sums)
     asked = rows.select("_row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select(
         "_row", F.col("w.keys").alias("key"), F.col("w.times").alias("times")
     )
     words = model.words.filter(F.col("n") * s.frequent <= model.tokens)
-    found = many_to_one(asked, words, ["key"])
+    with drop_shuffles(spark):
+        found = many_to_one(asked, words, ["key"])
     more = found.groupBy("_row").agg(
         F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_base")
     )

@@ -102,11 +102,26 @@ def arrow_batches(spark: SparkSession, limit: int) -> Iterator[None]:
     Spark counts rows only, so long texts make batches of any size, which an executor holds
     several times for each of its cores. A limit that the session has set itself is kept.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(limit)):
+        yield
+
+
+@contextmanager
+def drop_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is run inside the block go when it has run, not when the driver collects its garbage.
+
+    Only for writes, whose result is not computed from their shuffles again. A choice of the session's own is kept.
+    """
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     if spark.conf.get(key, None) is not None:
         yield
         return
-    spark.conf.set(key, limit)
+    spark.conf.set(key, value)
     try:
         yield
     finally:

@@ -726,3 +726,80 @@ def test_lm_hands_python_few_bytes_at_a_time(spark, monkeypatch, tmp_path):
         assert spark.conf.get(key) == str(1 << 20)
     finally:
         spark.conf.unset(key)
+
+
+def test_lm_scoring_reads_each_text_once_whatever_the_filters_size(spark, monkeypatch, tmp_path):
+    rows = [(k, " ".join(f"w{k * j % 211}" for j in range(60))) for k in range(300)] + [(None, None), (7, "")]
+    whole = {(r.doc_id, r.n_tokens, r.n_known): r.score
+             for r in lm_scoring.lm_digest(docs_of(spark, rows), lm_scoring.Settings(bits_per_entry=96)).collect()}
+    real, log = lm_scoring._score, str(tmp_path / "score")
+
+    def score(batches, **options):
+        def told():
+            for batch in batches:
+                with open(log, "a") as f:
+                    f.write(f"{len(batch.column('_id').drop_null())}\n")
+                yield batch
+
+        return real(told(), **options)
+
+    monkeypatch.setattr(lm_scoring, "_score", score)
+    s = lm_scoring.Settings(bits_per_entry=96, range_bytes=4096, broadcast_bytes=8 << 10)
+    got = lm_scoring.lm_digest(docs_of(spark, rows), s).collect()
+    assert sum(map(int, (tmp_path / "score").read_text().split())) == len(rows) - 1
+    assert len(got) == len(rows)
+    assert all(abs(whole[r.doc_id, r.n_tokens, r.n_known] - r.score) < 1e-6 for r in got)
+    model = lm_scoring.train(docs_of(spark, rows).select(F.col("text").cast("binary").alias("text")), s)
+    assert len(model.ends) > 10 * model.part_ranges and model.blocks * bloom.BLOCK_BITS // 8 > 10 * s.broadcast_bytes
+
+
+def test_lm_block_read_by_two_tasks_gets_all_its_answers():
+    texts = [f"w{k} w{k + 1} again" for k in range(40)]
+    shared = type("Shared", (), {"value": lm_scoring._Known(lm_scoring.Settings(), (np.zeros(0, np.uint64), np.zeros(0)), 9, 5)})
+    ends, per = np.cumsum(np.full(6, 10)), 2
+    block, row = pa.array([0] * 40), pa.array(range(40))
+    read = pa.RecordBatch.from_arrays([block, row, pa.array([t.encode() for t in texts])], names=["block", "_row", "text"])
+    asked = [b for a, n in ((0, 13), (13, 27)) for b in lm_scoring._ask(iter([read.slice(a, n)]), shared.value.settings, len(ends), per)]
+    asked = pa.Table.from_batches(asked).sort_by("part").to_batches()
+    pages = pa.RecordBatch.from_pylist([
+        {"part": r // per, "page": 0, "_row": r, "run": np.full(80, -1, dtype=np.int64).tobytes()} for r in range(6)
+    ], schema=asked[0].schema)
+    dealt = pa.Table.from_batches([pages, *asked]).sort_by([("part", "ascending"), ("page", "ascending")]).to_batches()
+    found = pa.Table.from_batches(lm_scoring._answer(iter(dealt), shared.value.settings, ends, per)).to_pylist()
+    assert {f["_row"] for f in found} == {0, 13}
+    rows = [f | {"_id": None, "text": None} for f in found]
+    rows += [{"part": None, "_row": k, "piece": None, "longer": None, "run": None, "_id": k, "text": t.encode()} for k, t in enumerate(texts)]
+    rows.sort(key=lambda r: (r["_row"], r["piece"] is None, r["piece"] or 0, r["longer"] or False, r["part"] or 0))
+    batches = [pa.RecordBatch.from_pylist(rows[a : a + 7], schema=pa.RecordBatch.from_pylist(rows).schema) for a in range(0, len(rows), 7)]
+    got = pa.Table.from_batches(lm_scoring._score(iter(batches), shared)).to_pydict()
+    assert got["_id"] == got["_row"] == list(range(40)) and got["n_tokens"] == [4] * 40
+    assert len(got["keys"][0]) == 4  # a filter of ones only may hold every word
+
+
+def test_lm_runs_are_packed_together_as_each_alone():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2))
+    counts, starts = rng.integers(0, 1 << 20, len(keys)).astype(np.uint64), np.array([0, 1, 7, 200])
+    runs = lm_scoring._pack_runs(keys, counts, starts)
+    assert runs == [lm_scoring._pack(keys[a:z], counts[a:z]) for a, z in zip(starts, [*starts[1:], len(keys)])]
+    assert [lm_scoring._run_length(r) for r in runs] == [1, 6, 193, len(keys) - 200]
+    unpacked = lm_scoring._unpack_runs(runs)
+    assert (unpacked[0] == keys).all() and (unpacked[1] == counts).all()
+    assert [len(a) for a in lm_scoring._unpack_runs([])] == [0, 0] and lm_scoring._pack_runs(keys[:0], counts[:0], starts[:0]) == []
+
+
+def test_shuffle_files_go_when_a_write_has_run(spark, tmp_path):
+    from rolesift.session import drop_shuffles
+
+    key, folder = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", str(tmp_path)
+    with drop_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+        spark.range(1000).repartition(3, "id").write.parquet(f"{folder}/a")
+    assert spark.read.parquet(f"{folder}/a").count() == 1000
+    spark.conf.set(key, "false")
+    try:
+        with drop_shuffles(spark):
+            assert spark.conf.get(key) == "false"
+        assert spark.conf.get(key) == "false"
+    finally:
+        spark.conf.unset(key)
